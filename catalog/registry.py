@@ -32,7 +32,7 @@ def raw(spark, sf_dir):
 
 
 def typed_unique(spark, sf_dir):
-    return cleaning.typed(cleaning.unique_rows(raw(spark, sf_dir)))
+    return cleaning.unique_typed_rows(raw(spark, sf_dir))
 
 
 def cleaned(spark, sf_dir):

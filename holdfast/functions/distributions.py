@@ -1,8 +1,9 @@
 """Exact ranks and quantiles from pre-aggregated value counts.
 
 Rows are first collapsed to one row per distinct value (map-side partial aggregation, so a value
-that fills a third of the table costs one row per task). Order-based results are then computed on
-those counts in slices of roughly equal size, so no task ever holds a whole column.
+that fills a third of the table costs one row per task) and that small table is written once.
+Order-based results are computed on it: with one window per key while the counted size allows,
+otherwise in slices of roughly equal size, so no task ever holds a whole column.
 """
 
 from __future__ import annotations
@@ -12,20 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.numbers import without_nan
+from holdfast.functions.numbers import quoted, without_nan
+from holdfast.workspace import materialise
 
-SLICES = 64
+SLICES = 256
+ONE_WINDOW_ROWS = 1_000_000
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``by…, column, value, n``: how often each non-null number occurs."""
-    return (
-        df.select(*by, *[without_nan(F.col(c)).alias(c) for c in columns])
+    """``by…, column, value, n``, written: how often each non-null number occurs."""
+    numbers = [f"{without_nan(quoted(c))} AS {quoted(c)}" for c in columns]
+    counts = (
+        df.selectExpr(*by, *numbers)
         .unpivot(list(by), list(columns), "column", "value")
-        .where(F.col("value").isNotNull())
+        .where("value IS NOT NULL")
         .groupBy(*by, "column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return materialise(counts, "value_counts")
 
 
 def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -33,7 +38,7 @@ def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return (
         df.select(*columns)
         .unpivot([], list(columns), "column", "value")
-        .where(F.col("value").isNotNull())
+        .where("value IS NOT NULL")
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -44,25 +49,39 @@ def running_totals(
     keys: Sequence[str],
     order: str,
     totals: Sequence[str],
+    one_window_rows: int = ONE_WINDOW_ROWS,
     slices: int = SLICES,
 ) -> DataFrame:
     """Add ``<t>_before`` (sum over smaller ``order``) and ``<t>_total`` for each of ``totals``.
 
-    ``order`` must be unique within ``keys``, and ``keys`` must take few values (column names,
-    classes, models): the two broadcast sides hold one row per key and one per key and slice.
+    ``counts`` is a written table in which ``order`` is unique within ``keys``.
+    """
+    whole = Window.partitionBy(*keys)
+    if counts.count() <= one_window_rows:
+        earlier = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            "*",
+            *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"{t}_before") for t in totals],
+            *[F.sum(t).over(whole).alias(f"{t}_total") for t in totals],
+        )
+    return _sliced_totals(counts, keys, order, totals, slices)
+
+
+def _sliced_totals(counts, keys, order, totals, slices):
+    """Running totals in two levels: over slices of the order, then within each slice.
+
+    ``keys`` take few values (column names, classes, models), so both broadcast sides are
+    bounded: one row per key, and one per key and slice.
     """
     cuts = [i / slices for i in range(1, slices)]
     edges = counts.groupBy(*keys).agg(
         F.percentile_approx(order, cuts, 20 * slices).alias("_edges")
     )
-    sliced = counts.join(F.broadcast(edges), list(keys)).withColumn(
-        "_slice", F.size(F.filter("_edges", lambda edge: edge < F.col(order)))
-    ).drop("_edges")
-
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
+    sliced = counts.join(F.broadcast(edges), list(keys)).selectExpr(
+        *counts.columns, f"size(filter(_edges, e -> e < {order})) AS _slice"
     )
     whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "_slice").agg(*[F.sum(t).alias(t) for t in totals])
         .select(
@@ -91,48 +110,31 @@ def quantiles(
     keys: Sequence[str],
     shares: dict[str, float],
     method: str = "linear",
+    one_window_rows: int = ONE_WINDOW_ROWS,
 ) -> DataFrame:
-    """Interpolated quantiles of weighted values: ``keys…`` and one column per entry of ``shares``.
+    """Interpolated quantiles of counted values: ``keys…`` and one column per entry of ``shares``.
 
     ``linear`` puts share p at position p·(n−1); ``midpoint`` at p·n−½, as box plots do.
     """
-    ranked = running_totals(counts, keys, "value", ["n"])
-    size = F.col("n_total")
-
-    def position(share: float):
-        if method == "linear":
-            return F.lit(share) * (size - 1)
-        if method == "midpoint":
-            raw = F.lit(share) * size - F.lit(0.5)
-            return F.least(F.greatest(raw, F.lit(0.0)), (size - 1).cast("double"))
+    positions = {
+        "linear": "{p}D * (n_total - 1)",
+        "midpoint": "least(greatest({p}D * n_total - 0.5D, 0D), double(n_total - 1))",
+    }
+    if method not in positions:
         raise ValueError(f"unknown quantile method: {method}")
-
-    def value_at(rank):
-        covers = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(covers, F.col("value")))
-
-    bounds = []
-    for name, share in shares.items():
-        at = position(share)
-        bounds += [
-            value_at(F.floor(at)).alias(f"_{name}_low"),
-            value_at(F.ceil(at)).alias(f"_{name}_high"),
-            F.max(at - F.floor(at)).alias(f"_{name}_part"),
-        ]
-    return ranked.groupBy(*keys).agg(*bounds).select(
-        *keys,
-        *[
-            (
-                F.col(f"_{name}_low")
-                + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * F.col(f"_{name}_part")
-            ).alias(name)
-            for name in shares
-        ],
-    )
+    ranked = running_totals(counts, keys, "value", ["n"], one_window_rows)
+    at = {name: positions[method].format(p=float(p)) for name, p in shares.items()}
+    bounds, values = [], []
+    for name, place in at.items():
+        for end, rank in (("low", f"floor({place})"), ("high", f"ceil({place})")):
+            bounds.append(F.expr(
+                f"max(CASE WHEN n_before <= {rank} AND {rank} < n_before + n THEN value END)"
+            ).alias(f"_{name}_{end}"))
+        bounds.append(F.expr(f"max({place} - floor({place}))").alias(f"_{name}_part"))
+        values.append(f"_{name}_low + (_{name}_high - _{name}_low) * _{name}_part AS {name}")
+    return ranked.groupBy(*keys).agg(*bounds).selectExpr(*keys, *values)
 
 
 def most_frequent(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys…, value``: the most frequent value, the smallest one on a tie."""
-    return counts.groupBy(*keys).agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value")
-    )
+    return counts.groupBy(*keys).agg(F.expr("min_by(value, struct(-n, value))").alias("value"))

@@ -6,6 +6,7 @@ modes are taken before out-of-range numbers are clipped.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -33,6 +34,11 @@ class CleaningStats:
     modes: dict[str, str] = field(default_factory=dict)
 
 
+def replace_columns(df: DataFrame, expressions: Mapping[str, str]) -> DataFrame:
+    """Columns replaced or added by SQL text, in one projection."""
+    return df.withColumns({c: F.expr(text) for c, text in expressions.items()})
+
+
 def trim_columns(df: DataFrame) -> DataFrame:
     """Strip blanks around column names."""
     return df.toDF(*[c.strip() for c in df.columns])
@@ -43,27 +49,38 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
     The group-by collapses copies before the shuffle, so a row with very many copies stays cheap.
     """
-    source = [c for c in df.columns if c != ID]
     if ID not in df.columns:
         return df.distinct()
+    source = [c for c in df.columns if c != ID]
     return df.groupBy(*source).agg(F.min(ID).alias(ID)).select(*df.columns)
 
 
+def _target() -> str:
+    accepted = ", ".join(f"'{t}'" for t in TRUE_TEXTS)
+    return f"CASE WHEN lower(trim(CAST({TARGET} AS STRING))) IN ({accepted}) THEN 1 ELSE 0 END"
+
+
+def _binary(c: str) -> str:
+    return f"CASE WHEN {c} = 'yes' THEN 1 ELSE 0 END"
+
+
 def normalise_target(df: DataFrame) -> DataFrame:
     """Target text to 1 for the accepted "true" spellings and 0 for all else, null included."""
-    text = F.lower(F.trim(F.col(TARGET).cast("string")))
-    return df.withColumn(TARGET, F.when(text.isin(*TRUE_TEXTS), 1).otherwise(0))
+    return replace_columns(df, {TARGET: _target()})
 
 
 def map_binary(df: DataFrame) -> DataFrame:
     """``yes`` to 1; ``no``, null and any other text to 0."""
-    present = [c for c in BINARY_COLUMNS if c in df.columns]
-    return df.withColumns({c: F.when(F.col(c) == "yes", 1).otherwise(0) for c in present})
+    return replace_columns(df, {c: _binary(c) for c in BINARY_COLUMNS if c in df.columns})
 
 
 def coerce_numeric(df: DataFrame) -> DataFrame:
     """Numeric columns to double, unreadable text to null. All of them must be there."""
-    return df.withColumns({c: to_number(F.col(c).cast("string")) for c in NUMERIC_COLUMNS})
+    kinds = dict(df.dtypes)
+    return replace_columns(df, {
+        c: to_number(c if kinds.get(c) == "string" else f"CAST({c} AS STRING)")
+        for c in NUMERIC_COLUMNS
+    })
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -71,6 +88,17 @@ def typed(df: DataFrame) -> DataFrame:
     return df.transform(normalise_target).transform(map_binary).transform(coerce_numeric)
 
 
+def unique_typed_rows(raw: DataFrame) -> DataFrame:
+    """De-duplicated, typed rows as a written table.
+
+    This is the one wide shuffle of cleaning, done once; every later pass scans the written
+    columns it needs.
+    """
+    return materialise(
+        raw.transform(trim_columns).transform(drop_duplicates).transform(typed), "unique_rows"
+    )
+
+
 def _text_columns(df: DataFrame) -> list[str]:
     return [
         f.name for f in df.schema.fields
@@ -79,8 +107,8 @@ def _text_columns(df: DataFrame) -> list[str]:
 
 
 def _columns_with_nulls(df: DataFrame, columns: list[str]) -> list[str]:
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    return [c for c in columns if counts[c]]
+    filled = df.select(F.count(F.lit(1)), *[F.count(c) for c in columns]).first()
+    return [c for c, n in zip(columns, filled[1:]) if n < filled[0]]
 
 
 def fit_cleaning(df: DataFrame, every_column: bool = False) -> CleaningStats:
@@ -107,40 +135,36 @@ def fit_cleaning(df: DataFrame, every_column: bool = False) -> CleaningStats:
     return CleaningStats(medians, modes)
 
 
-def _fill(df: DataFrame, values: dict) -> DataFrame:
-    present = {c: v for c, v in values.items() if c in df.columns}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in present.items()})
-
-
 def impute_median(df: DataFrame, stats: CleaningStats) -> DataFrame:
     """Nulls of numeric columns to the fitted median."""
-    return _fill(df, stats.medians)
+    values = {c: v for c, v in stats.medians.items() if c in df.columns}
+    return df.na.fill(values) if values else df
 
 
 def impute_mode(df: DataFrame, stats: CleaningStats) -> DataFrame:
     """Nulls of text columns to the fitted mode."""
-    return _fill(df, stats.modes)
+    values = {c: v for c, v in stats.modes.items() if c in df.columns}
+    return df.na.fill(values) if values else df
 
 
 def impute(df: DataFrame, stats: CleaningStats) -> DataFrame:
     return df.transform(impute_median, stats).transform(impute_mode, stats)
 
 
-def zero_grades():
-    """Both period grades 0 but a final grade above 0: the period grades are probably missing."""
-    return (F.col("Grade_1") == 0) & (F.col("Grade_2") == 0) & (F.col("Final_Grade") > 0)
-
-
 def flag_zero_grades(df: DataFrame) -> DataFrame:
-    """How many rows look as if their period grades were missing. The rows stay as they are."""
-    return df.agg(F.count_if(zero_grades()).alias("zero_grade_rows"))
+    """How many rows have both period grades 0 but a final grade above 0.
+
+    Their period grades are probably missing. The rows stay as they are.
+    """
+    return df.selectExpr(
+        "count_if(Grade_1 = 0 AND Grade_2 = 0 AND Final_Grade > 0) AS zero_grade_rows"
+    )
 
 
 def clip_ranges(df: DataFrame) -> DataFrame:
     """Out-of-range numbers to the nearest valid one."""
-    return df.withColumns({
-        c: clamp(F.col(c), low, high)
-        for c, (low, high) in VALUE_RANGES.items() if c in df.columns
+    return replace_columns(df, {
+        c: clamp(c, low, high) for c, (low, high) in VALUE_RANGES.items() if c in df.columns
     })
 
 
@@ -149,68 +173,45 @@ def apply_cleaning(df: DataFrame, stats: CleaningStats) -> DataFrame:
     return df.transform(impute, stats).transform(clip_ranges)
 
 
-def unique_rows(raw: DataFrame) -> DataFrame:
-    """De-duplicated raw rows as a written table: the one wide shuffle of cleaning, done once."""
-    return materialise(raw.transform(trim_columns).transform(drop_duplicates), "unique_rows")
-
-
 def clean(raw: DataFrame) -> DataFrame:
     """Raw text table to clean table: one shuffle, then narrow passes over the written rows."""
-    rows = typed(unique_rows(raw))
+    rows = unique_typed_rows(raw)
     return apply_cleaning(rows, fit_cleaning(rows))
 
 
 def clean_audit(raw: DataFrame) -> DataFrame:
     """``check, column, n``: what cleaning removed, filled in or clipped."""
     named = raw.transform(trim_columns)
-    texts = unique_rows(raw)
-    rows = typed(texts)
-    stats = fit_cleaning(rows)
-
-    binary = [c for c in BINARY_COLUMNS if c in rows.columns]
-    numeric = [c for c in NUMERIC_COLUMNS if c in rows.columns]
-    categorical = _text_columns(rows)
-    ranged = [c for c in VALUE_RANGES if c in rows.columns]
-
-    def filled(c: str):
-        value = F.col(f"t.{c}")
-        return F.coalesce(value, F.lit(stats.medians[c])) if c in stats.medians else value
-
-    def outside(c: str):
-        low, high = VALUE_RANGES[c]
-        return (filled(c) < low) | (filled(c) > high)
-
-    no_period_grades = (filled("Grade_1") == 0) & (filled("Grade_2") == 0)
-    counted = (
-        [("unexpected_binary", c, ~F.coalesce(F.col(f"r.{c}").isin("yes", "no"), F.lit(False)))
-         for c in binary]
-        + [("imputed_median", c, F.col(f"t.{c}").isNull()) for c in numeric]
-        + [("imputed_mode", c, F.col(f"t.{c}").isNull()) for c in categorical]
-        + [("zero_grades", "Grade_1", no_period_grades & (filled("Final_Grade") > 0))]
-        + [("out_of_range", c, outside(c)) for c in ranged]
-    )
-    # Text and typed value of each row side by side, from the same scan.
-    both = texts.select(
-        F.struct(*binary).alias("r"), *texts.columns
-    ).transform(typed).select("r", F.struct(*rows.columns).alias("t"))
-    census = both.agg(
-        F.count(F.lit(1)).alias("kept"),
-        *[F.count_if(test).alias(f"c{i}") for i, (_, _, test) in enumerate(counted)],
-    )
-    checks = F.array(*[
-        F.struct(F.lit(check).alias("check"), F.lit(c).alias("column"), F.col(f"c{i}").alias("n"))
-        for i, (check, c, _) in enumerate(counted)
-    ], F.struct(
-        F.lit("kept_rows").alias("check"), F.lit("*").alias("column"), F.col("kept").alias("n")
-    ))
-    read = named.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("read_rows").alias("check"), F.lit("*").alias("column"), "n"
+    binary = [c for c in BINARY_COLUMNS if c in named.columns]
+    marked = named.transform(drop_duplicates).withColumns({
+        f"_odd_{c}": F.expr(f"NOT coalesce({c} IN ('yes', 'no'), false)") for c in binary
+    })
+    rows = materialise(typed(marked), "audited_rows")
+    plain = rows.drop(*[f"_odd_{c}" for c in binary])
+    filled = rows.transform(impute, fit_cleaning(plain))
+
+    numeric = [c for c in NUMERIC_COLUMNS if c in plain.columns]
+    ranged = [c for c in VALUE_RANGES if c in plain.columns]
+    before = [("unexpected_binary", c, f"_odd_{c}") for c in binary]
+    before += [("imputed_median", c, f"{c} IS NULL") for c in numeric]
+    before += [("imputed_mode", c, f"{c} IS NULL") for c in _text_columns(plain)]
+    after = [(
+        "zero_grades", "Grade_1", "Grade_1 = 0 AND Grade_2 = 0 AND Final_Grade > 0"
+    )] + [
+        ("out_of_range", c, "{0} < {1} OR {0} > {2}".format(c, *VALUE_RANGES[c])) for c in ranged
+    ]
+    copies = named.select(F.count(F.lit(1)).alias("n")).unionByName(
+        rows.select((-F.count(F.lit(1))).alias("n"))
     )
-    rows_of_report = census.select(F.inline(checks)).unionByName(read)
-    removed = (
-        rows_of_report.where(F.col("column") == "*")
-        .agg(F.sum(F.when(F.col("check") == "read_rows", F.col("n")).otherwise(-F.col("n")))
-             .alias("n"))
-        .select(F.lit("duplicates").alias("check"), F.lit("*").alias("column"), "n")
+    return (
+        _counts(rows, before)
+        .unionByName(_counts(filled, after))
+        .unionByName(copies.selectExpr("'duplicates' AS check", "'*' AS column", "sum(n) AS n"))
     )
-    return rows_of_report.where(F.col("column") != "*").unionByName(removed)
+
+
+def _counts(df: DataFrame, tests: list[tuple[str, str, str]]) -> DataFrame:
+    """One row ``check, column, n`` per test, all counted in one pass."""
+    counted = df.selectExpr(*[f"count_if({test}) AS c{i}" for i, (_, _, test) in enumerate(tests)])
+    cells = ", ".join(f"'{check}', '{c}', c{i}" for i, (check, c, _) in enumerate(tests))
+    return counted.selectExpr(f"stack({len(tests)}, {cells}) AS (check, column, n)")

@@ -1,7 +1,7 @@
 """The ten risk features of a clean learner table.
 
 Two of them need table-wide extremes. Those are fitted first (one row reaches the driver) and
-then enter the column expressions as literals, so building features never shuffles.
+then enter the expressions as constants, so building features never shuffles.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from holdfast.config import (
     ABSENCE_THRESHOLD,
     ALCOHOL_WEIGHTS,
     ENGAGEMENT_WEIGHTS,
+    FEATURE_COLUMNS,
     GRADE_CEILING,
     GRADE_WEIGHTS,
     RISK_WEIGHTS,
@@ -28,94 +29,69 @@ from holdfast.functions.numbers import clamp, half_even, ratio, weighted_sum
 class FeatureStats:
     """Table-wide extremes; kept with a model so that new rows are scored on the same scale."""
 
-    social_low: float | None
-    social_high: float | None
-    engagement_high: float | None
-
-
-def academic_performance_score(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "academic_performance_score", half_even(weighted_sum(df, GRADE_WEIGHTS), 2)
-    )
-
-
-def grade_progression(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "grade_progression", half_even(F.col("Grade_2") - F.col("Grade_1"), 2)
-    )
-
-
-def alcohol_risk_score(df: DataFrame) -> DataFrame:
-    return df.withColumn("alcohol_risk_score", half_even(weighted_sum(df, ALCOHOL_WEIGHTS), 2))
-
-
-def social_risk_index(df: DataFrame, stats: FeatureStats) -> DataFrame:
-    """Weighted outings, alcohol and free time, scaled to [0, 1]; null if the table has no spread."""
-    low = F.lit(stats.social_low).cast("double")
-    spread = F.lit(stats.social_high).cast("double") - low
-    scaled = ratio(weighted_sum(df, SOCIAL_WEIGHTS) - low, spread)
-    return df.withColumn("social_risk_index", half_even(scaled, 3))
-
-
-def family_support_score(df: DataFrame) -> DataFrame:
-    return df.withColumn("family_support_score", half_even(weighted_sum(df, SUPPORT_WEIGHTS), 2))
-
-
-def engagement_score(df: DataFrame) -> DataFrame:
-    return df.withColumn("engagement_score", half_even(weighted_sum(df, ENGAGEMENT_WEIGHTS), 2))
-
-
-def parental_education_level(df: DataFrame) -> DataFrame:
-    mean = (F.col("Mother_Education") + F.col("Father_Education")) / 2
-    return df.withColumn("parental_education_level", half_even(mean, 2))
-
-
-def absence_risk_flag(df: DataFrame) -> DataFrame:
-    risky = F.col("Number_of_Absences") >= ABSENCE_THRESHOLD
-    return df.withColumn("absence_risk_flag", F.when(risky, 1).otherwise(0))
-
-
-def failure_history_flag(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "failure_history_flag", F.when(F.col("Number_of_Failures") > 0, 1).otherwise(0)
-    )
-
-
-def combined_risk_score(df: DataFrame, stats: FeatureStats) -> DataFrame:
-    """Weighted blend of the other risk signals."""
-    relative_grade = clamp(F.col("academic_performance_score") / GRADE_CEILING, 0, 1)
-    engaged = ratio(F.col("engagement_score"), F.lit(stats.engagement_high).cast("double"))
-    blend = (
-        (F.lit(1.0) - relative_grade) * RISK_WEIGHTS["performance"]
-        + F.col("social_risk_index") * RISK_WEIGHTS["social"]
-        + F.col("absence_risk_flag") * RISK_WEIGHTS["absence"]
-        + F.col("failure_history_flag") * RISK_WEIGHTS["failure"]
-        + (F.lit(1.0) - engaged) * RISK_WEIGHTS["engagement"]
-    )
-    return df.withColumn("combined_risk_score", half_even(blend, 3))
+    social_low: float | None = None
+    social_high: float | None = None
+    engagement_high: float | None = None
+
+
+def _constant(value: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if value is None else f"double('{value!r}')"
+
+
+def feature_expressions(columns, stats: FeatureStats) -> dict[str, str]:
+    """SQL text of each feature; later ones may name earlier ones."""
+    inputs = {*columns, *FEATURE_COLUMNS}
+    low, high = _constant(stats.social_low), _constant(stats.social_high)
+    relative_grade = clamp(f"(academic_performance_score / {GRADE_CEILING})", 0, 1)
+    engaged = ratio("engagement_score", _constant(stats.engagement_high))
+    blend = {
+        "performance": f"(1 - {relative_grade})",
+        "social": "social_risk_index",
+        "absence": "absence_risk_flag",
+        "failure": "failure_history_flag",
+        "engagement": f"(1 - {engaged})",
+    }
+    social = weighted_sum(inputs, SOCIAL_WEIGHTS)
+    return {
+        "academic_performance_score": half_even(weighted_sum(inputs, GRADE_WEIGHTS), 2),
+        "grade_progression": half_even("Grade_2 - Grade_1", 2),
+        "alcohol_risk_score": half_even(weighted_sum(inputs, ALCOHOL_WEIGHTS), 2),
+        "social_risk_index": half_even(ratio(f"({social}) - {low}", f"{high} - {low}"), 3),
+        "family_support_score": half_even(weighted_sum(inputs, SUPPORT_WEIGHTS), 2),
+        "engagement_score": half_even(weighted_sum(inputs, ENGAGEMENT_WEIGHTS), 2),
+        "parental_education_level": half_even("(Mother_Education + Father_Education) / 2D", 2),
+        "absence_risk_flag": (
+            f"CASE WHEN Number_of_Absences >= {ABSENCE_THRESHOLD} THEN 1 ELSE 0 END"
+        ),
+        "failure_history_flag": "CASE WHEN Number_of_Failures > 0 THEN 1 ELSE 0 END",
+        "combined_risk_score": half_even(
+            " + ".join(f"{blend[part]} * {w}D" for part, w in RISK_WEIGHTS.items()), 3
+        ),
+    }
+
+
+def add_feature(df: DataFrame, name: str, stats: FeatureStats = FeatureStats()) -> DataFrame:
+    """One feature; ``df`` must hold the earlier features it is built from."""
+    return df.withColumn(name, F.expr(feature_expressions(df.columns, stats)[name]))
 
 
 def fit_features(clean: DataFrame) -> FeatureStats:
     """The extremes, from one pass over the few columns they need."""
-    scored = clean.transform(alcohol_risk_score).transform(engagement_score)
-    social = weighted_sum(scored, SOCIAL_WEIGHTS)
-    row = scored.agg(F.min(social), F.max(social), F.max("engagement_score")).first()
+    scored = clean.transform(add_feature, "alcohol_risk_score")
+    scored = scored.transform(add_feature, "engagement_score")
+    social = weighted_sum(scored.columns, SOCIAL_WEIGHTS)
+    row = scored.selectExpr(
+        f"min({social})", f"max({social})", "max(engagement_score)"
+    ).first()
     return FeatureStats(*row)
 
 
 def apply_features(clean: DataFrame, stats: FeatureStats) -> DataFrame:
-    """All ten features with known extremes; no job, also fit for streams."""
-    return (
-        clean.transform(academic_performance_score)
-        .transform(grade_progression)
-        .transform(alcohol_risk_score)
-        .transform(social_risk_index, stats)
-        .transform(family_support_score)
-        .transform(engagement_score)
-        .transform(parental_education_level)
-        .transform(absence_risk_flag)
-        .transform(failure_history_flag)
-        .transform(combined_risk_score, stats)
+    """All ten features with known extremes, in one projection; also fit for streams."""
+    kept = [c for c in clean.columns if c not in FEATURE_COLUMNS]
+    expressions = feature_expressions(kept, stats)
+    return clean.select(*kept).selectExpr(
+        "*", *[f"{text} AS {name}" for name, text in expressions.items()]
     )
 
 
