@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from catalog.chain import after, columns, number, target
 from catalog import chain
+from catalog.chain import after, columns, r, target
 from holdfast.config import (
     BINARY_COLUMNS,
     CATEGORICAL_COLUMNS,
+    CORRELATION_COLUMNS,
     FEATURE_COLUMNS,
     ID,
+    MODEL_NUMERIC_COLUMNS,
     NUMERIC_COLUMNS,
+    QUALITY_RULES,
+    SCALED_COLUMNS,
     SOURCE_COLUMNS,
     TARGET,
     VALUE_RANGES,
@@ -59,3 +63,308 @@ ORACLES["clean_audit"] = after("filled", "\nUNION ALL ".join(
 for _feature in FEATURE_COLUMNS:
     ORACLES[_feature] = after("features", f"SELECT {ID}, {_feature} FROM features")
 ORACLES["build_feature_set"] = after("features", "SELECT * FROM features")
+
+
+# Profiles and cohorts.
+
+_RATE = (
+    f"SELECT count(*) AS n_students, {r('sum(Dropped_Out) / nullif(count(*), 0)', 4)} "
+    "AS dropout_rate FROM typed_raw WHERE "
+)
+_LOW = "Grade_1 <= 10 AND Grade_2 <= 10 AND Final_Grade <= 10"
+ORACLES["low_grade_cohort"] = after("typed_raw", _RATE + _LOW)
+ORACLES["low_grade_sample"] = after(
+    "typed_raw",
+    "SELECT student_id, Grade_1, Grade_2, Final_Grade, Number_of_Absences, Dropped_Out "
+    f"FROM typed_raw WHERE {_LOW} ORDER BY student_id LIMIT 20",
+)
+ORACLES["zero_final_cohort"] = after("typed_raw", _RATE + "Final_Grade = 0")
+ORACLES["high_absence_cohort"] = after("typed_raw", _RATE + "Number_of_Absences > 20")
+
+_ALL_FEATURES = [c for c in chain.FEATURE_TABLE if c != ID]
+
+
+def table_stats_sql(source: str, names: list[str]) -> str:
+    nulls = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in names)
+    return f"""SELECT 'n_students' AS stat, CAST(count(*) AS DOUBLE) AS value FROM {source}
+UNION ALL SELECT 'n_features', {len(names)}e0
+UNION ALL SELECT 'dropout_rate_pct', {r('avg(Dropped_Out) * 100', 2)} FROM {source}
+UNION ALL SELECT 'missing_values', CAST({nulls} AS DOUBLE) FROM {source}
+UNION ALL SELECT 'duplicates', CAST((SELECT count(*) FROM {source}) - (SELECT count(*) FROM
+  (SELECT DISTINCT {columns(*names)} FROM {source})) AS DOUBLE)"""
+
+
+ORACLES["table_stats"] = after("features", table_stats_sql("features", _ALL_FEATURES))
+
+
+def summary_sql(source: str, names: list[str]) -> str:
+    parts = []
+    for c in names:
+        stats = {
+            "count": "count(x)", "mean": "avg(x)", "std": "stddev_samp(x)", "min": "min(x)",
+            "25%": "quantile_cont(x, 0.25)", "50%": "quantile_cont(x, 0.5)",
+            "75%": "quantile_cont(x, 0.75)", "max": "max(x)",
+        }
+        cells = ", ".join(f"{r(text, 2)} AS \"{name}\"" for name, text in stats.items())
+        parts.append(f"SELECT '{c}' AS \"column\", {cells} "
+                     f"FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {source})")
+    stat_names = ", ".join(f'"{s}"' for s in
+                           ("count", "mean", "std", "min", "25%", "50%", "75%", "max"))
+    return (
+        "SELECT \"column\", stat, value FROM (" + "\nUNION ALL ".join(parts)
+        + f") UNPIVOT (value FOR stat IN ({stat_names}))"
+    )
+
+
+_NUMERIC = [c for c in _ALL_FEATURES if c not in CATEGORICAL_COLUMNS]
+ORACLES["numeric_summary"] = after("features", summary_sql("features", _NUMERIC))
+ORACLES["numeric_summary_lineitem"] = summary_sql(
+    "lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+_STATUS = "CASE Dropped_Out WHEN 0 THEN 'Actif' WHEN 1 THEN 'Décroché' END"
+ORACLES["target_distribution"] = after(
+    "features",
+    f"SELECT Dropped_Out, {_STATUS} AS label, count(*) AS count FROM features GROUP BY 1, 2",
+)
+ORACLES["grade_histogram"] = after("features", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS grade, {_STATUS} AS status, CAST(floor({c}) AS BIGINT) AS bin, "
+    "count(*) AS count FROM features GROUP BY 2, 3"
+    for c in ("Grade_1", "Grade_2", "Final_Grade")
+))
+
+
+def correlation_sql(source: str, names: list[str]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, {r(f'corr({a}, {b})', 2)} AS correlation "
+        f"FROM {source}"
+        for a in names for b in names
+    )
+
+
+ORACLES["correlation_matrix"] = after(
+    "features", correlation_sql("features", list(CORRELATION_COLUMNS)))
+ORACLES["correlation_matrix_with_nulls"] = after("typed", correlation_sql(
+    "typed", [c for c in CORRELATION_COLUMNS if c not in FEATURE_COLUMNS]))
+ORACLES["absence_box"] = after(
+    "features",
+    """SELECT status, q1, median, q3, count(*) AS count, min(x) AS min, max(x) AS max,
+  min(x) FILTER (x BETWEEN lo AND hi) AS low_whisker,
+  max(x) FILTER (x BETWEEN lo AND hi) AS high_whisker,
+  count(*) FILTER (x NOT BETWEEN lo AND hi) AS outliers
+FROM (SELECT *, q1 - 1.5e0 * (q3 - q1) AS lo, q3 + 1.5e0 * (q3 - q1) AS hi FROM box) b
+JOIN rows_by_status USING (status) GROUP BY status, q1, median, q3""",
+    f"rows_by_status AS (SELECT {_STATUS} AS status, Number_of_Absences AS x FROM features)",
+    "box AS (SELECT status, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, "
+    "quantile_cont(x, 0.75) AS q3 FROM rows_by_status GROUP BY status)",
+)
+ORACLES["study_time_by_status"] = after(
+    "features",
+    "SELECT * FROM (SELECT CASE Study_Time WHEN 1 THEN '<2h' WHEN 2 THEN '2-5h' "
+    "WHEN 3 THEN '5-10h' WHEN 4 THEN '>10h' END AS study_time, "
+    f"{_STATUS} AS status, count(*) AS count FROM features GROUP BY 1, 2) "
+    "WHERE study_time IS NOT NULL",
+)
+ORACLES["risk_histogram"] = after(
+    "features",
+    f"SELECT status, bin, {r('lo + bin * width', 6)} AS bin_start, count(*) AS count FROM ("
+    f"SELECT {_STATUS} AS status, lo, width, "
+    "least(CAST(floor((combined_risk_score - lo) / width) AS BIGINT), 29) AS bin "
+    "FROM features, edges) GROUP BY status, bin, lo, width",
+    "edges AS (SELECT min(combined_risk_score) AS lo, "
+    "(max(combined_risk_score) - min(combined_risk_score)) / 30e0 AS width FROM features)",
+)
+_INSIGHTS = {
+    "dropout_rate_pct": r("avg(Dropped_Out) * 100", 2),
+    "dropout_rate_with_failure_pct": r("avg(Dropped_Out) FILTER (Number_of_Failures > 0) * 100", 2),
+    "dropout_rate_high_absence_pct": r("avg(Dropped_Out) FILTER (absence_risk_flag = 1) * 100", 2),
+    "avg_final_grade_dropout": r("avg(Final_Grade) FILTER (Dropped_Out = 1)", 2),
+    "avg_final_grade_active": r("avg(Final_Grade) FILTER (Dropped_Out = 0)", 2),
+    "combined_risk_score_correlation": r("corr(combined_risk_score, Dropped_Out)", 3),
+}
+_INSIGHT_ROWS = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS insight, {text} AS value FROM features"
+    for name, text in _INSIGHTS.items()
+)
+ORACLES["insights"] = after("features", _INSIGHT_ROWS)
+ORACLES["run_eda"] = after("features", f"""
+SELECT 'statistics' AS section, 'table' AS item, stat, value
+FROM ({table_stats_sql("features", _ALL_FEATURES)})
+UNION ALL SELECT 'numeric_summary', "column", stat, value
+FROM ({summary_sql("features", _NUMERIC)})
+UNION ALL SELECT 'insights', 'table', insight, value FROM ({_INSIGHT_ROWS})""")
+
+
+# Quality rules, on typed raw rows and on the encoded feature table.
+
+_RANGES = {**VALUE_RANGES, TARGET: (0, 1)}
+
+
+def quality_sql(source: str, names: list[str], duplicates_by: list[str], has_features: bool) -> str:
+    def row(rule: str, title: str, severity: str, passed: str, details: str) -> str:
+        return (
+            f"SELECT '{rule}' AS rule, '{title}' AS test_name, '{severity}' AS severity, "
+            f"{passed} AS passed, {details} AS details, count(*) AS rows_checked FROM {source}"
+        )
+
+    nulls = ", ".join(
+        f"CASE WHEN count(*) FILTER (\"{c}\" IS NULL) > 0 THEN "
+        f"'\"{c}\":' || count(*) FILTER (\"{c}\" IS NULL) END" for c in names
+    )
+    any_null = " OR ".join(f"\"{c}\" IS NULL" for c in names)
+    out = {c: f"{c} < {lo} OR {c} > {hi}" for c, (lo, hi) in _RANGES.items()}
+    violations = ", ".join(
+        f"CASE WHEN count(*) FILTER ({out[c]}) > 0 THEN '\"{c}\":{{\"expected_range\":[{lo},{hi}],"
+        f"\"n_violations\":' || count(*) FILTER ({out[c]}) || ',\"min_found\":' "
+        f"|| min(CAST({c} AS DOUBLE)) || ',\"max_found\":' || max(CAST({c} AS DOUBLE)) || '}}' END"
+        for c, (lo, hi) in _RANGES.items()
+    )
+    classes = ", ".join(
+        f"CASE WHEN count(*) FILTER ({TARGET} = {k}) > 0 "
+        f"THEN '\"{k}\":' || count(*) FILTER ({TARGET} = {k}) END" for k in (0, 1)
+    )
+    odd = "Final_Grade > 0 AND Grade_1 = 0 AND Grade_2 = 0"
+    copies = (
+        f"(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {columns(*duplicates_by)} "
+        f"FROM {source})))"
+    )
+    missing = [] if has_features else [
+        "academic_performance_score", "grade_progression", "alcohol_risk_score",
+        "social_risk_index", "engagement_score", "combined_risk_score", "absence_risk_flag",
+        "failure_history_flag",
+    ]
+    listed = ",".join(f'"{m}"' for m in missing)
+    return "\nUNION ALL ".join([
+        row("dq_required_columns", "Colonnes requises présentes", "error", "true",
+            "'{\"missing_columns\":[]}'"),
+        row("dq_no_missing", "Absence de valeurs manquantes", "error",
+            f"count(*) FILTER ({any_null}) = 0",
+            f"'{{\"columns_with_missing\":{{' || concat_ws(',', {nulls}) || '}}}}'"),
+        row("dq_no_duplicates", "Absence de doublons", "warning", f"{copies} = 0",
+            f"'{{\"duplicate_count\":' || {copies} || '}}'"),
+        row("dq_column_types", "Types de colonnes corrects", "error", "true",
+            "'{\"type_errors\":{}}'"),
+        row("dq_value_ranges", "Valeurs dans les plages attendues", "warning",
+            f"count(*) FILTER ({' OR '.join(out.values())}) = 0",
+            f"'{{\"violations\":{{' || concat_ws(',', {violations}) || '}}}}'"),
+        row("dq_target_balance", "Variable cible non dégénérée (2 classes)", "error",
+            f"count(DISTINCT {TARGET}) = 2",
+            f"'{{\"class_counts\":{{' || concat_ws(',', {classes}) || '}}}}'"),
+        row("dq_grade_consistency", "Cohérence des notes (G1, G2, Final)", "warning",
+            f"count(*) FILTER ({odd}) = 0",
+            f"'{{\"incoherent_rows\":' || count(*) FILTER ({odd}) || '}}'"),
+        row("dq_min_rows", "Dataset contient au moins 100 lignes", "error", "count(*) >= 100",
+            "'{\"n_rows\":' || count(*) || ',\"min_required\":100}'"),
+        row("dq_feature_columns", "Features engineered présentes", "warning",
+            "true" if has_features else "false", f"'{{\"missing_features\":[{listed}]}}'"),
+    ])
+
+
+_RAW_QUALITY = quality_sql("typed_raw", list(SOURCE_COLUMNS), list(SOURCE_COLUMNS), False)
+for _rule in QUALITY_RULES:
+    ORACLES[_rule] = after("typed_raw", f"SELECT * FROM ({_RAW_QUALITY}) WHERE rule = '{_rule}'")
+ORACLES["quality_summary"] = after("typed_raw", f"""SELECT count(*) AS total_tests,
+  count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed,
+  count(*) FILTER (NOT passed AND severity = 'error') = 0 AS overall_passed
+FROM ({_RAW_QUALITY})""")
+
+# The texts that occur in each text column.
+_JOBS = ("at_home", "health", "other", "services", "teacher")
+TEXT_VALUES = {
+    "School": ("GP", "MS"),
+    "Gender": ("F", "M"),
+    "Address": ("R", "U"),
+    "Family_Size": ("GT3", "LE3"),
+    "Parental_Status": ("A", "T"),
+    "Mother_Job": _JOBS,
+    "Father_Job": _JOBS,
+    "Reason_for_Choosing_School": ("course", "home", "other", "reputation"),
+    "Guardian": ("father", "mother", "other"),
+}
+_HOT = [
+    f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\""
+    for c, values in TEXT_VALUES.items() for v in values
+]
+_HOT_NAMES = [f"{c}_{v}" for c, values in TEXT_VALUES.items() for v in values]
+
+
+def encoded_cte(source: str, names: tuple[str, ...]) -> str:
+    kept = [c for c in names if c not in CATEGORICAL_COLUMNS]
+    return f"encoded AS (SELECT {columns(*kept, *_HOT)} FROM {source})"
+
+
+_ENCODED_NAMES = [
+    c for c in chain.FEATURE_TABLE if c not in CATEGORICAL_COLUMNS and c != ID] + _HOT_NAMES
+ENCODED = encoded_cte("features", chain.FEATURE_TABLE)
+ORACLES["quality_report"] = after(
+    "features", quality_sql("encoded", _ENCODED_NAMES, _ENCODED_NAMES, True), ENCODED)
+
+
+# Encoding, split and scaling.
+
+ORACLES["one_hot"] = after(
+    "clean", "SELECT * FROM encoded", encoded_cte("clean", chain.COLUMNS))
+_LABELLED = (*CATEGORICAL_COLUMNS, *BINARY_COLUMNS)
+
+
+def codes_cte(fitted_on: str) -> list[str]:
+    """Per column, each known text with its rank."""
+    return [
+        f"codes_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS code "
+        f"FROM (SELECT DISTINCT {c} FROM {fitted_on} WHERE {c} IS NOT NULL))"
+        for c in _LABELLED
+    ]
+
+
+def encode_sql(source: str, kept: str) -> str:
+    codes = [
+        f"CAST(coalesce(c_{c}.code, (SELECT count(*) FROM codes_{c})) AS INTEGER) AS {c}"
+        for c in _LABELLED
+    ]
+    joins = " ".join(f"LEFT JOIN codes_{c} c_{c} ON c_{c}.v = t.{c}" for c in _LABELLED)
+    return f"SELECT {kept}, {columns(*codes)} FROM {source} t {joins}"
+
+
+ORACLES["label_encode"] = after("unique", encode_sql("uniq", "t.student_id"), *codes_cte("uniq"))
+ORACLES["label_encode_apply"] = after(
+    "raw", encode_sql("raw", "t.student_id, t.Age"),
+    "young AS (SELECT * FROM raw WHERE Age < '20')", *codes_cte("young"),
+)
+
+_MODEL_NAMES = list(dict.fromkeys([*MODEL_NUMERIC_COLUMNS, *BINARY_COLUMNS, *_HOT_NAMES]))
+ORACLES["select_features"] = after(
+    "features", f"SELECT {columns(ID, TARGET, *_MODEL_NAMES)} FROM encoded", ENCODED)
+
+SPLIT = """sizes AS (
+  SELECT Dropped_Out AS class, count(*) AS n, sum(count(*)) OVER () AS total
+  FROM features GROUP BY Dropped_Out),
+exact_sizes AS (
+  SELECT class, CAST(ceil(round(0.2e0 * total, 9)) AS BIGINT) AS wanted,
+         ceil(round(0.2e0 * total, 9)) * n / total AS exact FROM sizes),
+test_sizes AS (
+  SELECT class, CAST(floor(exact) AS BIGINT) + CASE WHEN
+    row_number() OVER (ORDER BY floor(exact) - exact, class)
+    <= wanted - sum(CAST(floor(exact) AS BIGINT)) OVER () THEN 1 ELSE 0 END AS n_test
+  FROM exact_sizes),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY Dropped_Out
+    ORDER BY md5(concat('42', ':', CAST(student_id AS VARCHAR)))) AS place FROM encoded),
+parts AS (
+  SELECT r.*, CASE WHEN place <= n_test THEN 'test' ELSE 'train' END AS split
+  FROM ranked r JOIN test_sizes t ON t.class = r.Dropped_Out)"""
+ORACLES["stratified_split"] = after(
+    "features", "SELECT student_id, Dropped_Out, split FROM parts", ENCODED, SPLIT)
+
+
+def _scaled(c: str, places: int | None) -> str:
+    text = (
+        f"({c} - (SELECT avg({c}) FROM parts WHERE split = 'train')) / coalesce(nullif("
+        f"(SELECT stddev_pop({c}) FROM parts WHERE split = 'train'), 0), 1)"
+    )
+    return f"{r(text, places)} AS {c}"
+
+
+ORACLES["standard_scale"] = after(
+    "features",
+    f"SELECT student_id, split, {columns(*[_scaled(c, 6) for c in SCALED_COLUMNS])} FROM parts",
+    ENCODED, SPLIT,
+)

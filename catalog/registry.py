@@ -14,9 +14,20 @@ from holdfast.config import (
     FEATURE_COLUMNS,
     ID,
     NUMERIC_COLUMNS,
+    QUALITY_RULES,
     TARGET,
 )
-from holdfast.operators import cleaning, features
+from holdfast.functions.numbers import half_even
+from holdfast.operators import (
+    cleaning,
+    cohorts,
+    encoding,
+    features,
+    profiling,
+    quality,
+    splitting,
+)
+from holdfast.workspace import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,3 +130,170 @@ for _name in FEATURE_COLUMNS:
 @register
 def build_feature_set(spark, sf_dir):
     return featured(spark, sf_dir)
+
+
+# Profiles, cohorts and quality rules.
+
+
+def written_features(spark, sf_dir):
+    """The feature table as the pipeline stores it, for the operators that read it repeatedly."""
+    return materialise(featured(spark, sf_dir), "features")
+
+
+def typed_raw(spark, sf_dir):
+    """Typed rows before de-duplication, imputation and clipping: what the raw-file reports read."""
+    return cleaning.typed(raw(spark, sf_dir))
+
+
+def encoded(spark, sf_dir):
+    return encoding.one_hot(featured(spark, sf_dir))
+
+
+@register
+def low_grade_cohort(spark, sf_dir):
+    return cohorts.cohort_rate(cohorts.low_grades(typed_raw(spark, sf_dir)))
+
+
+@register
+def low_grade_sample(spark, sf_dir):
+    return cohorts.cohort_sample(cohorts.low_grades(typed_raw(spark, sf_dir)))
+
+
+@register
+def zero_final_cohort(spark, sf_dir):
+    return cohorts.cohort_rate(cohorts.zero_final(typed_raw(spark, sf_dir)))
+
+
+@register
+def high_absence_cohort(spark, sf_dir):
+    return cohorts.cohort_rate(cohorts.many_absences(typed_raw(spark, sf_dir)))
+
+
+@register
+def table_stats(spark, sf_dir):
+    return profiling.table_stats(featured(spark, sf_dir))
+
+
+@register
+def numeric_summary(spark, sf_dir):
+    return profiling.numeric_summary(featured(spark, sf_dir))
+
+
+@register
+def numeric_summary_lineitem(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return profiling.numeric_summary(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@register
+def target_distribution(spark, sf_dir):
+    return profiling.target_distribution(featured(spark, sf_dir))
+
+
+@register
+def grade_histogram(spark, sf_dir):
+    return profiling.grade_histogram(featured(spark, sf_dir))
+
+
+@register
+def correlation_matrix(spark, sf_dir):
+    return profiling.correlation_matrix(featured(spark, sf_dir))
+
+
+@register
+def correlation_matrix_with_nulls(spark, sf_dir):
+    return profiling.correlation_matrix(typed_unique(spark, sf_dir))
+
+
+@register
+def absence_box(spark, sf_dir):
+    return profiling.absence_box(featured(spark, sf_dir))
+
+
+@register
+def study_time_by_status(spark, sf_dir):
+    return profiling.study_time_by_status(featured(spark, sf_dir))
+
+
+@register
+def risk_histogram(spark, sf_dir):
+    return profiling.risk_histogram(featured(spark, sf_dir))
+
+
+@register
+def insights(spark, sf_dir):
+    return profiling.insights(featured(spark, sf_dir))
+
+
+@register
+def run_eda(spark, sf_dir):
+    return profiling.eda_report(written_features(spark, sf_dir))
+
+
+def _rule(name):
+    def query(spark, sf_dir):
+        return quality.quality_report(typed_raw(spark, sf_dir)).where(F.col("rule") == name)
+
+    query.__name__ = name
+    return register(query)
+
+
+for _name in QUALITY_RULES:
+    _rule(_name)
+
+
+@register
+def quality_report(spark, sf_dir):
+    return quality.quality_report(materialise(encoded(spark, sf_dir), "encoded"))
+
+
+@register
+def quality_summary(spark, sf_dir):
+    return quality.quality_summary(quality.quality_report(typed_raw(spark, sf_dir)))
+
+
+# Encoding, split and scaling.
+
+
+@register
+def one_hot(spark, sf_dir):
+    return encoding.one_hot(cleaned(spark, sf_dir))
+
+
+@register
+def label_encode(spark, sf_dir):
+    table = cleaning.drop_duplicates(raw(spark, sf_dir)).drop(TARGET)
+    return encoding.label_encode(table.select(ID, *CATEGORICAL_COLUMNS, *BINARY_COLUMNS))
+
+
+@register
+def label_encode_apply(spark, sf_dir):
+    """Codes fitted on learners younger than 20, applied to all of them."""
+    table = raw(spark, sf_dir).select(ID, "Age", *CATEGORICAL_COLUMNS, *BINARY_COLUMNS)
+    young = encoding.fit_dictionary(table.where("Age < '20'").drop("Age"))
+    return encoding.label_encode(table, young)
+
+
+@register
+def select_features(spark, sf_dir):
+    return encoding.select_features(encoded(spark, sf_dir))
+
+
+def split_features(spark, sf_dir):
+    table = encoding.select_features(encoded(spark, sf_dir))
+    return splitting.stratified_split(table)
+
+
+@register
+def stratified_split(spark, sf_dir):
+    return split_features(spark, sf_dir).select(ID, TARGET, "split")
+
+
+@register
+def standard_scale(spark, sf_dir):
+    table = split_features(spark, sf_dir)
+    scaling = encoding.fit_scaling(table.where("split = 'train'"))
+    scaled = encoding.standard_scale(table, scaling)
+    return scaled.selectExpr(
+        ID, "split", *[f"{half_even(c, 6)} AS {c}" for c in scaling.mean]
+    )
