@@ -10,12 +10,15 @@ from holdfast.config import (
     CORRELATION_COLUMNS,
     FEATURE_COLUMNS,
     ID,
+    MISSING_TOKENS,
     MODEL_NUMERIC_COLUMNS,
     NUMERIC_COLUMNS,
     QUALITY_RULES,
+    REQUEST_FIELDS,
     SCALED_COLUMNS,
     SOURCE_COLUMNS,
     TARGET,
+    UPLOAD_FIELDS,
     VALUE_RANGES,
 )
 
@@ -368,3 +371,206 @@ ORACLES["standard_scale"] = after(
     f"SELECT student_id, split, {columns(*[_scaled(c, 6) for c in SCALED_COLUMNS])} FROM parts",
     ENCODED, SPLIT,
 )
+
+
+# Sources, sinks and the data pipeline.
+
+_TOKENS = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
+READ_BACK = (
+    "read_back AS (SELECT student_id, "
+    + columns(*[f"CASE WHEN {c} IN ({_TOKENS}) THEN NULL ELSE {c} END AS {c}"
+                for c in SOURCE_COLUMNS])
+    + " FROM raw)"
+)
+UPLOAD_NAMES = {source: field for field, source, _, _ in REQUEST_FIELDS if field in UPLOAD_FIELDS}
+_RENAMED = columns(ID, *[
+    f"{c} AS {UPLOAD_NAMES[c]}" if c in UPLOAD_NAMES else c for c in SOURCE_COLUMNS])
+ORACLES["load_raw"] = after("raw", "SELECT * FROM read_back", READ_BACK)
+ORACLES["load_upload"] = after("raw", f"SELECT {_RENAMED} FROM read_back", READ_BACK)
+ORACLES["save_processed"] = after("features", "SELECT * FROM encoded", ENCODED)
+ORACLES["save_features"] = ORACLES["build_feature_set"]
+
+_SCALED_ROWS = (
+    f"scaled AS (SELECT student_id, Dropped_Out, split, "
+    + columns(*[_scaled(c, 6) if c in SCALED_COLUMNS else c for c in _MODEL_NAMES])
+    + " FROM parts)"
+)
+ORACLES["save_ml_datasets"] = after(
+    "features", "SELECT * FROM scaled", ENCODED, SPLIT, _SCALED_ROWS)
+ORACLES["load_ml_datasets"] = after(
+    "features", "SELECT * EXCLUDE (split) FROM scaled WHERE split = 'test'",
+    ENCODED, SPLIT, _SCALED_ROWS)
+ORACLES["build_ml_dataset"] = after(
+    "features",
+    "SELECT split, Dropped_Out, count(*) AS n, "
+    + columns(*[f"{r(f'avg({c})', 4)} AS avg_{c}" for c in FEATURE_COLUMNS])
+    + " FROM scaled GROUP BY split, Dropped_Out",
+    ENCODED, SPLIT, _SCALED_ROWS)
+ORACLES["save_quality_report"] = after("typed_raw", _RAW_QUALITY)
+ORACLES["save_eda_report"] = ORACLES["run_eda"]
+ORACLES["run_etl"] = ORACLES["one_hot"]
+ORACLES["data_pipeline"] = after("features", f"""
+SELECT 'raw' AS stage, count(*) AS rows, {len(SOURCE_COLUMNS)} AS columns FROM raw
+UNION ALL SELECT 'features', count(*), {len(_ALL_FEATURES)} FROM features
+UNION ALL SELECT 'encoded', count(*), {len(_ENCODED_NAMES)} FROM encoded
+UNION ALL SELECT split, count(*), {len(_MODEL_NAMES)} FROM parts GROUP BY split""", ENCODED, SPLIT)
+
+
+# Metrics and comparison.
+
+_DECIDED = "CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS prediction"
+PREDICTIONS = f"""scores_by_rule AS (
+  SELECT 'baseline_majority' AS model, student_id, Dropped_Out AS label,
+    (SELECT CAST(Dropped_Out AS DOUBLE) FROM features GROUP BY Dropped_Out
+     ORDER BY count(*) DESC, Dropped_Out LIMIT 1) AS score FROM features
+  UNION ALL SELECT 'combined_risk', student_id, Dropped_Out, combined_risk_score FROM features
+  UNION ALL SELECT 'final_grade', student_id, Dropped_Out, {r('(20 - Final_Grade) / 20', 3)}
+    FROM features
+  UNION ALL SELECT 'absences', student_id, Dropped_Out, {r('Number_of_Absences / 32', 3)}
+    FROM features),
+predictions AS (SELECT *, {_DECIDED} FROM scores_by_rule),
+tallies AS (
+  SELECT model, count(*) AS n, {columns(*[
+      f"count(*) FILTER (label = {k}) AS s_{k}, count(*) FILTER (prediction = {k}) AS p_{k}, "
+      f"count(*) FILTER (label = {k} AND prediction = {k}) AS t_{k}" for k in (0, 1)])}
+  FROM predictions GROUP BY model),
+per_class AS (
+  SELECT *, {columns(*[
+      f"coalesce(t_{k} / nullif(CAST(p_{k} AS DOUBLE), 0), 0) AS pr_{k}, "
+      f"coalesce(t_{k} / nullif(CAST(s_{k} AS DOUBLE), 0), 0) AS re_{k}, "
+      f"coalesce(2 * t_{k} / nullif(CAST(s_{k} + p_{k} AS DOUBLE), 0), 0) AS f_{k}"
+      for k in (0, 1)])}
+  FROM tallies),
+placed AS (
+  SELECT model, label, rank() OVER (PARTITION BY model ORDER BY score)
+    + (count(*) OVER (PARTITION BY model, score) - 1) / 2e0 AS place FROM predictions),
+areas AS (
+  SELECT model, (sum(place) FILTER (label = 1) - p * (p + 1) / 2e0) / (p * q) AS area
+  FROM (SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY model) AS p,
+               count(*) FILTER (label = 0) OVER (PARTITION BY model) AS q FROM placed)
+  GROUP BY model, p, q),
+measured AS (
+  SELECT model, {r('(t_0 + t_1) / CAST(n AS DOUBLE)', 4)} AS accuracy,
+    {columns(*[f"{r(f'({x}_0 * s_0 + {x}_1 * s_1) / CAST(s_0 + s_1 AS DOUBLE)', 4)} AS {name}"
+               for x, name in (("f", "f1"), ("pr", "precision"), ("re", "recall"))])},
+    {r('area', 4)} AS roc_auc
+  FROM per_class JOIN areas USING (model))"""
+ORACLES["baseline_majority"] = after(
+    "features",
+    "SELECT student_id, CAST(score AS INTEGER) AS prediction, score FROM predictions "
+    "WHERE model = 'baseline_majority'", PREDICTIONS)
+ORACLES["balanced_weights"] = after(
+    "features",
+    "SELECT student_id, Dropped_Out, total / (2e0 * n) AS class_weight FROM features "
+    "JOIN (SELECT Dropped_Out, count(*) AS n, sum(count(*)) OVER () AS total FROM features "
+    "GROUP BY Dropped_Out) USING (Dropped_Out)")
+ORACLES["classification_metrics"] = after("features", "SELECT * FROM measured", PREDICTIONS)
+ORACLES["confusion_matrix"] = after(
+    "features",
+    "SELECT model, label, prediction, count(p.student_id) AS count FROM "
+    "(SELECT DISTINCT model FROM predictions) CROSS JOIN "
+    "(VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(label, prediction) "
+    "LEFT JOIN predictions p USING (model, label, prediction) GROUP BY 1, 2, 3", PREDICTIONS)
+_HITS = "(t_0 + t_1) / CAST(n AS DOUBLE)"
+ORACLES["class_report"] = after(
+    "features",
+    "SELECT model, 'Actif (0)' AS class, pr_0 AS precision, re_0 AS recall, f_0 AS f1, "
+    "s_0 AS support FROM per_class "
+    "UNION ALL SELECT model, 'Décroché (1)', pr_1, re_1, f_1, s_1 FROM per_class "
+    f"UNION ALL SELECT model, 'accuracy', {_HITS}, {_HITS}, {_HITS}, n FROM per_class "
+    "UNION ALL SELECT model, 'macro avg', (pr_0 + pr_1) / 2, (re_0 + re_1) / 2, (f_0 + f_1) / 2, "
+    "n FROM per_class UNION ALL SELECT model, 'weighted avg', "
+    + columns(*[f"({x}_0 * s_0 + {x}_1 * s_1) / CAST(s_0 + s_1 AS DOUBLE)"
+                for x in ("pr", "re", "f")])
+    + ", n FROM per_class", PREDICTIONS)
+_RANKED = """ranks AS (
+  SELECT CAST(row_number() OVER (ORDER BY f1 DESC, model) AS INTEGER) AS rank, *,
+    CAST(NULL AS DOUBLE) AS train_time_s, CAST(NULL AS DOUBLE) AS inference_time_ms,
+    model AS run_id FROM measured)"""
+ORACLES["comparison_table"] = after("features", "SELECT * FROM ranks", PREDICTIONS, _RANKED)
+
+
+def _norm(m: str) -> str:
+    return (
+        f"CASE WHEN max({m}) OVER () > min({m}) OVER () THEN ({m} - min({m}) OVER ()) "
+        f"/ (max({m}) OVER () - min({m}) OVER ()) ELSE 1e0 END AS {m}_norm"
+    )
+
+
+_COMPOSITE = f"""norms AS (
+  SELECT *, {columns(*[_norm(m) for m in ("f1", "roc_auc", "accuracy", "recall")])} FROM ranks),
+composite AS (
+  SELECT *, {r('f1_norm * 0.40e0 + roc_auc_norm * 0.30e0 + accuracy_norm * 0.20e0 '
+               '+ recall_norm * 0.10e0', 4)} AS composite_score FROM norms),
+best AS (
+  SELECT *, printf('''%s'' sélectionné avec F1=%.4f, ROC-AUC=%.4f, score composite=%.4f. '
+    || 'F1 priorisé car dataset déséquilibré (15%% décrochage).', model, f1, roc_auc,
+    composite_score) AS justification
+  FROM composite ORDER BY composite_score DESC, rank LIMIT 1)"""
+ORACLES["composite_score"] = after(
+    "features", "SELECT * FROM composite", PREDICTIONS, _RANKED, _COMPOSITE)
+ORACLES["select_best"] = after(
+    "features", "SELECT * FROM best", PREDICTIONS, _RANKED, _COMPOSITE)
+ORACLES["save_comparison_report"] = after(
+    "features",
+    "SELECT c.*, b.justification FROM composite c LEFT JOIN best b USING (model)",
+    PREDICTIONS, _RANKED, _COMPOSITE)
+
+
+# Scoring steps.
+
+ORACLES["rename_for_scoring"] = after("raw", f"SELECT {_RENAMED} FROM raw")
+_ABSENT = ("travel_time", "grade_2")
+ORACLES["require_columns"] = after("raw", "\nUNION ALL ".join(
+    f"SELECT '{field}' AS \"column\", false AS present, CAST(0 AS BIGINT) AS filled"
+    if field in _ABSENT
+    else f"SELECT '{field}' AS \"column\", true AS present, count({source}) AS filled FROM raw"
+    for source, field in UPLOAD_NAMES.items()
+))
+
+
+def _whole(c: str) -> str:
+    return f"TRY_CAST(trunc(TRY_CAST({c} AS DOUBLE)) AS INTEGER)"
+
+
+_GIVEN = {"Family_Relationship", "Mother_Job", "Internet_Access", "Health_Status", *UPLOAD_NAMES}
+ORACLES["default_fields"] = after("raw", "SELECT student_id, " + columns(*[
+    (f"{_whole(source)} AS {field}" if kind == "int" else f"{source} AS {field}")
+    if source in _GIVEN
+    else (f"{default} AS {field}" if kind == "int" else f"'{default}' AS {field}")
+    for field, source, kind, default in REQUEST_FIELDS
+]) + " FROM raw")
+ORACLES["to_model_columns"] = after("raw", "SELECT student_id, " + columns(*[
+    f"{_whole(source)} AS {source}" if kind == "int" else source
+    for _, source, kind, _ in REQUEST_FIELDS
+]) + ", 'course' AS Reason_for_Choosing_School, 'mother' AS Guardian FROM raw")
+ORACLES["align_columns"] = after(
+    "clean",
+    "SELECT student_id, Final_Grade, Age, Dropped_Out, 0 AS Attendance, 0 AS School_GP FROM clean")
+_BAND = (
+    "CASE WHEN score < 0.4 THEN 'Faible' WHEN score < 0.6 THEN 'Moyenne' "
+    "WHEN score < 0.8 THEN 'Forte' ELSE 'Tres forte' END AS confidence"
+)
+_PERCENT = "round_even(score * 100, 1)"
+SCORED = (
+    "scored AS (SELECT *, combined_risk_score AS score FROM features)",
+    "displayed AS (SELECT student_id, School AS school, Gender AS sex, Age AS age, "
+    "Number_of_Absences AS absences, Grade_1 AS grade_1, Grade_2 AS grade_2, "
+    "Final_Grade AS final_grade, CASE WHEN score > 0.5 THEN 'Dropout' ELSE 'Active' END "
+    f"AS prediction, printf('%.1f%%', {_PERCENT}) AS probability, {_BAND}, score FROM scored)",
+)
+ORACLES["score_decision"] = after(
+    "features", f"SELECT student_id, score, {_DECIDED} FROM scored", *SCORED)
+ORACLES["confidence_band"] = after(
+    "features", f"SELECT student_id, score, {_BAND} FROM scored", *SCORED)
+ORACLES["score_display"] = after(
+    "features", "SELECT * EXCLUDE (score) FROM displayed", *SCORED)
+ORACLES["score_limit"] = after(
+    "features",
+    "SELECT * EXCLUDE (score) FROM displayed ORDER BY student_id LIMIT 100", *SCORED)
+_AT_RISK = "SELECT * EXCLUDE (score) FROM displayed WHERE prediction = 'Dropout' AND "
+ORACLES["at_risk_filter"] = after(
+    "features",
+    _AT_RISK + f"age BETWEEN 16 AND 21 AND school = 'GP' AND {_PERCENT} / 100 >= 0.6", *SCORED)
+ORACLES["export_results"] = after(
+    "features", _AT_RISK + f"age BETWEEN 15 AND 30 AND {_PERCENT} / 100 >= 0.5", *SCORED)

@@ -15,19 +15,27 @@ from holdfast.config import (
     ID,
     NUMERIC_COLUMNS,
     QUALITY_RULES,
+    SCALED_COLUMNS,
     TARGET,
+    UPLOAD_FIELDS,
 )
 from holdfast.functions.numbers import half_even
 from holdfast.operators import (
     cleaning,
     cohorts,
+    comparison,
     encoding,
     features,
+    metrics,
+    models,
     profiling,
     quality,
+    scoring,
     splitting,
 )
-from holdfast.workspace import materialise
+from holdfast.plans import data_pipeline
+from holdfast.sources import readers, writers
+from holdfast.workspace import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -297,3 +305,249 @@ def standard_scale(spark, sf_dir):
     return scaled.selectExpr(
         ID, "split", *[f"{half_even(c, 6)} AS {c}" for c in scaling.mean]
     )
+
+
+# Sources, sinks and the data pipeline: write, read back, compare.
+
+
+@register
+def load_raw(spark, sf_dir):
+    path = writers.save_csv(raw(spark, sf_dir), new_path(spark, "raw_csv"))
+    return readers.load_raw(spark, path)
+
+
+@register
+def load_upload(spark, sf_dir):
+    path = writers.save_csv(raw(spark, sf_dir), new_path(spark, "upload_csv"))
+    return scoring.rename_for_scoring(readers.load_upload(spark, path))
+
+
+@register
+def save_processed(spark, sf_dir):
+    path = writers.save_processed(encoded(spark, sf_dir), new_path(spark, "processed"))
+    return spark.read.parquet(path)
+
+
+@register
+def save_features(spark, sf_dir):
+    path = writers.save_features(featured(spark, sf_dir), new_path(spark, "feature_table"))
+    return spark.read.parquet(path)
+
+
+def ml_dataset(spark, sf_dir):
+    path = new_path(spark, "ml_dataset")
+    return data_pipeline.build_ml_dataset(encoded(spark, sf_dir), path), path
+
+
+def _rounded(df):
+    """Scaled columns to six decimals, as engines add up floats in different orders."""
+    return df.withColumns({c: F.expr(half_even(c, 6)) for c in SCALED_COLUMNS})
+
+
+@register
+def save_ml_datasets(spark, sf_dir):
+    _, path = ml_dataset(spark, sf_dir)
+    return _rounded(spark.read.parquet(path))
+
+
+@register
+def build_ml_dataset(spark, sf_dir):
+    dataset, _ = ml_dataset(spark, sf_dir)
+    return _rounded(dataset.rows).groupBy("split", TARGET).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.expr(half_even(f"avg({c})", 4)).alias(f"avg_{c}") for c in FEATURE_COLUMNS],
+    )
+
+
+@register
+def load_ml_datasets(spark, sf_dir):
+    _, path = ml_dataset(spark, sf_dir)
+    _, test = readers.load_ml_datasets(spark, path)
+    return _rounded(test)
+
+
+@register
+def save_quality_report(spark, sf_dir):
+    report = quality.quality_report(typed_raw(spark, sf_dir))
+    return spark.read.json(writers.save_quality_report(report, new_path(spark, "quality_json")))
+
+
+@register
+def save_eda_report(spark, sf_dir):
+    report = profiling.eda_report(written_features(spark, sf_dir))
+    return spark.read.json(writers.save_eda_report(report, new_path(spark, "eda_json")))
+
+
+@register
+def run_etl(spark, sf_dir):
+    return data_pipeline.run_etl(raw(spark, sf_dir), new_path(spark, "etl"))
+
+
+@register
+def data_pipeline_summary(spark, sf_dir):
+    table = raw(spark, sf_dir)
+    results = data_pipeline.run_data_pipeline(table, new_path(spark, "data_pipeline"))
+    return data_pipeline.pipeline_summary(table, results)
+
+
+QUERIES["data_pipeline"] = QUERIES.pop("data_pipeline_summary")
+
+
+# Metrics and comparison, on predictions made by plain rules so that SQL can check them.
+
+
+def rule_predictions(spark, sf_dir):
+    """Four rules as models: always the majority, and three scores against one half."""
+    table = written_features(spark, sf_dir)
+    majority = models.majority_class(table)
+    rules = {
+        "baseline_majority": f"double({majority})",
+        "combined_risk": "combined_risk_score",
+        "final_grade": half_even("(20 - Final_Grade) / 20", 3),
+        "absences": half_even("Number_of_Absences / 32", 3),
+    }
+    cells = ", ".join(f"'{name}', {text}" for name, text in rules.items())
+    return table.selectExpr(
+        ID, f"{TARGET} AS label", f"stack({len(rules)}, {cells}) AS (model, score)"
+    ).withColumn("prediction", F.expr(scoring.score_decision()))
+
+
+def rule_runs(spark, sf_dir):
+    measured = metrics.classification_metrics(rule_predictions(spark, sf_dir))
+    return measured.selectExpr(
+        "*", "CAST(NULL AS DOUBLE) AS train_time_s", "CAST(NULL AS DOUBLE) AS inference_time_ms",
+        "model AS run_id",
+    )
+
+
+def compared(spark, sf_dir):
+    return comparison.composite_score(comparison.comparison_table(rule_runs(spark, sf_dir)))
+
+
+@register
+def baseline_majority(spark, sf_dir):
+    table = featured(spark, sf_dir)
+    return models.predict(models.baseline_majority(table), table)
+
+
+@register
+def balanced_weights(spark, sf_dir):
+    return models.balanced_weights(featured(spark, sf_dir)).select(ID, TARGET, models.WEIGHT)
+
+
+@register
+def classification_metrics(spark, sf_dir):
+    return metrics.classification_metrics(rule_predictions(spark, sf_dir))
+
+
+@register
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(rule_predictions(spark, sf_dir))
+
+
+@register
+def class_report(spark, sf_dir):
+    return metrics.class_report(rule_predictions(spark, sf_dir))
+
+
+@register
+def comparison_table(spark, sf_dir):
+    return comparison.comparison_table(rule_runs(spark, sf_dir))
+
+
+@register
+def composite_score(spark, sf_dir):
+    return compared(spark, sf_dir)
+
+
+@register
+def select_best(spark, sf_dir):
+    return comparison.select_best(compared(spark, sf_dir))
+
+
+@register
+def save_comparison_report(spark, sf_dir):
+    table = compared(spark, sf_dir)
+    best = comparison.select_best(table).select("model", "justification")
+    report = table.join(F.broadcast(best), "model", "left")
+    path = writers.save_comparison_report(report, new_path(spark, "comparison_csv"))
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+# Scoring steps, on the combined risk as the probability.
+
+
+@register
+def rename_for_scoring(spark, sf_dir):
+    return scoring.rename_for_scoring(raw(spark, sf_dir))
+
+
+@register
+def require_columns(spark, sf_dir):
+    upload = scoring.rename_for_scoring(raw(spark, sf_dir).drop("Travel_Time", "Grade_2"))
+    return scoring.required_columns_report(upload)
+
+
+def narrow_upload(spark, sf_dir):
+    """An upload with the required columns and a few optional ones only."""
+    optional = ("Family_Relationship", "Mother_Job", "Internet_Access", "Health_Status")
+    needed = [scoring._BY_FIELD[f][0] for f in UPLOAD_FIELDS]
+    return raw(spark, sf_dir).select(ID, *needed, *optional)
+
+
+@register
+def default_fields(spark, sf_dir):
+    upload = scoring.rename_for_scoring(narrow_upload(spark, sf_dir))
+    return scoring.default_fields(upload)
+
+
+@register
+def to_model_columns(spark, sf_dir):
+    upload = scoring.rename_for_scoring(raw(spark, sf_dir))
+    return scoring.to_model_columns(scoring.default_fields(upload))
+
+
+@register
+def align_columns(spark, sf_dir):
+    wanted = ["Final_Grade", "Age", "Dropped_Out", "Attendance", "School_GP"]
+    return scoring.align_columns(cleaned(spark, sf_dir), wanted)
+
+
+def risk_scored(spark, sf_dir):
+    upload = scoring.rename_for_scoring(featured(spark, sf_dir))
+    return upload.withColumn("score", F.col("combined_risk_score"))
+
+
+@register
+def score_decision(spark, sf_dir):
+    return risk_scored(spark, sf_dir).selectExpr(
+        ID, "score", f"{scoring.score_decision()} AS prediction")
+
+
+@register
+def confidence_band(spark, sf_dir):
+    return risk_scored(spark, sf_dir).selectExpr(
+        ID, "score", f"{scoring.confidence_band()} AS confidence")
+
+
+@register
+def score_display(spark, sf_dir):
+    return scoring.score_display(risk_scored(spark, sf_dir))
+
+
+@register
+def score_limit(spark, sf_dir):
+    return scoring.score_display(scoring.score_limit(risk_scored(spark, sf_dir), 100))
+
+
+@register
+def at_risk_filter(spark, sf_dir):
+    return scoring.at_risk_filter(
+        risk_scored(spark, sf_dir), min_age=16, max_age=21, school="GP", min_probability=0.6)
+
+
+@register
+def export_results(spark, sf_dir):
+    report = scoring.at_risk_filter(risk_scored(spark, sf_dir))
+    path = writers.export_results(report, new_path(spark, "at_risk_csv"))
+    return spark.read.schema(report.schema).option("header", True).csv(path)
