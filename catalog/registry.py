@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from holdfast.config import (
     CATEGORICAL_COLUMNS,
     FEATURE_COLUMNS,
     ID,
+    MODELS,
     NUMERIC_COLUMNS,
     QUALITY_RULES,
     SCALED_COLUMNS,
@@ -32,9 +34,12 @@ from holdfast.operators import (
     quality,
     scoring,
     splitting,
+    validation,
 )
-from holdfast.plans import data_pipeline
+from holdfast.operators import registry as model_versions
+from holdfast.plans import data_pipeline, ml_pipeline
 from holdfast.sources import readers, writers
+from holdfast.streaming import scoring as streamed
 from holdfast.workspace import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,3 +556,152 @@ def export_results(spark, sf_dir):
     report = scoring.at_risk_filter(risk_scored(spark, sf_dir))
     path = writers.export_results(report, new_path(spark, "at_risk_csv"))
     return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+# Trained models. Each model is trained once per application and data folder.
+
+_datasets: dict[tuple[str, str], str] = {}
+_runs: dict[tuple[str, str, str], models.Run] = {}
+_served: dict[tuple[str, str], str] = {}
+
+
+def _key(spark, sf_dir):
+    return spark.sparkContext.applicationId, sf_dir
+
+
+def stored_dataset(spark, sf_dir):
+    key = _key(spark, sf_dir)
+    if key not in _datasets:
+        _datasets[key] = ml_dataset(spark, sf_dir)[1]
+    return _datasets[key]
+
+
+def trained(spark, sf_dir, name):
+    key = (*_key(spark, sf_dir), name)
+    if key not in _runs:
+        train, test = readers.load_ml_datasets(spark, stored_dataset(spark, sf_dir))
+        _runs[key] = models.train_single(name, train, test)
+    return _runs[key]
+
+
+def all_trained(spark, sf_dir):
+    return [trained(spark, sf_dir, name) for name in MODELS]
+
+
+def test_predictions(spark, sf_dir, name):
+    _, test = readers.load_ml_datasets(spark, stored_dataset(spark, sf_dir))
+    return models.predictions(trained(spark, sf_dir, name).model, name, test)
+
+
+@register
+def train_logreg(spark, sf_dir):
+    return test_predictions(spark, sf_dir, "logistic_regression")
+
+
+@register
+def train_rf_v1(spark, sf_dir):
+    return test_predictions(spark, sf_dir, "random_forest_v1")
+
+
+@register
+def train_rf_v2(spark, sf_dir):
+    return test_predictions(spark, sf_dir, "random_forest_v2")
+
+
+@register
+def train_gbt(spark, sf_dir):
+    return test_predictions(spark, sf_dir, "gradient_boosting")
+
+
+@register
+def train_gbt_subsampled(spark, sf_dir):
+    return test_predictions(spark, sf_dir, "xgboost")
+
+
+@register
+def train_single(spark, sf_dir):
+    return models.runs_table(spark, [trained(spark, sf_dir, "random_forest_v1")])
+
+
+@register
+def train_all(spark, sf_dir):
+    return models.runs_table(spark, all_trained(spark, sf_dir))
+
+
+@register
+def feature_importance(spark, sf_dir):
+    return models.importance_table(
+        spark, [trained(spark, sf_dir, n) for n in ("logistic_regression", "random_forest_v1")])
+
+
+@register
+def validate_model(spark, sf_dir):
+    _, test = readers.load_ml_datasets(spark, stored_dataset(spark, sf_dir))
+    return validation.validate_model(trained(spark, sf_dir, "random_forest_v1").model, test)
+
+
+@register
+def save_validation_report(spark, sf_dir):
+    checks = validate_model(spark, sf_dir)
+    return spark.read.json(
+        writers.save_validation_report(checks, new_path(spark, "validation_json")))
+
+
+@register
+def model_registry(spark, sf_dir):
+    folder = new_path(spark, "registry")
+    for name in ("logistic_regression", "random_forest_v1"):
+        model_versions.register_model(spark, folder, trained(spark, sf_dir, name))
+    model_versions.production_model(spark, folder)
+    return model_versions.registry_table(spark, folder)
+
+
+@register
+def ml_pipeline_summary(spark, sf_dir):
+    results = ml_pipeline.run_ml_pipeline(
+        spark, stored_dataset(spark, sf_dir), new_path(spark, "ml_pipeline"),
+        runs=all_trained(spark, sf_dir))
+    return ml_pipeline.pipeline_summary(spark, results)
+
+
+QUERIES["ml_pipeline"] = QUERIES.pop("ml_pipeline_summary")
+
+
+def served_rows(spark, sf_dir):
+    """Training input of the served model: unique rows, numbers and target read, text kept."""
+    unique = cleaning.drop_duplicates(cleaning.trim_columns(raw(spark, sf_dir)))
+    rows = unique.transform(cleaning.normalise_target).transform(cleaning.coerce_numeric)
+    return splitting.stratified_split(materialise(rows, "served_rows"))
+
+
+def served_model(spark, sf_dir):
+    key = _key(spark, sf_dir)
+    if key not in _served:
+        train = served_rows(spark, sf_dir).where("split = 'train'")
+        path = new_path(spark, "served_model")
+        models.train_raw_balanced(train).write().save(path)
+        _served[key] = path
+    return PipelineModel.load(_served[key])
+
+
+@register
+def train_raw_balanced(spark, sf_dir):
+    test = served_rows(spark, sf_dir).where("split = 'test'")
+    return models.predictions(served_model(spark, sf_dir), "raw_balanced", test)
+
+
+@register
+def score_batch(spark, sf_dir):
+    return scoring.score_batch(served_model(spark, sf_dir), raw(spark, sf_dir))
+
+
+@register
+def score_stream(spark, sf_dir):
+    uploads = new_path(spark, "upload_folder")
+    writers.save_csv(raw(spark, sf_dir).select(*readers.RAW_SCHEMA.names), uploads)
+    sink = new_path(spark, "scored")
+    query = streamed.score_stream(
+        served_model(spark, sf_dir), readers.stream_uploads(spark, uploads), sink,
+        new_path(spark, "scored_checkpoint"))
+    query.awaitTermination()
+    return spark.read.parquet(sink)

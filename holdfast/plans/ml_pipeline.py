@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +22,15 @@ def run_ml_pipeline(
     folder: str,
     model_table: Mapping[str, Mapping] = MODELS,
     strict: bool = False,
+    runs: Sequence[models.Run] | None = None,
 ) -> dict[str, object]:
-    """Train, compare, validate and register. Failed checks only show, unless ``strict``."""
+    """Train, compare, validate and register. Failed checks only show, unless ``strict``.
+
+    ``runs`` already trained on this data set are taken instead of training again.
+    """
     train, test = readers.load_ml_datasets(spark, dataset)
-    runs = models.train_all(train, test, model_table)
+    if runs is None:
+        runs = models.train_all(train, test, model_table)
     if not runs:
         raise RuntimeError("no model could be trained")
     table = comparison.composite_score(
