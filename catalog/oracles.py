@@ -574,3 +574,62 @@ ORACLES["at_risk_filter"] = after(
     _AT_RISK + f"age BETWEEN 16 AND 21 AND school = 'GP' AND {_PERCENT} / 100 >= 0.6", *SCORED)
 ORACLES["export_results"] = after(
     "features", _AT_RISK + f"age BETWEEN 15 AND 30 AND {_PERCENT} / 100 >= 0.5", *SCORED)
+
+
+# Drift, activity and cohort comparison.
+
+_WATCHED = (*NUMERIC_COLUMNS, *FEATURE_COLUMNS)
+
+
+def _shares(name: str, school: str) -> str:
+    bins = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS col, CAST(least(greatest(floor(({c} - lo) / width), 0), 9) AS INTEGER) "
+        f"AS bin FROM features, (SELECT CAST(min({c}) AS DOUBLE) AS lo, "
+        f"coalesce(nullif((max({c}) - min({c})) / 10e0, 0), 1) AS width "
+        f"FROM features WHERE School = 'GP') WHERE School = '{school}' AND {c} IS NOT NULL"
+        for c in _WATCHED
+    )
+    return (
+        f"{name}_shares AS (SELECT col, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY col) "
+        f"AS DOUBLE) AS {name} FROM ({bins}) GROUP BY col, bin)"
+    )
+
+
+_B, _A = "coalesce(before, 0.0001e0)", "coalesce(after, 0.0001e0)"
+ORACLES["drift_report"] = after(
+    "features",
+    "SELECT col AS \"column\", psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 "
+    f"THEN 'moderate' ELSE 'strong' END AS level FROM (SELECT col, "
+    f"{r(f'sum(({_A} - {_B}) * ln({_A} / {_B}))', 6)} AS psi "
+    "FROM before_shares FULL JOIN after_shares USING (col, bin) GROUP BY col)",
+    _shares("before", "GP"), _shares("after", "MS"))
+_ACTIVITY = (
+    "SELECT user_id, count(*) AS n_events, count(DISTINCT date_trunc('minute', ts)) "
+    "AS active_minutes, count(DISTINCT CAST(ts AS DATE)) AS active_days "
+    "FROM events WHERE user_id IS NOT NULL GROUP BY user_id"
+)
+ORACLES["user_activity"] = _ACTIVITY
+ORACLES["activity_kpis"] = "SELECT count(*) AS n_users, " + columns(*[
+    f"{r(f'avg({c})', 4)} AS mean_{c}" for c in ("n_events", "active_minutes", "active_days")
+]) + f" FROM ({_ACTIVITY})"
+ORACLES["learner_kpis"] = after(
+    "features",
+    f"SELECT count(*) AS n_students, {r('avg(Final_Grade)', 2)} AS mean_final_grade, "
+    f"{r('avg(Dropped_Out) * 100', 2)} AS dropout_rate_pct, "
+    f"{r('avg(CASE WHEN combined_risk_score > 0.5 THEN 1 ELSE 0 END) * 100', 2)} AS at_risk_pct "
+    "FROM features")
+_WINDOWS = (
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, "
+    "count(*) AS n_events FROM events {closed} GROUP BY date_trunc('hour', ts), event_type"
+)
+ORACLES["activity_windows"] = _WINDOWS.format(closed="")
+ORACLES["activity_stream"] = _WINDOWS.format(
+    closed="WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR "
+           "<= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+ORACLES["compare_cohorts"] = after(
+    "features",
+    "SELECT School, Gender, CAST(grouping(School) + grouping(Gender) AS INTEGER) AS cohort_level, "
+    f"count(*) AS n_students, {r('avg(Dropped_Out) * 100', 2)} AS dropout_rate_pct, "
+    f"{r('avg(Final_Grade)', 2)} AS mean_final_grade, "
+    f"{r('avg(combined_risk_score)', 4)} AS mean_risk "
+    "FROM features GROUP BY ROLLUP (School, Gender)")

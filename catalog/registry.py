@@ -23,9 +23,11 @@ from holdfast.config import (
 )
 from holdfast.functions.numbers import half_even
 from holdfast.operators import (
+    activity,
     cleaning,
     cohorts,
     comparison,
+    drift,
     encoding,
     features,
     metrics,
@@ -33,12 +35,14 @@ from holdfast.operators import (
     profiling,
     quality,
     scoring,
+    segments,
     splitting,
     validation,
 )
 from holdfast.operators import registry as model_versions
 from holdfast.plans import data_pipeline, ml_pipeline
 from holdfast.sources import readers, writers
+from holdfast.streaming import activity as activity_streamed
 from holdfast.streaming import scoring as streamed
 from holdfast.workspace import materialise, new_path
 
@@ -705,3 +709,62 @@ def score_stream(spark, sf_dir):
         new_path(spark, "scored_checkpoint"))
     query.awaitTermination()
     return spark.read.parquet(sink)
+
+
+# Segments, drift, activity and cohort comparison.
+
+
+@register
+def learner_segments(spark, sf_dir):
+    rows = spark.read.parquet(stored_dataset(spark, sf_dir))
+    model = segments.fit_segments(rows.where("split = 'train'"))
+    return segments.segment_profile(segments.assign_segments(model, rows))
+
+
+@register
+def drift_report(spark, sf_dir):
+    table = written_features(spark, sf_dir)
+    return drift.drift_report(
+        table.where("School = 'GP'"), table.where("School = 'MS'"),
+        [*NUMERIC_COLUMNS, *FEATURE_COLUMNS])
+
+
+def events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+@register
+def user_activity(spark, sf_dir):
+    return activity.user_activity(events(spark, sf_dir))
+
+
+@register
+def activity_kpis(spark, sf_dir):
+    return activity.activity_kpis(events(spark, sf_dir))
+
+
+@register
+def learner_kpis(spark, sf_dir):
+    return activity.learner_kpis(risk_scored(spark, sf_dir).withColumnRenamed(
+        "final_grade", "Final_Grade"))
+
+
+@register
+def activity_windows(spark, sf_dir):
+    return activity.activity_windows(events(spark, sf_dir))
+
+
+@register
+def activity_stream(spark, sf_dir):
+    schema = events(spark, sf_dir).schema
+    arriving = spark.readStream.schema(schema).option(
+        "pathGlobFilter", "events.parquet").parquet(sf_dir)
+    sink = new_path(spark, "activity")
+    activity_streamed.activity_stream(
+        arriving, sink, new_path(spark, "activity_checkpoint")).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@register
+def compare_cohorts(spark, sf_dir):
+    return cohorts.compare_cohorts(featured(spark, sf_dir), ["School", "Gender"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,17 @@ def cohort_rate(df: DataFrame) -> DataFrame:
 def cohort_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The first ``rows`` learners by id with their grades, absences and outcome."""
     return df.orderBy(ID).limit(rows).select(ID, *GRADE_COLUMNS, "Number_of_Absences", TARGET)
+
+
+def compare_cohorts(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Size, dropout rate, mean final grade and mean risk per cohort, with subtotals.
+
+    A null in a ``by`` column marks a subtotal; ``cohort_level`` counts the columns rolled up.
+    """
+    return df.rollup(*by).agg(
+        F.expr("bit_count(grouping_id())").alias("cohort_level"),
+        F.count(F.lit(1)).alias("n_students"),
+        F.expr(half_even(f"avg({TARGET}) * 100", 2)).alias("dropout_rate_pct"),
+        F.expr(half_even("avg(Final_Grade)", 2)).alias("mean_final_grade"),
+        F.expr(half_even("avg(combined_risk_score)", 4)).alias("mean_risk"),
+    )
