@@ -86,9 +86,15 @@ once AS (SELECT {SELECT_LIST} FROM enrolment),
 raw AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE student_id % 50 = 0)"""
 
 
+def _over_all_cores(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores spread over all cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as ``raw`` in :data:`SQL`; copies are exploded so the joins run once."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = _over_all_cores(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     lines = (
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -47,19 +47,24 @@ def quality_report(df: DataFrame, min_rows: int = MINIMUM_ROWS) -> DataFrame:
     ranged = {c: bounds for c, bounds in QUALITY_RANGES.items() if c in columns}
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
+    def number(c: str) -> str:
+        # A column of the wrong type fails its own rule; the others read what they can of it.
+        return c if isinstance(kinds[c], T.NumericType) else f"try_cast({c} AS DOUBLE)"
+
     measures = {"n": "count(1)"}
     for i, c in enumerate(columns):
         measures[f"null_{i}"] = f"count_if({quoted(c)} IS NULL)"
     for c, (low, high) in ranged.items():
-        measures[f"out_{c}"] = f"count_if({c} < {low} OR {c} > {high})"
-        measures[f"min_{c}"] = f"min(double({c}))"
-        measures[f"max_{c}"] = f"max(double({c}))"
+        measures[f"out_{c}"] = f"count_if({number(c)} < {low} OR {number(c)} > {high})"
+        measures[f"min_{c}"] = f"min(double({number(c)}))"
+        measures[f"max_{c}"] = f"max(double({number(c)}))"
     if TARGET in columns:
-        measures["class_0"] = f"count_if({TARGET} = 0)"
-        measures["class_1"] = f"count_if({TARGET} = 1)"
-        measures["other_class"] = f"count_if({TARGET} NOT IN (0, 1))"
+        measures["class_0"] = f"count_if({number(TARGET)} = 0)"
+        measures["class_1"] = f"count_if({number(TARGET)} = 1)"
+        measures["other_class"] = f"count_if({number(TARGET)} NOT IN (0, 1))"
     if set(GRADE_COLUMNS) <= set(columns):
-        measures["odd_grades"] = "count_if(Final_Grade > 0 AND Grade_1 = 0 AND Grade_2 = 0)"
+        first, second, final = (number(c) for c in GRADE_COLUMNS)
+        measures["odd_grades"] = f"count_if({final} > 0 AND {first} = 0 AND {second} = 0)"
 
     missing = [c for c in REQUIRED_COLUMNS if c not in columns]
     absent_features = [c for c in QUALITY_FEATURES if c not in columns]
