@@ -152,9 +152,20 @@ def build_feature_set(spark, sf_dir):
 # Profiles, cohorts and quality rules.
 
 
-def written_features(spark, sf_dir):
-    """The feature table as the pipeline stores it, for the operators that read it repeatedly."""
-    return materialise(featured(spark, sf_dir), "features")
+_feature_paths: dict[tuple[str, str], str] = {}
+
+
+def stored_features(spark, sf_dir):
+    """The feature table as the pipeline stores it: written once per application and folder.
+
+    Operators that follow feature building read this table; cleaning and feature queries build
+    theirs anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _feature_paths:
+        path = new_path(spark, "features")
+        _feature_paths[key] = writers.save_features(featured(spark, sf_dir), path)
+    return spark.read.parquet(_feature_paths[key])
 
 
 def typed_raw(spark, sf_dir):
@@ -163,7 +174,7 @@ def typed_raw(spark, sf_dir):
 
 
 def encoded(spark, sf_dir):
-    return encoding.one_hot(featured(spark, sf_dir))
+    return encoding.one_hot(stored_features(spark, sf_dir))
 
 
 @register
@@ -188,12 +199,12 @@ def high_absence_cohort(spark, sf_dir):
 
 @register
 def table_stats(spark, sf_dir):
-    return profiling.table_stats(featured(spark, sf_dir))
+    return profiling.table_stats(stored_features(spark, sf_dir))
 
 
 @register
 def numeric_summary(spark, sf_dir):
-    return profiling.numeric_summary(featured(spark, sf_dir))
+    return profiling.numeric_summary(stored_features(spark, sf_dir))
 
 
 @register
@@ -204,17 +215,17 @@ def numeric_summary_lineitem(spark, sf_dir):
 
 @register
 def target_distribution(spark, sf_dir):
-    return profiling.target_distribution(featured(spark, sf_dir))
+    return profiling.target_distribution(stored_features(spark, sf_dir))
 
 
 @register
 def grade_histogram(spark, sf_dir):
-    return profiling.grade_histogram(featured(spark, sf_dir))
+    return profiling.grade_histogram(stored_features(spark, sf_dir))
 
 
 @register
 def correlation_matrix(spark, sf_dir):
-    return profiling.correlation_matrix(featured(spark, sf_dir))
+    return profiling.correlation_matrix(stored_features(spark, sf_dir))
 
 
 @register
@@ -224,27 +235,27 @@ def correlation_matrix_with_nulls(spark, sf_dir):
 
 @register
 def absence_box(spark, sf_dir):
-    return profiling.absence_box(featured(spark, sf_dir))
+    return profiling.absence_box(stored_features(spark, sf_dir))
 
 
 @register
 def study_time_by_status(spark, sf_dir):
-    return profiling.study_time_by_status(featured(spark, sf_dir))
+    return profiling.study_time_by_status(stored_features(spark, sf_dir))
 
 
 @register
 def risk_histogram(spark, sf_dir):
-    return profiling.risk_histogram(featured(spark, sf_dir))
+    return profiling.risk_histogram(stored_features(spark, sf_dir))
 
 
 @register
 def insights(spark, sf_dir):
-    return profiling.insights(featured(spark, sf_dir))
+    return profiling.insights(stored_features(spark, sf_dir))
 
 
 @register
 def run_eda(spark, sf_dir):
-    return profiling.eda_report(written_features(spark, sf_dir))
+    return profiling.eda_report(stored_features(spark, sf_dir))
 
 
 def _rule(name):
@@ -383,7 +394,7 @@ def save_quality_report(spark, sf_dir):
 
 @register
 def save_eda_report(spark, sf_dir):
-    report = profiling.eda_report(written_features(spark, sf_dir))
+    report = profiling.eda_report(stored_features(spark, sf_dir))
     return spark.read.json(writers.save_eda_report(report, new_path(spark, "eda_json")))
 
 
@@ -407,7 +418,7 @@ QUERIES["data_pipeline"] = QUERIES.pop("data_pipeline_summary")
 
 def rule_predictions(spark, sf_dir):
     """Four rules as models: always the majority, and three scores against one half."""
-    table = written_features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     majority = models.majority_class(table)
     rules = {
         "baseline_majority": f"double({majority})",
@@ -435,13 +446,13 @@ def compared(spark, sf_dir):
 
 @register
 def baseline_majority(spark, sf_dir):
-    table = featured(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     return models.predict(models.baseline_majority(table), table)
 
 
 @register
 def balanced_weights(spark, sf_dir):
-    return models.balanced_weights(featured(spark, sf_dir)).select(ID, TARGET, models.WEIGHT)
+    return models.balanced_weights(stored_features(spark, sf_dir)).select(ID, TARGET, models.WEIGHT)
 
 
 @register
@@ -523,7 +534,7 @@ def align_columns(spark, sf_dir):
 
 
 def risk_scored(spark, sf_dir):
-    upload = scoring.rename_for_scoring(featured(spark, sf_dir))
+    upload = scoring.rename_for_scoring(stored_features(spark, sf_dir))
     return upload.withColumn("score", F.col("combined_risk_score"))
 
 
@@ -723,7 +734,7 @@ def learner_segments(spark, sf_dir):
 
 @register
 def drift_report(spark, sf_dir):
-    table = written_features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     return drift.drift_report(
         table.where("School = 'GP'"), table.where("School = 'MS'"),
         [*NUMERIC_COLUMNS, *FEATURE_COLUMNS])
@@ -767,4 +778,4 @@ def activity_stream(spark, sf_dir):
 
 @register
 def compare_cohorts(spark, sf_dir):
-    return cohorts.compare_cohorts(featured(spark, sf_dir), ["School", "Gender"])
+    return cohorts.compare_cohorts(stored_features(spark, sf_dir), ["School", "Gender"])
