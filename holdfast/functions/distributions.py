@@ -18,6 +18,8 @@ from holdfast.workspace import materialise
 
 SLICES = 256
 ONE_WINDOW_ROWS = 1_000_000
+# Most keys whose per-slice sums (one row per key and slice) are sent to every task.
+BROADCAST_KEYS = 1_000
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -70,14 +72,16 @@ def running_totals(
 def _sliced_totals(counts, keys, order, totals, slices):
     """Running totals in two levels: over slices of the order, then within each slice.
 
-    ``keys`` take few values (column names, classes, models), so both broadcast sides are
-    bounded: one row per key, and one per key and slice.
+    The two joined sides hold one row per key and one per key and slice. With few keys, as for
+    column names, classes or models, they are broadcast; beyond that the join is left to Spark.
     """
+    few = counts.select(*keys).distinct().limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    side = F.broadcast if few else lambda df: df
     cuts = [i / slices for i in range(1, slices)]
     edges = counts.groupBy(*keys).agg(
         F.percentile_approx(order, cuts, 20 * slices).alias("_edges")
     )
-    sliced = counts.join(F.broadcast(edges), list(keys)).selectExpr(
+    sliced = counts.join(side(edges), list(keys)).selectExpr(
         *counts.columns, f"size(filter(_edges, e -> e < {order})) AS _slice"
     )
     whole = Window.partitionBy(*keys)
@@ -94,7 +98,7 @@ def _sliced_totals(counts, keys, order, totals, slices):
     smaller = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return sliced.join(F.broadcast(offsets), [*keys, "_slice"]).select(
+    return sliced.join(side(offsets), [*keys, "_slice"]).select(
         *counts.columns,
         *[
             (F.coalesce(F.sum(t).over(smaller), F.lit(0)) + F.col(f"_{t}_offset"))

@@ -92,8 +92,7 @@ def classification_metrics(
     if "score" not in predictions.columns:
         return counted.withColumn("roc_auc", F.lit(None).cast("double"))
     areas = roc_auc(predictions, keys, one_window_rows)
-    # One row per model on both sides.
-    return counted.join(F.broadcast(areas), list(keys), "left").selectExpr(
+    return counted.join(areas, list(keys), "left").selectExpr(
         *keys, "accuracy", "f1", "precision", "recall", f"{half_even('roc_auc', 4)} AS roc_auc"
     )
 

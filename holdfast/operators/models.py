@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import time
 import uuid
 from collections.abc import Mapping, Sequence
@@ -14,7 +15,12 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    Imputer,
+    SQLTransformer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +36,7 @@ from holdfast.config import (
     TARGET,
 )
 from holdfast.operators.comparison import RUN_COLUMNS
-from holdfast.operators.encoding import feature_names
+from holdfast.operators.encoding import feature_names, fit_dictionary
 from holdfast.operators.metrics import METRICS, classification_metrics
 
 log = logging.getLogger(__name__)
@@ -39,6 +45,8 @@ WEIGHT = "class_weight"
 INPUTS = "inputs"
 CHECKPOINT_ROUNDS = 10
 TREE_MEMORY_MB = 1024
+# Training runs hundreds of short jobs; tasks of fewer rows than this cost more than they save.
+ROWS_PER_TASK = 8_000
 
 
 @dataclass(frozen=True)
@@ -119,6 +127,11 @@ def estimator(settings: Mapping, rows: int):
     raise ValueError(f"unknown kind of model: {settings['kind']}")
 
 
+def _no_tiny_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """Merge partitions of small training sets, without a shuffle; large ones are unaffected."""
+    return df.coalesce(max(math.ceil(rows / ROWS_PER_TASK), 1))
+
+
 def fit_model(settings: Mapping, train: DataFrame) -> PipelineModel:
     """Fit one entry of the model table on the training rows."""
     if settings["kind"] == "majority":
@@ -130,8 +143,9 @@ def fit_model(settings: Mapping, train: DataFrame) -> PipelineModel:
     if settings.get("balanced"):
         rows = balanced_weights(rows, counts)
     keys = [TARGET, WEIGHT] if settings.get("balanced") else [TARGET]
-    pipeline = Pipeline(stages=[assembler, estimator(settings, sum(counts.values()))])
-    return pipeline.fit(rows.select(*keys, *inputs))
+    total = sum(counts.values())
+    pipeline = Pipeline(stages=[assembler, estimator(settings, total)])
+    return pipeline.fit(_no_tiny_tasks(rows.select(*keys, *inputs), total))
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
@@ -233,17 +247,19 @@ def train_raw_balanced(train: DataFrame, settings: Mapping = SERVED) -> Pipeline
     codes = [f"{c}_code" for c in texts]
     filled = [f"{c}_filled" for c in numbers]
     counts = class_counts(train)
+    total = sum(counts.values())
+    labels = fit_dictionary(train, texts)
     stages = [
         Imputer(strategy="median", inputCols=numbers, outputCols=filled),
-        StringIndexer(
-            inputCols=texts, outputCols=codes, stringOrderType="alphabetAsc",
-            handleInvalid="keep",
+        StringIndexerModel.from_arrays_of_labels(
+            [labels.values[c] for c in texts], texts, codes, "keep"
         ),
         VectorAssembler(inputCols=[*filled, *codes], outputCol=INPUTS),
-        estimator(settings, sum(counts.values())),
+        estimator(settings, total),
     ]
     rows = balanced_weights(train.where(f"{TARGET} IS NOT NULL"), counts)
-    return Pipeline(stages=stages).fit(rows.select(TARGET, WEIGHT, *numbers, *texts))
+    rows = _no_tiny_tasks(rows.select(TARGET, WEIGHT, *numbers, *texts), total)
+    return Pipeline(stages=stages).fit(rows)
 
 
 def served_inputs(model: PipelineModel) -> dict[str, str]:

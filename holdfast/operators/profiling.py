@@ -67,12 +67,18 @@ def numeric_summary(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     one_window_rows: int = ONE_WINDOW_ROWS,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """``column, stat, value``: count, mean, std (n−1), extremes and quartiles, two decimals.
 
-    Everything follows from one table of value counts, so the rows are read once.
+    Everything follows from one table of value counts, so the rows are read once. For columns
+    with nearly as many values as rows that table is as large as the data; ``accuracy`` then
+    asks for quartiles with a rank error of at most 1/accuracy, from a single aggregation.
     """
-    counts = value_counts(df, columns or numeric_columns(df))
+    columns = list(columns or numeric_columns(df))
+    if accuracy is not None:
+        return _approximate_summary(df, columns, accuracy)
+    counts = value_counts(df, columns)
     quartiles = quantiles(
         counts, ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75},
         one_window_rows=one_window_rows,
@@ -93,12 +99,30 @@ def numeric_summary(
     )
     wide = means.join(F.broadcast(spread), "column").join(F.broadcast(quartiles), "column")
     sources = ("double(count)", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return _long_summary(wide, sources)
+
+
+def _long_summary(wide: DataFrame, sources: Sequence[str]) -> DataFrame:
     cells = ", ".join(
         f"'{stat}', {half_even(source, 2)}" for stat, source in zip(SUMMARY_STATS, sources)
     )
     return wide.selectExpr("column", f"stack({len(sources)}, {cells}) AS (stat, value)")
 
 
+def _approximate_summary(df: DataFrame, columns: list[str], accuracy: int) -> DataFrame:
+    numbers = df.selectExpr(*[f"{without_nan(quoted(c))} AS {quoted(c)}" for c in columns])
+    wide = numbers.unpivot([], columns, "column", "value").groupBy("column").agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("q"),
+    )
+    return _long_summary(
+        wide, ("double(count)", "mean", "std", "min", "q[0]", "q[1]", "q[2]", "max"))
+
+
 def target_distribution(df: DataFrame) -> DataFrame:
     """Learners per outcome, with its label."""
     return df.groupBy(TARGET).agg(F.count(F.lit(1)).alias("count")).selectExpr(

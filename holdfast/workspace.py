@@ -26,8 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_folder(spark)}/holdfast/{name}-{uuid.uuid4().hex}"
+    """An unused path in the shared folder, below a folder named after the application.
+
+    As with checkpoints, the tables stay until that folder is removed.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/holdfast/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -92,3 +92,24 @@ def test_insights_without_columns(spark):
     assert {r["insight"]: r["value"] for r in profiling.insights(frame).collect()} == {
         "dropout_rate_pct": 50.0}
     assert profiling.insights(frame.withColumnRenamed("Dropped_Out", "other")).count() == 0
+
+
+def test_approximate_summary_with_full_accuracy(numbers):
+    frame, values = numbers
+    got = {r["stat"]: r["value"]
+           for r in profiling.numeric_summary(frame, accuracy=1_000_000).collect()}
+    assert got["count"] == len(values)
+    assert got["mean"] == pytest.approx(values.mean(), abs=0.01)
+    for stat, share in (("25%", .25), ("50%", .5), ("75%", .75)):
+        low = np.quantile(values, share, method="lower") - 0.01
+        high = np.quantile(values, share, method="higher") + 0.01
+        assert low <= got[stat] <= high
+
+
+def test_sliced_totals_with_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_KEYS", 1)
+    frame = spark.range(300).selectExpr("id % 3 AS k", "double(id % 17) AS x")
+    counts = D.value_counts(frame, ["x"], ["k"])
+    whole = D.running_totals(counts, ["k", "column"], "value", ["n"])
+    sliced = D.running_totals(counts, ["k", "column"], "value", ["n"], 0, 4)
+    assert as_set(sliced.select(whole.columns)) == as_set(whole)
