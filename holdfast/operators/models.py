@@ -252,7 +252,7 @@ def train_raw_balanced(train: DataFrame, settings: Mapping = SERVED) -> Pipeline
     stages = [
         Imputer(strategy="median", inputCols=numbers, outputCols=filled),
         StringIndexerModel.from_arrays_of_labels(
-            [labels.values[c] for c in texts], texts, codes, "keep"
+            [list(labels.values[c]) for c in texts], texts, codes, "keep"
         ),
         VectorAssembler(inputCols=[*filled, *codes], outputCol=INPUTS),
         estimator(settings, total),
