@@ -46,6 +46,7 @@ HEADLINE = (
     "drift_report",
     "user_activity",
     "train_logreg",
+    "train_raw_balanced",
     "score_batch",
 )
 
