@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import chat, linededup, secrets, sentencepieces, sharding
+from holdfast.llm.oracles import ORACLES
 from holdfast.workspace import new_path
 
 
@@ -80,6 +81,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_linededup": op2_linededup,
