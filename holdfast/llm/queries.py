@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, linededup, secrets, sentencepieces, sharding
+from holdfast.llm import chat, linededup, neardup, secrets, sentencepieces, sharding
 from holdfast.llm.oracles import ORACLES
 from holdfast.workspace import new_path
 
@@ -75,6 +75,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.spans(F.col("findings")).alias("spans"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -88,5 +92,6 @@ QUERIES = {
     "op2_linededup": op2_linededup,
     "op3_chat": op3_chat,
     "op5_secrets": op5_secrets,
+    "op6_neardup": op6_neardup,
     "op8_sharding": op8_sharding,
 }
