@@ -34,8 +34,9 @@ def lines_of(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
     lines = F.array_distinct(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""))
     return docs.select(
         F.col(key).alias("id"), F.coalesce(F.concat(F.lit("+"), F.col(site)), F.lit("-")).alias("site"),
-        F.explode(lines).alias("line"),
-    ).select("id", "site", *_hashes(F.col("line")))
+        # The outer form, as for the other the planner would split the text a second time to filter by.
+        F.explode_outer(lines).alias("line"),
+    ).filter("line is not null").select("id", "site", *_hashes(F.col("line")))
 
 
 def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:

@@ -53,7 +53,38 @@ SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(said) AS turns_sha256,
 FROM joined
 """
 
+OP7 = """
+WITH said AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, list_filter(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda w: w <> '') AS w FROM said),
+shingles AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)),
+    lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM words),
+items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'i')
+SELECT d.id AS doc_id, i.id AS item_id, CAST(any_value(i.n) AS BIGINT) AS n_item, CAST(count(*) AS BIGINT) AS n_shared
+FROM shingles d JOIN items i ON d.s = i.s WHERE d.kind = 'd'
+GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(i.n)
+"""
+
+OP9 = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 20
+"""
+
 ORACLES = {
     "op2_linededup": OP2,
     "op3_chat": OP3,
+    "op7_decontamination": OP7,
+    "op9_vectorsearch": OP9,
 }

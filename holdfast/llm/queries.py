@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, linededup, neardup, secrets, sentencepieces, sharding
+from holdfast.llm import chat, decontamination, linededup, neardup, secrets, sentencepieces, sharding, vectorsearch
 from holdfast.llm.oracles import ORACLES
 from holdfast.workspace import new_path
 
@@ -79,12 +79,22 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contained(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_vectorsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectorsearch.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -93,5 +103,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op5_secrets": op5_secrets,
     "op6_neardup": op6_neardup,
+    "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_vectorsearch": op9_vectorsearch,
 }
