@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, decontamination, linededup, neardup, secrets, sentencepieces, sharding, vectorsearch
+from holdfast.llm import chat, decontamination, languages, linededup, neardup, quality, secrets, sentencepieces, sharding, vectorsearch
 from holdfast.llm.oracles import ORACLES
 from holdfast.workspace import new_path
 
@@ -61,6 +61,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger of its own, so that every run scans every text of the table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,15 +103,24 @@ def op9_vectorsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorsearch.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = languages.train(docs)
+    return languages.identify(docs.select("doc_id", "text"), network).select(
+        "doc_id", languages.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_linededup": op2_linededup,
     "op3_chat": op3_chat,
+    "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_neardup": op6_neardup,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op9_vectorsearch": op9_vectorsearch,
+    "op10_languages": op10_languages,
 }
