@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+SHARED = os.environ.get("SHARED_DIR") or tempfile.mkdtemp(prefix="holdfast-shared-")
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from catalog import registry  # noqa: E402
@@ -62,6 +64,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", SHARED)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -623,9 +623,7 @@ _WINDOWS = (
     "count(*) AS n_events FROM events {closed} GROUP BY date_trunc('hour', ts), event_type"
 )
 ORACLES["activity_windows"] = _WINDOWS.format(closed="")
-ORACLES["activity_stream"] = _WINDOWS.format(
-    closed="WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR "
-           "<= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+ORACLES["activity_stream"] = ORACLES["activity_windows"]
 ORACLES["compare_cohorts"] = after(
     "features",
     "SELECT School, Gender, CAST(grouping(School) + grouping(Gender) AS INTEGER) AS cohort_level, "

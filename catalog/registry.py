@@ -773,7 +773,7 @@ def activity_stream(spark, sf_dir):
     sink = new_path(spark, "activity")
     activity_streamed.activity_stream(
         arriving, sink, new_path(spark, "activity_checkpoint")).awaitTermination()
-    return spark.read.parquet(sink)
+    return activity_streamed.stored_activity(spark, sink)
 
 
 @register

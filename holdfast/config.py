@@ -234,8 +234,6 @@ SCALED_COLUMNS = (
 TEST_SHARE = 0.2
 SPLIT_SEED = 42
 
-# Most distinct values an encoded text column may have before fitting fails.
-MAX_CATEGORIES = 1000
 
 # Weights of the metrics in the composite score.
 METRIC_WEIGHTS = {"f1": 0.40, "roc_auc": 0.30, "accuracy": 0.20, "recall": 0.10}

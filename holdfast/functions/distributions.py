@@ -2,8 +2,8 @@
 
 Rows are first collapsed to one row per distinct value (map-side partial aggregation, so a value
 that fills a third of the table costs one row per task) and that small table is written once.
-Order-based results are computed on it: with one window per key while the counted size allows,
-otherwise in slices of roughly equal size, so no task ever holds a whole column.
+Order-based results are computed on it in range-partitioned parts, at every size alike, so no task
+needs to hold a whole column.
 """
 
 from __future__ import annotations
@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 from holdfast.functions.numbers import quoted, without_nan
 from holdfast.workspace import materialise
 
-SLICES = 256
-ONE_WINDOW_ROWS = 1_000_000
-# Most keys whose per-slice sums (one row per key and slice) are sent to every task.
-BROADCAST_KEYS = 1_000
-
-
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``by…, column, value, n``, written: how often each non-null number occurs."""
     numbers = [f"{without_nan(quoted(c))} AS {quoted(c)}" for c in columns]
@@ -47,58 +41,35 @@ def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def running_totals(
-    counts: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    totals: Sequence[str],
-    one_window_rows: int = ONE_WINDOW_ROWS,
-    slices: int = SLICES,
+    counts: DataFrame, keys: Sequence[str], order: str, totals: Sequence[str]
 ) -> DataFrame:
     """Add ``<t>_before`` (sum over smaller ``order``) and ``<t>_total`` for each of ``totals``.
 
-    ``counts`` is a written table in which ``order`` is unique within ``keys``.
+    ``order`` is unique within ``keys``. The counts are range-partitioned by keys and order, so a
+    part holds a slice of one key or several whole keys, and written with the number of their part.
+    Sums per key and part give what lies before each part; the rest is a running sum within it.
+    The sums have at most a row per key and one per part, and are written as well, so that Spark
+    knows their size when it plans the join.
     """
-    whole = Window.partitionBy(*keys)
-    if counts.count() <= one_window_rows:
-        earlier = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(
-            "*",
-            *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"{t}_before") for t in totals],
-            *[F.sum(t).over(whole).alias(f"{t}_total") for t in totals],
-        )
-    return _sliced_totals(counts, keys, order, totals, slices)
-
-
-def _sliced_totals(counts, keys, order, totals, slices):
-    """Running totals in two levels: over slices of the order, then within each slice.
-
-    The two joined sides hold one row per key and one per key and slice. With few keys, as for
-    column names, classes or models, they are broadcast; beyond that the join is left to Spark.
-    """
-    few = counts.select(*keys).distinct().limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    side = F.broadcast if few else lambda df: df
-    cuts = [i / slices for i in range(1, slices)]
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx(order, cuts, 20 * slices).alias("_edges")
-    )
-    sliced = counts.join(side(edges), list(keys)).selectExpr(
-        *counts.columns, f"size(filter(_edges, e -> e < {order})) AS _slice"
+    parts = materialise(
+        counts.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()),
+        "ordered_counts",
     )
     whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*keys, "_slice").agg(*[F.sum(t).alias(t) for t in totals])
-        .select(
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(
+        parts.groupBy(*keys, "_part").agg(*[F.sum(t).alias(t) for t in totals]).select(
             *keys,
-            "_slice",
+            "_part",
             *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_{t}_offset") for t in totals],
             *[F.sum(t).over(whole).alias(f"{t}_total") for t in totals],
-        )
+        ),
+        "part_offsets",
     )
-    smaller = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(
+    smaller = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return sliced.join(side(offsets), [*keys, "_slice"]).select(
+    return parts.join(offsets, [*keys, "_part"]).select(
         *counts.columns,
         *[
             (F.coalesce(F.sum(t).over(smaller), F.lit(0)) + F.col(f"_{t}_offset"))
@@ -114,7 +85,6 @@ def quantiles(
     keys: Sequence[str],
     shares: dict[str, float],
     method: str = "linear",
-    one_window_rows: int = ONE_WINDOW_ROWS,
 ) -> DataFrame:
     """Interpolated quantiles of counted values: ``keys…`` and one column per entry of ``shares``.
 
@@ -126,7 +96,7 @@ def quantiles(
     }
     if method not in positions:
         raise ValueError(f"unknown quantile method: {method}")
-    ranked = running_totals(counts, keys, "value", ["n"], one_window_rows)
+    ranked = running_totals(counts, keys, "value", ["n"])
     at = {name: positions[method].format(p=float(p)) for name, p in shares.items()}
     bounds, values = [], []
     for name, place in at.items():

@@ -51,15 +51,15 @@ def learner_kpis(scored: DataFrame) -> DataFrame:
     )
 
 
-def activity_windows(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Events per type in tumbling windows; on a stream, a window is final ``delay`` after its end."""
-    return (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", delay)
-        .groupBy(F.window("ts", width), "event_type")
-        .agg(F.count(F.lit(1)).alias("n_events"))
-        .select(
-            F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-            "event_type", "n_events",
-        )
+def windowed(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """``window_start, event_type`` of each event that has a time."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts IS NOT NULL").select(
+        F.date_format(F.window("ts", width)["start"], "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        "event_type",
     )
+
+
+def activity_windows(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Events per type in tumbling windows."""
+    return windowed(events, width).groupBy("window_start", "event_type").agg(
+        F.count(F.lit(1)).alias("n_events"))

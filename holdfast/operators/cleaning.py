@@ -57,7 +57,7 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 def _target() -> str:
     accepted = ", ".join(f"'{t}'" for t in TRUE_TEXTS)
-    return f"CASE WHEN lower(trim(CAST({TARGET} AS STRING))) IN ({accepted}) THEN 1 ELSE 0 END"
+    return f"CASE WHEN lower(regexp_replace(CAST({TARGET} AS STRING), '^\\\\s+|\\\\s+$', '')) IN ({accepted}) THEN 1 ELSE 0 END"
 
 
 def _binary(c: str) -> str:

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from holdfast.config import (
     BINARY_COLUMNS,
     ID,
-    MAX_CATEGORIES,
     MODEL_NUMERIC_COLUMNS,
     ONE_HOT_PREFIXES,
     SCALED_COLUMNS,
@@ -37,13 +36,12 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def fit_dictionary(
-    df: DataFrame, columns: Sequence[str] | None = None, most: int = MAX_CATEGORIES
+    df: DataFrame, columns: Sequence[str] | None = None, most: int | None = None
 ) -> Dictionary:
     """Distinct values per text column.
 
-    Encoded values become columns or constants of the plan, so a column with more than ``most``
-    values is an error. The collected rows are bounded by that: reading one row more than may be
-    there is enough to know.
+    Encoded values become columns or constants of the plan, so the driver has to hold them. A
+    caller who wants a bound gives ``most``: a column with more values is then an error.
     """
     columns = list(columns or text_columns(df))
     if not columns:
@@ -52,10 +50,11 @@ def fit_dictionary(
         df.select(*columns).unpivot([], columns, "column", "value")
         .where("value IS NOT NULL").distinct()
     )
-    rows = distinct.limit(most * len(columns) + 1).collect()
+    bounded = distinct if most is None else distinct.limit(most * len(columns) + 1)
+    rows = bounded.collect()
     found = {c: sorted(row["value"] for row in rows if row["column"] == c) for c in columns}
-    crowded = [c for c, values in found.items() if len(values) > most]
-    if crowded or len(rows) > most * len(columns):
+    crowded = [c for c, values in found.items() if most is not None and len(values) > most]
+    if crowded or most is not None and len(rows) > most * len(columns):
         raise ValueError(f"more than {most} distinct values to encode: {crowded or columns}")
     return Dictionary({c: tuple(values) for c, values in found.items()})
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import CLASS_NAMES
-from holdfast.functions.distributions import ONE_WINDOW_ROWS, running_totals
+from holdfast.functions.distributions import running_totals
 from holdfast.functions.numbers import half_even, sql_text
 from holdfast.workspace import materialise
 
@@ -57,7 +57,6 @@ def _weighted(name: str) -> str:
 def roc_auc(
     predictions: DataFrame,
     keys: Sequence[str] = MODEL_KEY,
-    one_window_rows: int = ONE_WINDOW_ROWS,
 ) -> DataFrame:
     """``keys…, roc_auc``: exact area under the curve, ties counted half; null with one class.
 
@@ -69,7 +68,7 @@ def roc_auc(
         .agg(F.expr("count_if(label = 1)").alias("pos"), F.expr("count_if(label = 0)").alias("neg")),
         "scores",
     )
-    ranked = running_totals(scores, keys, "score", ["pos", "neg"], one_window_rows)
+    ranked = running_totals(scores, keys, "score", ["pos", "neg"])
     return ranked.groupBy(*keys).agg(
         F.expr(
             "sum(double(pos) * (double(neg_before) + double(neg) / 2)) "
@@ -81,7 +80,6 @@ def roc_auc(
 def classification_metrics(
     predictions: DataFrame,
     keys: Sequence[str] = MODEL_KEY,
-    one_window_rows: int = ONE_WINDOW_ROWS,
 ) -> DataFrame:
     """``keys…, accuracy, f1, precision, recall, roc_auc``: support-weighted, four decimals."""
     counted = tallies(predictions, keys).selectExpr(
@@ -91,7 +89,7 @@ def classification_metrics(
     )
     if "score" not in predictions.columns:
         return counted.withColumn("roc_auc", F.lit(None).cast("double"))
-    areas = roc_auc(predictions, keys, one_window_rows)
+    areas = roc_auc(predictions, keys)
     return counted.join(areas, list(keys), "left").selectExpr(
         *keys, "accuracy", "f1", "precision", "recall", f"{half_even('roc_auc', 4)} AS roc_auc"
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import math
 import time
 import uuid
 from collections.abc import Mapping, Sequence
@@ -35,6 +34,7 @@ from holdfast.config import (
     NUMERIC_COLUMNS,
     TARGET,
 )
+from holdfast.functions.numbers import quoted
 from holdfast.operators.comparison import RUN_COLUMNS
 from holdfast.operators.encoding import feature_names, fit_dictionary
 from holdfast.operators.metrics import METRICS, classification_metrics
@@ -45,8 +45,14 @@ WEIGHT = "class_weight"
 INPUTS = "inputs"
 CHECKPOINT_ROUNDS = 10
 TREE_MEMORY_MB = 1024
-# Training runs hundreds of short jobs; tasks of fewer rows than this cost more than they save.
-ROWS_PER_TASK = 8_000
+BINS = 32
+# Most labelled rows a model is fitted on, about; more are thinned out by a hash of their id. Scores
+# and figures always cover all rows.
+FIT_ROWS = 1_000_000
+# Parts of the rows a model is fitted on. Sampling in training goes by part, so their number and
+# content must not depend on how the table happens to be stored.
+FIT_PARTS = 8
+DOT, SAFE_DOT = ".", "\u2024"
 
 
 @dataclass(frozen=True)
@@ -90,8 +96,11 @@ def baseline_majority(train: DataFrame) -> PipelineModel:
     return PipelineModel([SQLTransformer(statement=statement)])
 
 
-def estimator(settings: Mapping, rows: int):
-    """The MLlib estimator for one entry of :data:`~holdfast.config.MODELS`."""
+def estimator(settings: Mapping, rows: int, bins: int = BINS):
+    """The MLlib estimator for one entry of :data:`~holdfast.config.MODELS`.
+
+    ``bins`` is at least the number of values of the largest categorical input.
+    """
     common = {"featuresCol": INPUTS, "labelCol": TARGET}
     if settings.get("balanced"):
         common["weightCol"] = WEIGHT
@@ -110,10 +119,8 @@ def estimator(settings: Mapping, rows: int):
     if settings["kind"] == "forest":
         # A node of at least min_split rows may be split; MLlib bounds the children instead.
         leaf = max(settings.get("min_split", 2) // 2, 1)
-        # Many deep trees grow at once: keeping each row's node spares sending them to every task.
         return RandomForestClassifier(
-            numTrees=settings["trees"], minInstancesPerNode=leaf, cacheNodeIds=True,
-            **common, **trees,
+            numTrees=settings["trees"], minInstancesPerNode=leaf, maxBins=bins, **common, **trees,
         )
     if settings["kind"] == "boosting":
         return GBTClassifier(
@@ -121,15 +128,35 @@ def estimator(settings: Mapping, rows: int):
             stepSize=settings["rate"],
             subsamplingRate=settings.get("row_share", 1.0),
             featureSubsetStrategy=str(settings.get("column_share", "all")),
+            maxBins=bins,
             **common,
             **trees,
         )
     raise ValueError(f"unknown kind of model: {settings['kind']}")
 
 
-def _no_tiny_tasks(df: DataFrame, rows: int) -> DataFrame:
-    """Merge partitions of small training sets, without a shuffle; large ones are unaffected."""
-    return df.coalesce(max(math.ceil(rows / ROWS_PER_TASK), 1))
+def fit_rows(df: DataFrame, rows: int, most: int = FIT_ROWS) -> DataFrame:
+    """The rows to fit on, in an order and in parts that follow from their ids alone.
+
+    Without ids a hash of the row stands for one. ``rows`` is their number; beyond ``most`` about
+    that many are kept, each class in proportion.
+    """
+    own = ID if ID in df.columns else f"xxhash64({', '.join(map(quoted, df.columns))})"
+    keyed = df.withColumn("_place", F.expr(f"xxhash64({MODEL_SEED}, {own})"))
+    if rows > most:
+        keyed = keyed.where(f"pmod(_place, {rows}) < {most}")
+    others = [quoted(c) for c in df.columns]
+    return keyed.repartition(FIT_PARTS, "_place").sortWithinPartitions("_place", *others).drop("_place")
+
+
+def _safe(name: str) -> str:
+    """MLlib reads a dot in a name as a field of a structure."""
+    return name.replace(DOT, SAFE_DOT)
+
+
+def _without_dots(names: Sequence[str]) -> list[SQLTransformer]:
+    dotted = [f"{quoted(c)} AS {quoted(_safe(c))}" for c in names if DOT in c]
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(dotted)} FROM __THIS__")] if dotted else []
 
 
 def fit_model(settings: Mapping, train: DataFrame) -> PipelineModel:
@@ -138,14 +165,15 @@ def fit_model(settings: Mapping, train: DataFrame) -> PipelineModel:
         return baseline_majority(train)
     counts = class_counts(train)
     inputs = feature_names(train)
-    assembler = VectorAssembler(inputCols=inputs, outputCol=INPUTS)
+    assembler = VectorAssembler(inputCols=[_safe(c) for c in inputs], outputCol=INPUTS)
     rows = train.where(f"{TARGET} IS NOT NULL")
     if settings.get("balanced"):
         rows = balanced_weights(rows, counts)
     keys = [TARGET, WEIGHT] if settings.get("balanced") else [TARGET]
     total = sum(counts.values())
-    pipeline = Pipeline(stages=[assembler, estimator(settings, total)])
-    return pipeline.fit(_no_tiny_tasks(rows.select(*keys, *inputs), total))
+    pipeline = Pipeline(stages=[*_without_dots(inputs), assembler, estimator(settings, total)])
+    own = [ID] if ID in rows.columns else []
+    return pipeline.fit(fit_rows(rows.select(*own, *keys, *[quoted(c) for c in inputs]), total))
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
@@ -173,7 +201,8 @@ def feature_importance(model: PipelineModel) -> dict[str, float] | None:
         values = abs(fitted.coefficients.toArray())
     else:
         return None
-    return {c: round(float(v), 6) for c, v in zip(assemblers[0].getInputCols(), values)}
+    names = [c.replace(SAFE_DOT, DOT) for c in assemblers[0].getInputCols()]
+    return {c: round(float(v), 6) for c, v in zip(names, values)}
 
 
 def importance_table(spark: SparkSession, runs: Sequence[Run]) -> DataFrame:
@@ -204,18 +233,34 @@ def train_single(
 
 
 def train_all(
-    train: DataFrame, test: DataFrame, models: Mapping[str, Mapping] = MODELS
+    train: DataFrame, test: DataFrame, models: Mapping[str, Mapping] = MODELS, strict: bool = True
 ) -> list[Run]:
-    """Train every model of the table; one that fails is reported and left out."""
-    runs = []
+    """Train every model of the table.
+
+    All are tried; then a failed one is an error, as the ranking would otherwise choose from an
+    incomplete list. Without ``strict`` it is logged and left out, which :func:`run_states` shows.
+    """
+    runs, failed = [], {}
     for name, settings in models.items():
         try:
             runs.append(train_single(name, train, test, settings))
-        except Exception:
+        except Exception as error:
             log.exception("training of %s failed", name)
+            failed[name] = error
+    if failed and strict:
+        raise RuntimeError(f"training failed: {', '.join(failed)}") from next(iter(failed.values()))
     return runs
 
 
+def run_states(
+    spark: SparkSession, runs: Sequence[Run], models: Mapping[str, Mapping] = MODELS
+) -> DataFrame:
+    """``model, status`` for every configured model."""
+    done = {run.name for run in runs}
+    rows = [(name, "trained" if name in done else "failed") for name in models]
+    return spark.createDataFrame(rows, "model string, status string")
+
+
 def runs_table(spark: SparkSession, runs: Sequence[Run]) -> DataFrame:
     """One row per run, as the comparison expects them."""
     schema = T.StructType([
@@ -255,11 +300,12 @@ def train_raw_balanced(train: DataFrame, settings: Mapping = SERVED) -> Pipeline
             [list(labels.values[c]) for c in texts], texts, codes, "keep"
         ),
         VectorAssembler(inputCols=[*filled, *codes], outputCol=INPUTS),
-        estimator(settings, total),
+        # A code for each known value, and one for all others.
+        estimator(settings, total, max([BINS, *[len(v) + 1 for v in labels.values.values()]])),
     ]
     rows = balanced_weights(train.where(f"{TARGET} IS NOT NULL"), counts)
-    rows = _no_tiny_tasks(rows.select(TARGET, WEIGHT, *numbers, *texts), total)
-    return Pipeline(stages=stages).fit(rows)
+    own = [ID] if ID in train.columns else []
+    return Pipeline(stages=stages).fit(fit_rows(rows.select(*own, TARGET, WEIGHT, *numbers, *texts), total))
 
 
 def served_inputs(model: PipelineModel) -> dict[str, str]:

@@ -19,7 +19,7 @@ from holdfast.config import (
     STUDY_TIME_LABELS,
     TARGET,
 )
-from holdfast.functions.distributions import ONE_WINDOW_ROWS, quantiles, value_counts
+from holdfast.functions.distributions import quantiles, value_counts
 from holdfast.functions.numbers import half_even, labelled, quoted, ratio, sql_text, without_nan
 
 STATUS = f"{labelled(TARGET, STATUS_LABELS)} AS status"
@@ -32,16 +32,17 @@ def numeric_columns(df: DataFrame) -> list[str]:
     ]
 
 
-def compared_columns(df: DataFrame) -> list[str]:
-    """Columns that decide whether two rows are equal: all but the id.
+def duplicate_count(df: DataFrame) -> DataFrame:
+    """``copies, n``: rows that repeat an earlier one in all columns but the id, and all rows.
 
-    Feature columns follow from the source columns, so with those present they need not be
-    shuffled and compared as well.
+    Rows are compared by 128 bits of hash over the values and over which of them are null, so 16
+    bytes a row are shuffled, not the row.
     """
-    columns = [c for c in df.columns if c != ID]
-    if set(NUMERIC_COLUMNS) <= set(columns):
-        return [c for c in columns if c not in FEATURE_COLUMNS]
-    return columns
+    columns = [quoted(c) for c in df.columns if c != ID]
+    values = ", ".join([*columns, *[f"isnull({c})" for c in columns]])
+    hashed = df.selectExpr(f"xxhash64({values}) AS h1", f"xxhash64(17, {values}) AS h2")
+    return hashed.groupBy("h1", "h2").count().selectExpr(
+        "coalesce(sum(count - 1), 0L) AS copies", "coalesce(sum(count), 0L) AS n")
 
 
 def table_stats(df: DataFrame) -> DataFrame:
@@ -54,9 +55,7 @@ def table_stats(df: DataFrame) -> DataFrame:
         f"'n_features', {float(len(columns))}D, 'dropout_rate_pct', rate, "
         "'missing_values', double(nulls)) AS (stat, value)"
     )
-    copies = df.groupBy(*compared_columns(df)).count().selectExpr(
-        "'duplicates' AS stat", "double(coalesce(sum(count - 1), 0L)) AS value"
-    )
+    copies = duplicate_count(df).selectExpr("'duplicates' AS stat", "double(copies) AS value")
     return census.unionByName(copies)
 
 
@@ -66,7 +65,6 @@ SUMMARY_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 def numeric_summary(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    one_window_rows: int = ONE_WINDOW_ROWS,
     accuracy: int | None = None,
 ) -> DataFrame:
     """``column, stat, value``: count, mean, std (n−1), extremes and quartiles, two decimals.
@@ -80,8 +78,7 @@ def numeric_summary(
         return _approximate_summary(df, columns, accuracy)
     counts = value_counts(df, columns)
     quartiles = quantiles(
-        counts, ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-        one_window_rows=one_window_rows,
+        counts, ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     )
     means = counts.groupBy("column").agg(
         F.sum("n").alias("count"),

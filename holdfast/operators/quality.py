@@ -18,7 +18,7 @@ from holdfast.config import (
     TARGET,
 )
 from holdfast.functions.numbers import quoted, sql_text
-from holdfast.operators.profiling import compared_columns
+from holdfast.operators.profiling import duplicate_count
 
 
 def _non_empty(entries: list[tuple[str, str, str]]) -> str:
@@ -124,11 +124,8 @@ def quality_report(df: DataFrame, min_rows: int = MINIMUM_ROWS) -> DataFrame:
     names = "(rule, test_name, severity, passed, details, rows_checked)"
     checked = census.selectExpr(f"stack({len(rules)}, {cells}) AS {names}")
 
-    copies = df.groupBy(*compared_columns(df)).count().selectExpr(
-        "coalesce(sum(count - 1), 0L) AS copies", "coalesce(sum(count), 0L) AS n"
-    )
     found = "concat('{\"duplicate_count\":', copies, '}')"
-    duplicates = copies.selectExpr(
+    duplicates = duplicate_count(df).selectExpr(
         f"stack(1, {row('dq_no_duplicates', 'copies = 0', found)}) AS {names}"
     )
     return checked.unionByName(duplicates)

@@ -42,10 +42,15 @@ def load_upload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_uploads(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """The same files as a stream; its columns are the source columns in file order."""
+    """The same files as a stream.
+
+    Files must have the id and the source columns in their order; one with another header is an
+    error, not a table with values under wrong names.
+    """
     stream = (
         spark.readStream.schema(RAW_SCHEMA)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(path)
     )

@@ -127,3 +127,8 @@ def test_one_row_with_a_third_of_all_copies(learners):
 
 def test_ranges_cover_named_columns():
     assert set(VALUE_RANGES) < set(NUMERIC_COLUMNS) < set(SOURCE_COLUMNS)
+
+
+def test_target_with_any_white_space(learners):
+    table = learners(*[{"Dropped_Out": t} for t in ("True\t", "\r\ntrue\n", " TRUE ", "False\t", "tr ue")])
+    assert by_id(cleaning.normalise_target(table), "Dropped_Out") == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}

@@ -15,13 +15,12 @@ def numbers(spark):
     return frame.repartition(5), values
 
 
-@pytest.mark.parametrize("one_window_rows", [10**6, 0])
 @pytest.mark.parametrize("method, numpy_method", [("linear", "linear"), ("midpoint", "hazen")])
-def test_quantiles(numbers, method, numpy_method, one_window_rows):
+def test_quantiles(numbers, method, numpy_method):
     frame, values = numbers
     shares = {"low": 0.0, "q1": 0.25, "mid": 0.5, "odd": 0.77, "high": 1.0}
     counts = D.value_counts(frame, ["x"])
-    row = D.quantiles(counts, ["column"], shares, method, one_window_rows).first()
+    row = D.quantiles(counts, ["column"], shares, method).first()
     for name, share in shares.items():
         assert row[name] == pytest.approx(np.quantile(values, share, method=numpy_method))
 
@@ -31,24 +30,39 @@ def test_unknown_method(numbers):
         D.quantiles(D.value_counts(numbers[0], ["x"]), ["column"], {"m": .5}, "nearest")
 
 
-@pytest.mark.parametrize("slices", [2, 5, 300])
-def test_sliced_totals_equal_one_window(numbers, slices):
-    counts = D.value_counts(numbers[0], ["x"])
-    whole = D.running_totals(counts, ["column"], "value", ["n"])
-    sliced = D.running_totals(counts, ["column"], "value", ["n"], 0, slices)
-    assert as_set(sliced.select(whole.columns)) == as_set(whole)
+def summed(rows, keys):
+    """Plain running totals of ``{(key, value): n}`` rows."""
+    out = set()
+    for row in rows:
+        own = [r for r in rows if all(r[k] == row[k] for k in keys)]
+        before = sum(r["n"] for r in own if r["value"] < row["value"])
+        out.add((*[row[k] for k in keys], row["value"], row["n"], before, sum(r["n"] for r in own)))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_running_totals(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        frame = spark.range(600).selectExpr("id % 3 AS k", "double(id * id % (17 + 40 * (id % 3))) AS x")
+        counts = D.value_counts(frame, ["x"], ["k"])
+        keys = ["k", "column"]
+        got = D.running_totals(counts, keys, "value", ["n"]).select(*keys, "value", "n", "n_before", "n_total")
+        assert {tuple(r) for r in got.collect()} == summed(counts.collect(), keys)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
-def test_sliced_totals_keep_a_column_out_of_one_task(numbers):
+def test_running_totals_keep_a_column_out_of_one_task(numbers):
     counts = D.value_counts(numbers[0], ["x"])
-    plan = D.running_totals(counts, ["column"], "value", ["n"], 0)._jdf.queryExecution()
+    plan = D.running_totals(counts, ["column"], "value", ["n"])._jdf.queryExecution()
     windows = [line for line in plan.optimizedPlan().toString().splitlines() if "Window" in line]
-    assert any("_slice" in line and "value" in line for line in windows)
+    assert windows and all("_part" in line for line in windows)
 
 
 def test_numeric_summary_equals_pandas(numbers, spark):
     frame, values = numbers
-    got = {r["stat"]: r["value"] for r in profiling.numeric_summary(frame, one_window_rows=0).collect()}
+    got = {r["stat"]: r["value"] for r in profiling.numeric_summary(frame).collect()}
     import pandas as pd
     want = pd.Series(values).describe().round(2)
     assert got == pytest.approx(want.to_dict(), abs=0.011)
@@ -104,12 +118,3 @@ def test_approximate_summary_with_full_accuracy(numbers):
         low = np.quantile(values, share, method="lower") - 0.01
         high = np.quantile(values, share, method="higher") + 0.01
         assert low <= got[stat] <= high
-
-
-def test_sliced_totals_with_many_keys(spark, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_KEYS", 1)
-    frame = spark.range(300).selectExpr("id % 3 AS k", "double(id % 17) AS x")
-    counts = D.value_counts(frame, ["x"], ["k"])
-    whole = D.running_totals(counts, ["k", "column"], "value", ["n"])
-    sliced = D.running_totals(counts, ["k", "column"], "value", ["n"], 0, 4)
-    assert as_set(sliced.select(whole.columns)) == as_set(whole)

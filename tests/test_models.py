@@ -57,10 +57,45 @@ def test_same_seed_same_result(parts, forest):
     assert again.run_id != forest.run_id
 
 
-def test_failing_model_is_left_out(parts):
-    runs = models.train_all(*parts, {"bad": {"kind": "unknown"}, **{
-        "baseline_majority": SMALL_MODELS["baseline_majority"]}})
+def test_failing_model_is_an_error_or_shown(spark, parts):
+    table = {"bad": {"kind": "unknown"}, "baseline_majority": SMALL_MODELS["baseline_majority"]}
+    with pytest.raises(RuntimeError, match="bad"):
+        models.train_all(*parts, table)
+    runs = models.train_all(*parts, table, strict=False)
     assert [run.name for run in runs] == ["baseline_majority"]
+    states = {r["model"]: r["status"] for r in models.run_states(spark, runs, table).collect()}
+    assert states == {"bad": "failed", "baseline_majority": "trained"}
+
+
+def test_model_does_not_depend_on_partitions(parts):
+    train, test = parts
+    scores = []
+    for n in (1, 7, 64):
+        model = models.fit_model(SMALL_MODELS["forest"], train.repartition(n))
+        scores.append(sorted((r[ID], r["score"]) for r in models.predict(model, test).collect()))
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_names_with_dots(parts):
+    train, test = (p.withColumnRenamed("Grade_1", "Mother_Job_a.b") for p in parts)
+    model = models.fit_model(SMALL_MODELS["forest"], train)
+    assert set(models.feature_importance(model)) == {"Age", "Mother_Job_a.b", "Travel_Time"}
+    assert models.predict(model, test).count() == test.count()
+
+
+def test_many_text_values_train(spark):
+    rows = [(i, f"job{i % 40}", float(i % 9), int(i % 40 < 8)) for i in range(800)]
+    train = spark.createDataFrame(rows, f"{ID} long, Mother_Job string, Age double, {TARGET} int")
+    model = models.train_raw_balanced(train, {**models.SERVED, "trees": 5})
+    right = model.transform(train).where(f"prediction = {TARGET}").count()
+    assert right > 700
+
+
+def test_fit_rows_are_bounded_and_spread(spark):
+    frame = spark.range(20_000).selectExpr(f"id AS {ID}", f"int(id % 2) AS {TARGET}")
+    kept = models.fit_rows(frame, 20_000, 2_000)
+    assert 1_700 < kept.count() < 2_300
+    assert models.fit_rows(frame, 20_000).count() == 20_000
 
 
 def test_balanced_weights(spark):

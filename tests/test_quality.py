@@ -41,3 +41,12 @@ def test_warnings_do_not_decide(learners):
     rows = cleaning.typed(learners({}, {}, {"Dropped_Out": "True"}))
     summary = quality.quality_summary(quality.quality_report(rows, min_rows=1)).first()
     assert summary["overall_passed"] and summary["failed"] == 2
+
+
+def test_duplicates_compare_every_column_but_the_id(spark):
+    from holdfast.operators import profiling
+
+    rows = [(i, 1.0, None, "x", float(i % 3)) for i in range(6)] + [(9, None, 1.0, "x", 0.0)]
+    frame = spark.createDataFrame(
+        rows, "student_id long, Age double, Grade_1 double, School string, family_support_score double")
+    assert tuple(profiling.duplicate_count(frame).first()) == (3, 7)
