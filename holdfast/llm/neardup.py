@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
         "bucket", "node", "n", (-F.col("hub.minus")).alias("hub")), "bucket-hubs")
     meeting = shared.select("node").distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).cast("binary").alias("text"))
-    sets = materialise(shingle_sets(texts.join(meeting, "node"), width), "shingle-sets")
+    # A merge join at every size: the nodes that meet grow with the documents.
+    sets = materialise(shingle_sets(texts.join(meeting.hint("merge"), "node"), width), "shingle-sets")
 
     pairs = shared.filter("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
     links = materialise(confirmed(alike(pairs.distinct(), leading, percent), sets, percent).unionByName(
