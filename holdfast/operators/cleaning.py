@@ -28,7 +28,7 @@ from holdfast.workspace import materialise
 
 @dataclass(frozen=True)
 class CleaningStats:
-    """What imputation fills in; kept with a model so that new rows get the same values."""
+    """What imputation fills in; applied to new rows it gives them the same values."""
 
     medians: dict[str, float] = field(default_factory=dict)
     modes: dict[str, str] = field(default_factory=dict)

@@ -27,7 +27,7 @@ from holdfast.functions.numbers import clamp, half_even, ratio, weighted_sum
 
 @dataclass(frozen=True)
 class FeatureStats:
-    """Table-wide extremes; kept with a model so that new rows are scored on the same scale."""
+    """Table-wide extremes; applied to new rows it scores them on the same scale."""
 
     social_low: float | None = None
     social_high: float | None = None
