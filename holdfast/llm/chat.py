@@ -33,12 +33,15 @@ BLOCK = 64
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 _FIRST = "".join(sorted({re.escape(c[0]) for c in CONTROL}))
-_OPENING = f"([{_FIRST}])(?={'|'.join(re.escape(c[1:]) for c in CONTROL)})"
+_REST = "|".join(re.escape(c[1:]) for c in CONTROL)
+_BEGUN = "|".join(sorted({re.escape(c[1:k]) for c in CONTROL for k in range(1, len(c))}))
+_OPENING = f"([{_FIRST}])(?={_REST})"
+_OPENING_OR_BEGUN = f"([{_FIRST}])(?={_REST}|(?:{_BEGUN})\\z)"
 
 
-def escape(text: Column) -> Column:
+def escape(text: Column, opening: str = _OPENING) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, _OPENING, r"$1\\-")
+    return F.regexp_replace(doubled, opening, r"$1\\-")
 
 
 def unescape(text: Column) -> Column:
@@ -55,8 +58,11 @@ def text_parts(text: str = "text") -> Column:
     ))
 
 
-def _visit(part: Column) -> Column:
-    flat = escape(F.coalesce(part["text"], F.lit("")))
+def _visit(part: Column, at: Column) -> Column:
+    """A part's text or placeholder. A control string that the text ends in the middle of is broken up
+    as well if a part follows, which could complete it."""
+    whole = F.coalesce(part["text"], F.lit(""))
+    flat = F.when(at < F.size("parts") - 1, escape(whole, _OPENING_OR_BEGUN)).otherwise(escape(whole))
     for kind, placeholder in PLACEHOLDERS.items():
         flat = F.when(part["type"] == kind, F.lit(placeholder)).otherwise(flat)
     return flat

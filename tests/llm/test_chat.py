@@ -56,6 +56,19 @@ def test_typed_parts(spark):
     assert row.turns[0].text == "see <|image|><|audio|><|image|> and<|document|><|image|>!"
 
 
+@pytest.mark.parametrize("control", chat.CONTROL)
+def test_control_string_across_parts(spark, control):
+    cuts = [[control[:k], control[k:]] for k in range(1, len(control))] + [list(control), ["\\", "-", control[0], "", control[1:]]]
+    rows = [(1, i, "assistant", [{"type": "text", "text": t} for t in c]) for i, c in enumerate(cuts)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    row = chat.read_back(chat.format_conversations(df)).first()
+    assert [t.text for t in row.turns] == ["".join(c) for c in cuts]
+    assert row.under_loss == ["".join(c) for c in cuts]
+    inside = row.formatted[len(chat.BEGIN) : -len(chat.CLOSE)]
+    own = len(cuts) if control in (chat.TURN, chat.BODY, chat.END) else 0
+    assert inside.count(control) == own
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(df.withColumn("parts", chat.text_parts())).count() == 0
