@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.config import ID, MISSING_TOKENS, SOURCE_COLUMNS
 from holdfast.functions.numbers import quoted, sql_text
+from holdfast.workspace import materialise
 
 RAW_SCHEMA = T.StructType(
     [T.StructField(ID, T.LongType())] + [T.StructField(c, T.StringType()) for c in SOURCE_COLUMNS]
@@ -22,23 +26,57 @@ def _missing_as_null(df: DataFrame) -> DataFrame:
     })
 
 
+def _with_id(table: DataFrame) -> DataFrame:
+    """The id as a number; where there is none, a hash of the other columns in the order of their names."""
+    content = F.xxhash64(*[quoted(c) for c in sorted(table.columns) if c != ID])
+    if ID not in table.columns:
+        return table.select(content.alias(ID), "*")
+    return table.withColumn(ID, F.col(ID).cast("bigint"))
+
+
 def load_raw(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header to a table of text columns, the usual missing-value marks as null.
 
     Nothing is inferred from the data. Without an id column the id is a hash of the row's
-    content, so it is the same on every read and copies of a row share it. A path that does not
-    exist is an error.
+    content, so it is the same on every read and copies of a row share it. All files of a folder have
+    one header; a file with another one is an error, not a table with values under wrong names. A
+    path that does not exist is an error.
     """
-    table = spark.read.option("header", True).csv(path)
-    table = _missing_as_null(table.toDF(*[c.strip() for c in table.columns]))
-    if ID in table.columns:
-        return table.withColumn(ID, F.col(ID).cast("bigint"))
-    return table.select(F.xxhash64(*[quoted(c) for c in table.columns]).alias(ID), "*")
+    table = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    return _with_id(_missing_as_null(table.toDF(*[c.strip() for c in table.columns])))
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """``file, header``: the first line of each file that is not blank, written to a table."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where("block = 0 AND trim(value) <> ''").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return materialise(first, "headers")
 
 
 def load_upload(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded CSV files, one file or a folder of them, for scoring."""
-    return load_raw(spark, path)
+    """Uploaded CSV files, one file or a folder of them, for scoring: :func:`load_raw` for files whose
+    columns differ in order or number.
+
+    Columns go by the header of their own file; those that only other files have are null. Rows of a
+    file without id get the hash of their content. Files that share a header are read together, so the
+    folder is scanned once for the headers and once for each different one.
+    """
+    headers = _headers(spark, path)
+    different = [r["header"] for r in headers.select("header").distinct().orderBy("header").collect()]
+    if not different:
+        raise ValueError(f"no header in {path}")
+    tables = []
+    for header in different:
+        names = [c.strip() or f"_c{i}" for i, c in enumerate(next(csv.reader([header.removeprefix("\ufeff")])))]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        rows = spark.read.schema(schema).option("header", True).csv(path)
+        files = headers.where(F.col("header") == header).select(F.col("file").alias("_of"))
+        own = rows.select("*", F.col("_metadata.file_path").alias("_file"))
+        own = own.join(files, F.col("_file") == F.col("_of"), "left_semi").drop("_file")
+        tables.append(_with_id(_missing_as_null(own)))
+    return reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), tables)
 
 
 def stream_uploads(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:

@@ -30,6 +30,33 @@ def test_padded_names_and_content_ids(learners, spark):
     assert as_set(table) == as_set(readers.load_raw(spark, path))
 
 
+def test_files_with_other_headers(learners, spark):
+    rows = learners({"Grade_1": "3"}, {"Grade_1": "NA", "Mother_Job": "a, b"}, {"School": "MS"}, {"Age": "20"})
+    clean, mixed = new_path(spark, "clean"), new_path(spark, "mixed")
+    rows.coalesce(1).write.option("header", True).csv(clean)
+    backwards = rows.select(*reversed(rows.columns))
+    for part, table in (("student_id = 1", rows), ("student_id IN (2, 3)", backwards), ("student_id = 4", rows.drop("Age"))):
+        table.where(part).coalesce(1).write.mode("append").option("header", True).csv(mixed)
+    want, got = by_id(readers.load_raw(spark, clean)), by_id(readers.load_upload(spark, mixed))
+    assert set(got) == {1, 2, 3, 4} and got[4].Age is None
+    for i in (1, 2, 3):
+        assert got[i].asDict() == want[i].asDict()
+    assert as_set(readers.load_upload(spark, clean)) == as_set(readers.load_raw(spark, clean))
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.load_raw(spark, mixed).collect()
+
+
+def test_ids_of_files_without_them(learners, spark):
+    rows = learners({"Age": "16"}, {"Age": "18"}, {"Age": "20"})
+    mixed, alone = new_path(spark, "mixed"), new_path(spark, "alone")
+    rows.where("student_id = 1").write.option("header", True).csv(mixed)
+    for path in (mixed, alone):
+        rows.where("student_id > 1").drop("student_id").write.mode("append").option("header", True).csv(path)
+    got = {r.Age: r.student_id for r in readers.load_upload(spark, mixed).collect()}
+    assert got["16"] == 1
+    assert {r.Age: r.student_id for r in readers.load_raw(spark, alone).collect()} == {a: got[a] for a in ("18", "20")}
+
+
 def test_parts_are_read_alone(spark):
     frame = spark.range(20).selectExpr(
         "id AS student_id", "int(id % 2) AS Dropped_Out", "if(id < 15, 'train', 'test') AS split")
