@@ -11,7 +11,9 @@ from holdfast.config import (
     FEATURE_COLUMNS,
     ID,
     MISSING_TOKENS,
+    MODEL_CHECKS,
     MODEL_NUMERIC_COLUMNS,
+    MODELS,
     NUMERIC_COLUMNS,
     QUALITY_RULES,
     REQUEST_FIELDS,
@@ -576,6 +578,44 @@ ORACLES["export_results"] = after(
     "features", _AT_RISK + f"age BETWEEN 15 AND 30 AND {_PERCENT} / 100 >= 0.5", *SCORED)
 
 
+# Trained results: ids, labels, names and bounds are known beforehand.
+
+_TEST_FLAGS = after(
+    "features", f"SELECT {ID}, {TARGET} AS label, TRUE AS consistent, TRUE AS bounded "
+    "FROM parts WHERE split = 'test'", ENCODED, SPLIT)
+for _name in ("train_logreg", "train_rf_v1", "train_rf_v2", "train_gbt", "train_gbt_subsampled"):
+    ORACLES[f"{_name}_checked"] = _TEST_FLAGS
+_RESPONSES = after("raw", f"SELECT CAST({ID} AS VARCHAR) AS {ID}, TRUE AS consistent, TRUE AS bounded FROM raw")
+ORACLES["score_batch_checked"] = _RESPONSES
+ORACLES["score_stream_checked"] = _RESPONSES
+
+
+def _listed(names, row) -> str:
+    return "\nUNION ALL ".join("SELECT " + row(i, name) for i, name in enumerate(names))
+
+
+ORACLES["train_single_checked"] = "SELECT 'random_forest_v1' AS model, TRUE AS above_floor"
+ORACLES["train_all_checked"] = _listed(
+    MODELS, lambda _, m: f"'{m}' AS model, {m != 'baseline_majority'} AS above_floor, TRUE AS bounded")
+ORACLES["feature_importance_checked"] = (
+    f"SELECT model, feature, TRUE AS bounded, TRUE AS adds_up FROM (VALUES "
+    + columns(*[f"('{m}')" for m in MODELS if m != "baseline_majority"]) + ") m(model), (VALUES "
+    + columns(*[f"('{c}')" for c in _MODEL_NAMES]) + ") f(feature)")
+ORACLES["validate_model_checked"] = _listed(
+    MODEL_CHECKS, lambda _, c: f"'{c}' AS \"check\", '{MODEL_CHECKS[c]}' AS test, "
+    + ("TRUE" if c != "sensitivity" else "CAST(NULL AS BOOLEAN)") + " AS passed")
+ORACLES["save_validation_report_checked"] = ORACLES["validate_model_checked"]
+ORACLES["model_registry_checked"] = _listed(
+    MODELS, lambda i, m: f"'learner_dropout_classifier' AS registry_name, {i + 1} AS version, '{m}' AS model_name, "
+    f"'{'Production' if i + 1 == len(MODELS) else 'Archived'}' AS stage")
+ORACLES["ml_pipeline_checked"] = (
+    f"SELECT {len(MODELS)} AS models_trained, TRUE AS beats_majority, TRUE AS above_floor, "
+    f"CAST({len(MODEL_CHECKS)} AS BIGINT) AS checks_total, 'learner_dropout_classifier' AS registry_name, "
+    "1 AS version, 'Production' AS stage")
+#: Checks that need the training of every model; left to ``tools/check.py``, as they take minutes.
+LONG = tuple(n for n in ORACLES if n.endswith("_checked"))
+
+
 # Drift, activity and cohort comparison.
 
 _WATCHED = (*NUMERIC_COLUMNS, *FEATURE_COLUMNS)
