@@ -3,11 +3,14 @@
 Every line is known by a 128-bit hash. Its spread, the number of distinct sites it appears on, is
 sketched by HyperLogLog per hash; the sketches of all tasks merge by aggregation. Lines whose estimate
 lies near the threshold get an exact count of distinct sites. Lines at or above the threshold leave
-every document, unless they make up more than ``most`` of a document's characters: such a document is
-a copy, not a page with boilerplate, and copies are left to near-duplicate removal.
+every document, unless they make up more than ``most`` of a document's characters: such a document stays
+as it is, with ``proven`` only if its whole text is also that of a document with another id. Then it is a
+copy, and copies are left to near-duplicate removal. Without ``proven``, as in the SQL check, pages of much
+boilerplate and few lines of their own keep the boilerplate too.
 
 Defined results: a null or empty text stays as it is; blank lines always stay; a null site is a site of
-its own; equal lines within a document go together; rows that share a doc_id lose the same lines.
+its own; equal lines within a document go together; rows that share a doc_id lose the same lines; a row
+without doc_id is no copy of another, as near-duplicate removal links it with nothing.
 """
 
 from __future__ import annotations
@@ -53,8 +56,17 @@ def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return materialise(judged.filter(F.col("spread") > high).select("h1", "h2").unionByName(exact), "line-drops")
 
 
+def copied_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, copies``: hashes of the document's texts that a document with another id has as well."""
+    texts = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("id"), *_hashes(F.col(text)))
+    shared = texts.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    return texts.join(shared.select("h1", "h2"), ["h1", "h2"]).groupBy("id").agg(
+        F.collect_set(F.struct("h1", "h2")).alias("copies"))
+
+
 def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source",
-                 sites: int = SITES, most: float = MOST) -> DataFrame:
+                 sites: int = SITES, most: float = MOST, proven: bool = False) -> DataFrame:
     """The documents without spread lines, and ``lines_removed``, which replaces a column of that name;
     other columns as they were.
 
@@ -67,13 +79,18 @@ def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site:
         lines.select("id", "h1", "h2").join(drops, ["h1", "h2"])
         .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
     )
+    if proven:
+        found = found.join(copied_texts(docs, key, text), "id", "left")
     held = docs.select(F.struct("*").alias("doc"), F.col(key).alias("held_id"), F.col(text).alias("given"))
     marked = held.join(found, F.col("held_id").eqNullSafe(F.col("id")), "left")
     split = F.split("given", "\n")
     stays = lambda x: (F.trim(x) == "") | ~F.array_contains("found", F.struct(*_hashes(x)))
     kept = F.when(F.col("found").isNotNull(), F.array_join(F.filter(split, stays), "\n"))
-    judged = marked.withColumn("kept", kept).withColumn(
-        "clean", F.col("kept").isNotNull() & (F.length("given") - F.length("kept") <= most * F.length("given")))
+    clears = F.length("given") - F.length("kept") <= most * F.length("given")
+    if proven:
+        copy = F.array_contains("copies", F.struct(*_hashes(F.col("given"))))
+        clears = clears | ~F.coalesce(copy, F.lit(False))
+    judged = marked.withColumn("kept", kept).withColumn("clean", F.col("kept").isNotNull() & clears)
     clean = F.when(F.col("clean"), F.col("kept")).otherwise(F.col("given"))
     removed = F.when(F.col("clean"), F.size(split) - F.size(F.split("kept", "\n"))).otherwise(0)
     field = F.col("doc").getField

@@ -55,3 +55,25 @@ def test_given_documents(spark):
     out = linededup.remove_lines(docs, sites=4).collect()
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == brute(given, 4, linededup.MOST)
     assert sum(r.lines_removed for r in out) > 0
+
+
+def test_only_proven_copies_stay(spark):
+    """Pages of mostly boilerplate lose it; whole texts that other documents have as well stay."""
+    notice, copied = "all rights reserved by the owners of this site", "a whole copied text\nwith two lines"
+    given = [(i, f"{notice}\nown {i}", f"s{i}") for i in range(10)]
+    given += [(100 + i, copied, f"s{i}") for i in range(10)]
+    given += [(200, copied + "\nmine", "s0"), (201, notice, "s1"), (201, notice, "s1"), (None, copied, "s2")]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), r.text) for r in linededup.remove_lines(df, proven=True).collect())
+    want = [(str(i), f"own {i}") for i in range(10)] + [(str(100 + i), copied) for i in range(10)]
+    assert got == sorted(want + [("200", "mine"), ("201", ""), ("201", ""), ("None", "")])
+
+
+def test_pipeline_stage_cleans_pages_of_boilerplate(spark):
+    import corpus_pipeline
+
+    notice = "all rights reserved by the owners of this site"
+    rows = [(i, f"{notice}\nown {i}", "en", f"s{i}", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: (f"own {i}", 5) for i in range(10)}
