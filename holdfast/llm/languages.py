@@ -5,8 +5,13 @@ documents. It labels every byte of every text, in windows; the probabilities of
 averaged, and the language with the highest average is the prediction. Gates and candidates use
 ``x / (1 + |x|)`` in place of the logistic function and tanh, which costs a division only.
 
-Defined results: ``und`` with score 0 where a text is null or has no letter, or where nothing was
-learned; ties go to the language that comes first in order; extra columns stay.
+``train(..., other=True)`` adds a label for text in no learned language. It is learned from junk: shuffled
+bytes of the windows, random words of Latin letters and digits, and scripts that the windows do not use. A text
+is in no learned language if the label's average probability is above ``0.5 + slack / sqrt(bytes)``; the slack
+is ``MARGIN`` times the least with which every document drawn to fit it stays.
+
+Defined results: ``und`` with score 0 where a text is null or has no letter, is in no learned language, or
+where nothing was learned; ties go to the language that comes first in order; extra columns stay.
 """
 
 from __future__ import annotations
@@ -29,6 +34,11 @@ PER_LANGUAGE, WINDOWS, TRAINED = 600, 4, 64
 STEPS, BATCH, RATE = 240, 256, 0.02
 WINDOW = 128
 SLICE_BYTES = 1 << 19
+#: The other label: first and last letters of scripts, factor on the fitted slack, and the documents below
+#: which no text is held to be in another language.
+SCRIPTS = ("ͰϿ", "Аџ", "את", "ءي", "अह", "กฮ", "ぁゖ", "一龥", "가힣")
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+MARGIN, LEAST = 3, 100
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -72,11 +82,14 @@ class Direction:
 
 @dataclass
 class Network:
+    """Labels are the languages, and a last one for other text if ``slack`` is set."""
+
     languages: list[str]
     ahead: Direction
     back: Direction
     w: np.ndarray
     b: np.ndarray
+    slack: float | None = None
 
     def parameters(self) -> list[np.ndarray]:
         return [self.ahead.e, self.ahead.u, self.ahead.c, self.back.e, self.back.u, self.back.c, self.w, self.b]
@@ -85,12 +98,12 @@ class Network:
         """Sums over the positions ``inside`` of each row's label probabilities; ``x`` is time by rows."""
         steps, rows = x.shape
         size = self.ahead.u.shape[0]
-        logits = np.empty((steps, rows, len(self.languages)), "f4")
+        logits = np.empty((steps, rows, len(self.b)), "f4")
         h = np.zeros((rows, size), "f4")
         for t in range(steps):
             h = self.ahead.step(x[t], h)
             np.matmul(h, self.w[:size], out=logits[t])
-        sums = np.zeros((rows, len(self.languages)), "f4")
+        sums = np.zeros((rows, len(self.b)), "f4")
         h[:] = 0
         for t in range(steps - 1, -1, -1):
             h = self.back.step(x[t], h)
@@ -106,7 +119,7 @@ class Network:
     def documents(self, given: list[bytes]) -> np.ndarray:
         """Average label probabilities of each text; zeros for an empty one."""
         lengths = np.array([len(g) for g in given])
-        result = np.zeros((len(given), len(self.languages)))
+        result = np.zeros((len(given), len(self.b)))
         if not lengths.sum():
             return result
         buffer = np.frombuffer(b"".join(given), np.uint8)
@@ -123,6 +136,12 @@ class Network:
             np.add.at(result, owner[some], self.positions(x, inside.astype("f4")))
         return result / np.maximum(lengths, 1)[:, None]
 
+    def foreign(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether texts of ``lengths`` bytes with the average probabilities ``p`` are in no learned language."""
+        if self.slack is None:
+            return np.zeros(len(p), bool)
+        return p[:, len(self.languages)] > 0.5 + self.slack / np.sqrt(np.maximum(lengths, 1))
+
 
 def _run(d: Direction, x: np.ndarray) -> tuple[list, list]:
     """States before each step and after, and what the backward pass needs."""
@@ -189,24 +208,56 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: in
     return network
 
 
+def junk(windows: np.ndarray, number: int) -> np.ndarray:
+    """Windows of text in no language."""
+    draw = np.random.default_rng(23)
+    size = windows.shape[1]
+    share = np.bincount(windows.ravel(), minlength=256) / windows.size
+    # A script is known by its first byte; those of the windows may be languages to learn.
+    foreign = [s for s in SCRIPTS if share[s[0].encode()[0]] < 0.001]
+    mixed = [c.encode() for c in LATIN.upper() + LATIN + "0123456789"]
+    alphabets = [([c.encode() for c in LATIN], 12), (mixed, 40)]
+
+    def words(letters: list[bytes], longest: int) -> bytes:
+        made = b""
+        while len(made) < size:
+            made += b"".join(letters[i] for i in draw.integers(0, len(letters), draw.integers(2, longest))) + b" "
+        return made[:size]
+
+    out = []
+    for k in range(number):
+        if k % 4 == 0:
+            out.append(draw.permutation(windows[draw.integers(len(windows))]))
+            continue
+        letters, longest = alphabets[k % 2]
+        if k % 4 == 3 and foreign:
+            first, last = map(ord, foreign[draw.integers(len(foreign))])
+            letters, longest = [chr(c).encode() for c in draw.integers(first, last + 1, 64)], 12
+        out.append(np.frombuffer(words(letters, longest), np.uint8))
+    return np.array(out)
+
+
 def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-          per_language: int = PER_LANGUAGE) -> Network | None:
+          per_language: int = PER_LANGUAGE, other: bool = False) -> Network | None:
     """Learns from documents that have a language and letters and are not held out.
 
     A hash of the id draws about ``per_language`` documents of each language, and a few windows of each go
-    to the driver. None if there is nothing to learn from.
+    to the driver. None if there is nothing to learn from. ``other`` adds the label for other text, which
+    needs ``LEAST`` documents; its slack is fitted on the documents drawn and held-out ones drawn alike.
     """
-    usable = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).alias("lang")).filter(
-        F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out("id"))
+    labelled = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).alias("lang")).filter(
+        F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("t").isNotNull())
+    usable = labelled.filter(~held_out("id"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, max(1.0, n / per_language))])[F.col("lang")]
-    drawn = usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * share < (1 << 20)).filter(F.rlike("t", F.lit(r"\p{L}")))
+    chosen = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * share < (1 << 20)) & F.rlike("t", F.lit(r"\p{L}"))
+    drawn = usable.filter(chosen)
     data = drawn.select("id", "lang", F.encode("t", "UTF-8").alias("bytes"), F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1))).alias("k"))
     last = F.greatest(F.octet_length("bytes") - TRAINED, F.lit(0)) + 1
     cut = F.substring("bytes", (F.pmod(F.xxhash64("id", "k"), last) + 1).cast("int"), F.lit(TRAINED))
@@ -215,7 +266,27 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not languages:
         return None
     windows = np.array([np.frombuffer(w.ljust(TRAINED), np.uint8) for *_, w in rows])
-    return fit(windows, np.array([languages.index(r[0]) for r in rows]), languages)
+    labels = np.array([languages.index(r[0]) for r in rows])
+    if not other or len(rows) < LEAST * WINDOWS:
+        return fit(windows, labels, languages)
+    made = junk(windows, len(windows) // len(languages) + 1)
+    network = fit(np.concatenate([windows, made]), np.concatenate([labels, np.full(len(made), len(languages))]),
+                  [*languages, UNKNOWN])
+    network.languages = languages
+    network.slack = MARGIN * fitted_slack(labelled.filter(chosen).select("t"), network)
+    return network
+
+
+def fitted_slack(docs: DataFrame, network: Network) -> float:
+    """The least slack, 0 or more, with which none of the texts ``t`` is held to be in another language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", SLICE_BYTES):
+            given = batch.column("t").cast(pa.binary()).to_pylist()
+            p = network.documents(given)[:, len(network.languages)]
+            yield pa.RecordBatch.from_pydict({"need": (p - 0.5) * np.sqrt([len(g) for g in given])})
+
+    return max(0.0, docs.mapInArrow(run, "need double").agg(F.max("need")).first()[0] or 0.0)
 
 
 def identify(docs: DataFrame, network: Network | None, text: str = "text", into: str = "lang_pred",
@@ -234,10 +305,11 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text", into:
         for batch in slices(batches, text, SLICE_BYTES):
             given = batch.column(text).cast(pa.binary()).to_pylist()
             p = network.documents([g or b"" for g in given])
-            best = p.argmax(1)
+            best = p[:, : len(network.languages)].argmax(1)
+            foreign = network.foreign(p, np.array([len(g or b"") for g in given]))
             yield extended(batch, arrow, **{
-                into: [network.languages[k] for k in best],
-                score: np.clip(p[np.arange(len(best)), best], 0, 1).round(6)})
+                into: [UNKNOWN if f else network.languages[k] for k, f in zip(best, foreign)],
+                score: np.where(foreign, 0, np.clip(p[np.arange(len(best)), best], 0, 1)).round(6)})
 
     labelled = kept.mapInArrow(run, schema)
     return labelled.withColumns({

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from holdfast.llm import languages
 from holdfast.llm.queries import op10_languages
@@ -75,3 +76,26 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in languages.identify(docs, network).collect()} == {"und"}
     one = languages.train(spark.createDataFrame([(i, "abc def", "xx") for i in range(1, 9)], "doc_id long, text string, lang string"))
     assert one.languages == ["xx"]
+
+
+def test_other_text_is_rejected(spark):
+    """Gibberish and scripts not learned go; clean documents stay, and op10 has no such label."""
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert languages.train(docs, per_language=40).slack is None
+    network = languages.train(docs, other=True)
+    draw = random.Random(2)
+    made = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(2, 10))) for _ in range(60)) for _ in range(50)]
+    made += ["Дети каждое утро ходят в школу, а родители едут на работу в большой город. " * 3]
+    junk = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    out = languages.identify(junk, network).collect()
+    assert all(r.lang_pred == "und" and r.score == 0 for r in out)
+    clean = languages.identify(docs.filter(F.rlike("text", F.lit(r"\p{L}"))), network)
+    assert clean.filter("lang_pred = 'und'").count() == 0
+
+
+def test_few_documents_teach_no_other(spark):
+    rows = [(i, f"plain words number {i}", "xx") for i in range(1, 40)]
+    network = languages.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), other=True)
+    assert network.slack is None and len(network.b) == 1

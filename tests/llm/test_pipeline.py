@@ -55,3 +55,14 @@ def test_empty_documents(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, DIR)
         assert docs.count() == 0
+
+
+def test_language_stage_rejects_and_keeps_given_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    given = docs.filter("doc_id % 2 = 0 and length(text) > 200").first()
+    odd = [(10**6, "Дети каждое утро ходят в школу, а родители едут на работу в большой город. " * 3, None, "src1", 0),
+           (10**6 + 1, given.text, "xx", "src1", 0), (10**6 + 2, given.text, None, "src1", 0)]
+    out = pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), DIR)
+    got = {r.doc_id: r.lang for r in out.select("doc_id", "lang").collect()}
+    assert 10**6 not in got
+    assert got[10**6 + 1] == "xx" and got[10**6 + 2] == given.lang
