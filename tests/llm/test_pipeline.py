@@ -60,9 +60,18 @@ def test_empty_documents(spark):
 def test_language_stage_rejects_and_keeps_given_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     given = docs.filter("doc_id % 2 = 0 and length(text) > 200").first()
+    claimed = "en" if given.lang != "en" else "fr"
     odd = [(10**6, "Дети каждое утро ходят в школу, а родители едут на работу в большой город. " * 3, None, "src1", 0),
-           (10**6 + 1, given.text, "xx", "src1", 0), (10**6 + 2, given.text, None, "src1", 0)]
+           (10**6 + 1, given.text, claimed, "src1", 0), (10**6 + 2, given.text, None, "src1", 0)]
     out = pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), DIR)
     got = {r.doc_id: r.lang for r in out.select("doc_id", "lang").collect()}
     assert 10**6 not in got
-    assert got[10**6 + 1] == "xx" and got[10**6 + 2] == given.lang
+    assert got[10**6 + 1] == claimed and got[10**6 + 2] == given.lang
+
+
+def test_language_stage_without_languages(spark):
+    rows = [(1, "clean words", None, "src1", 11), (2, None, None, "src1", 0), (3, "12 !!", None, None, 5), (None, "é", None, "src2", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.language_id(spark, docs, DIR)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[3]], key=str)
