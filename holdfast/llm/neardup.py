@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
 
 
 def _one_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between classes that share a document, which happens where rows repeat a doc_id."""
-    copies = rows.filter("fp is not null").join(classes, "fp").filter("doc_id <> node").select(
-        F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    return copies.join(classes.select(F.col("node").alias("u")).distinct(), "u").select("u", "v")
+    """Links between the classes of one document, which has several where rows repeat a doc_id: each with the smallest."""
+    held = rows.filter("fp is not null and doc_id is not null").join(classes, "fp").select("doc_id", "node")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("high")).filter("v < high")
+    return held.join(least, "doc_id").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()

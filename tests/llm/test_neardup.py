@@ -87,6 +87,13 @@ def test_repeated_and_missing_ids(spark):
         [("1", 1), ("1", 1), ("2", 1), ("None", None), ("7", 1), ("7", 1), ("9", 1), ("8", 8)])
 
 
+def test_shared_id_that_leads_no_class(spark):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(5, one), (5, two), (1, one), (2, two)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False)]
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
