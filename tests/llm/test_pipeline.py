@@ -75,3 +75,13 @@ def test_language_stage_without_languages(spark):
     out = pipeline.language_id(spark, docs, DIR)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[3]], key=str)
+
+
+def test_texts_of_a_reused_id_are_documents_of_their_own(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = [(1, a), (1, a), (5, a), (5, b), (2, b), (7, c), (7, d), (7, None), (8, d + " more"), (None, a), (9, "alone here")]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path / "reused")
+    out = pipeline.near_duplicates(spark, docs, DIR)
+    assert out.columns == docs.columns
+    want = [(1, a), (2, b), (7, c), (7, d), (7, None), (None, a), (9, "alone here")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
