@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, decontamination, languages, linededup, neardup, quality, secrets, sentencepieces, sharding, vectorsearch
+from holdfast.llm import chat, decontamination, languages, linededup, neardup, quality, secrets, sentencepieces, sharding, substrings, vectorsearch
 from holdfast.llm.oracles import ORACLES
 from holdfast.workspace import new_path
 
@@ -111,6 +111,13 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", languages.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeated(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -124,4 +131,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_vectorsearch": op9_vectorsearch,
     "op10_languages": op10_languages,
+    "op11_suffixdedup": op11_suffixdedup,
 }
