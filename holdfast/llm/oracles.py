@@ -82,9 +82,48 @@ WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER best <= 20
 """
 
+# DuckDB has no crc32: the table of its 256 steps and the step per byte of UTF-8.
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"""
+
+OP12 = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS steps),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)),
+    lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) AS h
+  FROM each, crc),
+said AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS short FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.short = b.short AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.short = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.short = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, min((-n, other)) AS best FROM near GROUP BY word),
+judged AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -best[1] >= 2 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * w.n THEN -best[1] END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at FROM judged
+  UNION SELECT k.word, j.form FROM walk k JOIN judged j ON j.word = k.at WHERE j.form IS NOT NULL),
+ends AS (SELECT k.word, k.at AS root FROM walk k JOIN judged j ON j.word = k.at WHERE j.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM judged JOIN ends USING (word)
+"""
+
 ORACLES = {
     "op2_linededup": OP2,
     "op3_chat": OP3,
     "op7_decontamination": OP7,
     "op9_vectorsearch": OP9,
+    "op12_spellings": OP12,
 }

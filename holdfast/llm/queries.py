@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, decontamination, languages, linededup, neardup, quality, secrets, sentencepieces, sharding, substrings, vectorsearch
+from holdfast.llm import chat, decontamination, languages, linededup, neardup, quality, secrets, sentencepieces, sharding, substrings, variants, vectorsearch
 from holdfast.llm.oracles import ORACLES
 from holdfast.workspace import new_path
 
@@ -118,6 +120,18 @@ def op11_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def mistyped(doc_id: str, run: str) -> str:
+    """The run, in one of 97 documents without a letter: made misspellings."""
+    h = zlib.crc32(run.encode(), zlib.crc32(f"{doc_id}:".encode()))
+    at = h % len(run)
+    return run[:at] + run[at + 1 :] if h % 97 == 0 else run
+
+
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.group_variants(variants.word_counts(docs, key="doc_id", altered=mistyped))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -132,4 +146,5 @@ QUERIES = {
     "op9_vectorsearch": op9_vectorsearch,
     "op10_languages": op10_languages,
     "op11_suffixdedup": op11_suffixdedup,
+    "op12_spellings": op12_spellings,
 }

@@ -38,7 +38,7 @@ LENGTH = 200
 GRAM = 32
 SLICE_BYTES = 1 << 22
 #: Text sorted by one task at a time.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 #: Bits of the table of repeated anchors (16 MB).
 TABLE_BITS = 1 << 27
 #: Hashes leave room for the place of a byte within a slice.
