@@ -120,10 +120,44 @@ ends AS (SELECT k.word, k.at AS root FROM walk k JOIN judged j ON j.word = k.at
 SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM judged JOIN ends USING (word)
 """
 
+OP13 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i : i])) AS g FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i : i + 1])) FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i : i + 2])) FROM words),
+counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE len(g) = 1 GROUP BY lang),
+halves AS (
+  SELECT lang, g, f AS a, 1 AS k, g[1 : 1] AS one, g[2 : 3] AS two FROM counts WHERE f >= 10 AND len(g) > 1
+  UNION ALL SELECT lang, g, f, 2, g[1 : 2], g[3 : 3] FROM counts WHERE f >= 10 AND len(g) = 3),
+cuts AS (
+  SELECT h.lang, h.g, a, k, x.f AS l, y.f AS r, (1000000 :: HUGEINT * a * a) // (x.f :: HUGEINT * y.f) AS score
+  FROM halves h JOIN counts x ON x.lang = h.lang AND x.g = h.one JOIN counts y ON y.lang = h.lang AND y.g = h.two),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_of AS (
+  SELECT lang, unnest([g[1 : 2], g[2 : 3]]) AS g, f FROM counts WHERE len(g) = 3 AND f >= 10),
+widest AS (SELECT lang, g, max(f) AS f FROM inner_of GROUP BY lang, g),
+kept AS (
+  SELECT worst.* FROM worst LEFT JOIN widest i ON i.lang = worst.lang AND i.g = worst.g
+  WHERE i.f IS NULL OR 100 * i.f < 50 * a),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, CAST(row_number() OVER best AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN sizes USING (lang)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
+"""
+
 ORACLES = {
     "op2_linededup": OP2,
     "op3_chat": OP3,
     "op7_decontamination": OP7,
     "op9_vectorsearch": OP9,
     "op12_spellings": OP12,
+    "op13_collocations": OP13,
 }

@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, decontamination, languages, linededup, neardup, quality, secrets, sentencepieces, sharding, substrings, variants, vectorsearch
+from holdfast.llm import chat, decontamination, languages, linededup, neardup, phrases, quality, secrets, sentencepieces, sharding, substrings, variants, vectorsearch
 from holdfast.llm.oracles import ORACLES
 from holdfast.workspace import new_path
 
@@ -132,6 +132,10 @@ def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(variants.word_counts(docs, key="doc_id", altered=mistyped))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -147,4 +151,5 @@ QUERIES = {
     "op10_languages": op10_languages,
     "op11_suffixdedup": op11_suffixdedup,
     "op12_spellings": op12_spellings,
+    "op13_collocations": op13_collocations,
 }
