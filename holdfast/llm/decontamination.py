@@ -11,7 +11,8 @@ and candidates are verified by exact containment of the shingles as text.
 An item of which a document contains 80 % is missed with a probability below 1e-7.
 
 Defined results: shingles are five words, A-Z in lower case; an item of fewer words is one shingle of its
-length; items and documents without words take no part; rows that share an id are one item or document.
+length; items and documents without words take no part; rows that share an id are one item or document, rows without
+id are known by their text.
 """
 
 from __future__ import annotations
@@ -62,9 +63,16 @@ def both(width: int, *parts: Column) -> Column:
     return F.struct(spelled(width, *parts).alias("shingle"), hashed(width, *parts).alias("h"))
 
 
+def _owner(key: str, text: str) -> Column:
+    """Id, and the hash of the text where there is none: such rows are known by their text."""
+    unnamed = F.col(key).isNull()
+    return F.struct(F.col(key).alias("id"), F.when(unnamed, F.xxhash64(text)).alias("h1"),
+                    F.when(unnamed, F.xxhash64(F.lit(1), text)).alias("h2"))
+
+
 def item_table(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """``item_id, width, shingle, h, n``: the distinct shingles of each item, their hash and their number."""
-    said = items.select(F.col(key).alias("item_id"), words(text).alias("words")).filter(F.size("words") > 0)
+    said = items.select(_owner(key, text).alias("item_id"), words(text).alias("words")).filter(F.size("words") > 0)
     said = said.withColumn("width", F.least(F.size("words"), F.lit(width)))
     parts = [
         said.filter(F.col("width") == w)
@@ -113,7 +121,7 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())
     if not widths:
         widths = [width]
-    said = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("said"))
+    said = docs.select(_owner(key, text).alias("doc_id"), F.col(text).alias("said"))
     # The outer form, as for the other the planner would make the shingles a second time to filter by.
     seen = said.select("doc_id", F.array_distinct(shingles_of(words("said"), widths, hashed)).alias("grams")).select(
         "doc_id", F.size("grams").alias("size"), F.explode_outer("grams").alias("h"))
@@ -125,13 +133,13 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         .filter("met >= least").select("doc_id", "item_id"), "contamination-candidates")
 
     wanted = candidates.select(F.col("doc_id").alias("wanted")).distinct()
-    own = said.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")))
+    own = said.join(wanted, F.col("doc_id") == F.col("wanted"))
     found = own.select("doc_id", F.explode(F.array_distinct(shingles_of(words("said"), widths, spelled))).alias("shingle"))
     pairs = candidates.select(F.col("doc_id").alias("of_doc"), "item_id").join(shingles, "item_id")
     return (
-        found.join(pairs, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (found["shingle"] == pairs["shingle"]))
+        found.join(pairs, (F.col("doc_id") == F.col("of_doc")) & (found["shingle"] == pairs["shingle"]))
         .select("doc_id", "item_id", "n", found["shingle"].alias("shingle")).distinct()
         .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("n").alias("n_item"))
         .filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
-        .select("doc_id", "item_id", "n_item", "n_shared")
+        .select(F.col("doc_id.id").alias("doc_id"), F.col("item_id.id").alias("item_id"), "n_item", "n_shared")
     )

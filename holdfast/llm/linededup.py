@@ -3,14 +3,10 @@
 Every line is known by a 128-bit hash. Its spread, the number of distinct sites it appears on, is
 sketched by HyperLogLog per hash; the sketches of all tasks merge by aggregation. Lines whose estimate
 lies near the threshold get an exact count of distinct sites. Lines at or above the threshold leave
-every document, unless they make up more than ``most`` of a document's characters: such a document stays
-as it is, with ``proven`` only if its whole text is also that of a document with another id. Then it is a
-copy, and copies are left to near-duplicate removal. Without ``proven``, as in the SQL check, pages of much
-boilerplate and few lines of their own keep the boilerplate too.
+every document, however much of it they make up.
 
 Defined results: a null or empty text stays as it is; blank lines always stay; a null site is a site of
-its own; equal lines within a document go together; rows that share a doc_id lose the same lines; a row
-without doc_id is no copy of another, as near-duplicate removal links it with nothing.
+its own; equal lines within a document go together; equal texts lose the same lines, whatever their ids.
 """
 
 from __future__ import annotations
@@ -21,7 +17,6 @@ from pyspark.sql import functions as F
 from holdfast.workspace import materialise
 
 SITES = 8
-MOST = 0.5
 #: Sketches have 2**LOG_REGISTERS registers; lines whose estimate is within this share of the
 #: threshold (over six standard errors) are counted exactly.
 LOG_REGISTERS = 11
@@ -32,14 +27,18 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def lines_of(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
-    """Hash and site of every line that is not blank, once for each document."""
+def _text_hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def lines_of(docs: DataFrame, text: str, site: str) -> DataFrame:
+    """Hash of the text, site and hash of every line that is not blank, once for each document."""
     lines = F.array_distinct(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""))
     return docs.select(
-        F.col(key).alias("id"), F.coalesce(F.concat(F.lit("+"), F.col(site)), F.lit("-")).alias("site"),
+        *_text_hashes(F.col(text)), F.coalesce(F.concat(F.lit("+"), F.col(site)), F.lit("-")).alias("site"),
         # The outer form, as for the other the planner would split the text a second time to filter by.
         F.explode_outer(lines).alias("line"),
-    ).filter("line is not null").select("id", "site", *_hashes(F.col("line")))
+    ).filter("line is not null").select("t1", "t2", "site", *_hashes(F.col("line")))
 
 
 def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
@@ -56,45 +55,30 @@ def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return materialise(judged.filter(F.col("spread") > high).select("h1", "h2").unionByName(exact), "line-drops")
 
 
-def copied_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, copies``: hashes of the document's texts that a document with another id has as well."""
-    texts = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("id"), *_hashes(F.col(text)))
-    shared = texts.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    return texts.join(shared.select("h1", "h2"), ["h1", "h2"]).groupBy("id").agg(
-        F.collect_set(F.struct("h1", "h2")).alias("copies"))
-
-
-def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source",
-                 sites: int = SITES, most: float = MOST, proven: bool = False) -> DataFrame:
+def remove_lines(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
     """The documents without spread lines, and ``lines_removed``, which replaces a column of that name;
     other columns as they were.
 
     Only hashes are shuffled by line. A hot line meets its row of the small table of spread lines
-    in a join whose large partitions Spark divides.
+    in a join whose large partitions Spark divides. The lines to remove are gathered per text, to which copies add
+    nothing, and meet the texts in a join of the same kind.
     """
-    lines = lines_of(docs, key, text, site)
+    lines = lines_of(docs, text, site)
     drops = spread_lines(lines, sites)
     found = (
-        lines.select("id", "h1", "h2").join(drops, ["h1", "h2"])
-        .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
+        lines.select("t1", "t2", "h1", "h2").join(drops, ["h1", "h2"])
+        .groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
     )
-    if proven:
-        found = found.join(copied_texts(docs, key, text), "id", "left")
-    held = docs.select(F.struct("*").alias("doc"), F.col(key).alias("held_id"), F.col(text).alias("given"))
-    marked = held.join(found, F.col("held_id").eqNullSafe(F.col("id")), "left")
+    held = docs.select(F.struct("*").alias("doc"), F.col(text).alias("given"))
+    marked = held.select("doc", "given", *_text_hashes(F.col("given"))).join(found, ["t1", "t2"], "left")
     split = F.split("given", "\n")
     stays = lambda x: (F.trim(x) == "") | ~F.array_contains("found", F.struct(*_hashes(x)))
-    kept = F.when(F.col("found").isNotNull(), F.array_join(F.filter(split, stays), "\n"))
-    clears = F.length("given") - F.length("kept") <= most * F.length("given")
-    if proven:
-        copy = F.array_contains("copies", F.struct(*_hashes(F.col("given"))))
-        clears = clears | ~F.coalesce(copy, F.lit(False))
-    judged = marked.withColumn("kept", kept).withColumn("clean", F.col("kept").isNotNull() & clears)
-    clean = F.when(F.col("clean"), F.col("kept")).otherwise(F.col("given"))
-    removed = F.when(F.col("clean"), F.size(split) - F.size(F.split("kept", "\n"))).otherwise(0)
+    # A projection of its own: below, an extra column may have the name of one used inside the filter.
+    lines_left = F.when(F.col("found").isNotNull(), F.filter(split, stays))
+    judged = marked.select("doc", "given", F.size(split).alias("lines"), lines_left.alias("kept"))
+    removed = F.when(F.col("kept").isNotNull(), F.col("lines") - F.size("kept")).otherwise(0)
     field = F.col("doc").getField
     return judged.select(
-        *[clean.alias(c) if c == text else field(c).alias(c) for c in docs.columns if c != "lines_removed"],
+        *[F.coalesce(F.array_join("kept", "\n"), "given").alias(c) if c == text else field(c).alias(c) for c in docs.columns if c != "lines_removed"],
         removed.cast("bigint").alias("lines_removed"),
     )

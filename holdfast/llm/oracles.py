@@ -11,18 +11,16 @@ drops AS (
 found AS (
   SELECT l.doc_id, list(DISTINCT d.line) AS gone FROM lines l JOIN drops d USING (line) GROUP BY l.doc_id),
 kept AS (
-  SELECT d.doc_id, d.text,
+  SELECT d.doc_id, d.text, f.gone,
     CASE WHEN f.gone IS NULL THEN d.text
       ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(f.gone, x)), chr(10))
     END AS short
-  FROM documents d LEFT JOIN found f USING (doc_id)),
-chosen AS (
-  SELECT doc_id, text,
-    CASE WHEN length(text) - length(short) <= 0.5 * length(text) THEN short ELSE text END AS clean FROM kept)
+  FROM documents d LEFT JOIN found f USING (doc_id))
 SELECT doc_id,
-  CAST(len(string_split(text, chr(10))) - len(string_split(clean, chr(10))) AS BIGINT) AS lines_removed,
-  CAST(length(clean) AS BIGINT) AS n_chars, sha256(clean) AS text_sha256
-FROM chosen
+  CAST(len(string_split(text, chr(10))) - CASE WHEN gone IS NULL THEN len(string_split(text, chr(10)))
+    ELSE len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, x))) END AS BIGINT) AS lines_removed,
+  CAST(length(short) AS BIGINT) AS n_chars, sha256(short) AS text_sha256
+FROM kept
 """
 
 _CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<|turn|>", "<|body|>", "<|end|>", "<|image|>", "<|audio|>", "<|document|>")

@@ -1,8 +1,12 @@
 """SentencePiece encoding and decoding of merge-type (BPE) vocabularies.
 
 Each text is cut where no piece of the vocabulary can cross; within a cut, adjacent symbol pairs wait
-in an agenda ordered by the score of the piece they would form, and the best pair is merged first.
-Every Arrow batch is checked against the sentencepiece library.
+in an agenda ordered by the score of the piece they would form, and the best pair is merged first. The ids are the
+agenda's. In every Arrow batch the sentencepiece library checks each cut that is new to the task, and one whole
+text; a difference is counted and never replaces an id.
+
+Models with rules that the agenda does not follow are refused: other kinds than merges, a normaliser that changes
+texts or white space, no space before a text, pieces defined by the user.
 
 Defined results: a null text counts as empty; an empty text has the begin and end ids only; a
 literal ``▁`` is a space, as in the library; characters outside the vocabulary become byte pieces.
@@ -181,7 +185,8 @@ class Agenda:
     def encode(self, given: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text as little-endian unsigned 32-bit integers, and whether the library agrees.
 
-        Every cut not yet remembered goes to the library as well, all of a batch in one call.
+        Every cut not yet remembered goes to the library as well, all of a batch in one call, and so does the first
+        text as a whole.
         """
         known, cuts, ends = self.known, [], [0]
         for text in given:
@@ -195,12 +200,11 @@ class Agenda:
         # A line end before the cut takes the space that the library puts before a text.
         checked = [f"\n{cut}" for cut in new] if self.cuts else [cut.removeprefix(SPACE) for cut in new]
         skip = 4 * self.line_ids if self.cuts else 0
-        batch, wrong = {}, set()
-        for cut, mine, found in zip(new, own, self.processor.encode(checked, num_threads=1)):
-            library = struct.pack(f"<{len(found)}I", *found)[skip:]
-            batch[cut] = library
-            if library != mine:
-                wrong.add(cut)
+        wrong = {
+            cut for cut, mine, found in zip(new, own, self.processor.encode(checked, num_threads=1))
+            if struct.pack(f"<{len(found)}I", *found)[skip:] != mine
+        }
+        batch = dict(zip(new, own))
         for i in missing:
             ids[i] = batch[cuts[i]]
         if len(known) + len(batch) > MEMORY:
@@ -208,7 +212,11 @@ class Agenda:
         known.update({c: x for c, x in batch.items() if len(c) <= LONGEST_REMEMBERED and c not in wrong})
         spans = list(zip(ends, ends[1:]))
         agree = [not wrong.intersection(cuts[a:b]) for a, b in spans] if wrong else [True] * len(given)
-        return [b"".join([self.begin, *ids[a:b], self.end]) for a, b in spans], agree
+        encoded = [b"".join([self.begin, *ids[a:b], self.end]) for a, b in spans]
+        if given:
+            whole = self.processor.encode(given[0], add_bos=True, add_eos=True)
+            agree[0] = agree[0] and encoded[0] == struct.pack(f"<{len(whole)}I", *whole)
+        return encoded, agree
 
 
 def _processor(model: bytes):
@@ -217,15 +225,35 @@ def _processor(model: bytes):
     return SentencePieceProcessor(model_proto=model)
 
 
+def require_supported(model: bytes) -> None:
+    """An error for a model whose rules the agenda does not follow."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    read = sentencepiece_model_pb2.ModelProto.FromString(model)
+    trained, rules = read.trainer_spec, read.normalizer_spec
+    faults = {
+        "not a vocabulary of merges": trained.model_type != trained.BPE,
+        "the normaliser changes characters": bool(rules.precompiled_charsmap),
+        "extra white space is removed": rules.remove_extra_whitespaces,
+        "no space before a text": not rules.add_dummy_prefix,
+        "spaces are not escaped": not rules.escape_whitespaces,
+        "spaces end a piece": trained.treat_whitespace_as_suffix,
+        "pieces defined by the user": any(p.type == p.USER_DEFINED for p in read.pieces),
+    }
+    if found := [fault for fault, there in faults.items() if there]:
+        raise ValueError(f"unsupported model: {', '.join(found)}")
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
            agrees: str = "ids_agree") -> DataFrame:
     """Adds ``ids`` (little-endian unsigned 32-bit integers, begin and end included) and ``agrees``.
 
-    ``agrees`` tells whether the agenda gave the library's ids for every cut of the text; where it did
-    not, ``ids`` holds the library's. Existing columns of these names are replaced. The model is read on
-    the driver and travels with the tasks: vocabularies are a few megabytes at most.
+    ``ids`` are the agenda's; ``agrees`` tells whether the library, as far as it was asked, has the same. Existing
+    columns of these names are replaced. The model is read on the driver and travels with the tasks: vocabularies
+    are a few megabytes at most.
     """
     model = Path(model_path).read_bytes()
+    require_supported(model)
     kept = df.drop(ids, agrees)
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType()),
                            T.StructField(agrees, T.BooleanType())])

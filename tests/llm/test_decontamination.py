@@ -61,3 +61,12 @@ def test_empty_tables(spark):
     assert decontamination.contained(none, item).count() == 0
     assert decontamination.contained(full, spark.createDataFrame([], items)).count() == 0
     assert decontamination.contained(full, item).count() == 1
+
+
+def test_rows_without_id_are_known_by_their_text(spark):
+    item = [f"w{i}" for i in range(40)]
+    halves = [(None, " ".join(item[:24])), (None, " ".join(item[16:])), (1, " ".join(item))]
+    docs = spark.createDataFrame(halves, "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(item)), (None, "five other words of item"), (7, " ".join(item))], "item_id long, text string")
+    got = sorted(map(str, map(tuple, decontamination.contained(docs, items).collect())))
+    assert got == ["(1, 7, 36, 36)", "(1, None, 36, 36)"]

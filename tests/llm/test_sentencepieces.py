@@ -64,3 +64,37 @@ def test_table(spark, library):
         assert row.decoded == library.decode(library.encode(row.text or ""))
     empty = sentencepieces.decode(sentencepieces.encode(df.limit(0), MODEL), MODEL)
     assert empty.count() == 0
+
+
+def test_ids_are_those_of_the_agenda(library, monkeypatch):
+    """A broken agenda changes the result, and the library tells."""
+    broken = Agenda(library)
+    monkeypatch.setattr(broken, "merge_all", lambda cuts: [b""] * len(cuts))
+    ids, agree = broken.encode(["one text", "", "another"])
+    assert ids == [broken.begin + broken.end] * 3
+    assert agree == [False, True, False]
+
+
+def test_whole_texts_are_checked(library):
+    """Cuts that the library confirms, joined in a wrong way."""
+    wrong = Agenda(library)
+    wrong.known["▁b"] = wrong.merge("▁a")
+    assert wrong.encode(["a b"])[1] == [False]
+
+
+@pytest.mark.parametrize("change", [
+    lambda m: m.normalizer_spec.__setattr__("remove_extra_whitespaces", True),
+    lambda m: m.normalizer_spec.__setattr__("add_dummy_prefix", False),
+    lambda m: m.normalizer_spec.__setattr__("precompiled_charsmap", b"x"),
+    lambda m: m.trainer_spec.__setattr__("model_type", 1),
+    lambda m: m.pieces[300].__setattr__("type", 4),
+])
+def test_models_with_other_rules_are_refused(spark, tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto.FromString(open(MODEL, "rb").read())
+    sentencepieces.require_supported(model.SerializeToString())
+    change(model)
+    (tmp_path / "other.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError, match="unsupported model"):
+        sentencepieces.encode(spark.createDataFrame([("a",)], "text string"), str(tmp_path / "other.model"))
