@@ -7,7 +7,7 @@ treated as the operators in ``holdfast/llm`` say.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import decontamination, languages, linededup, neardup, sentencepieces
@@ -18,6 +18,17 @@ from holdfast.workspace import materialise
 SIMILAR = 80
 
 
+def nested(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows as one structure beside the named columns, so that no other column can clash with those of a stage."""
+    return docs.select(F.struct("*").alias("doc"), *columns)
+
+
+def flat(rows: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of documents again, some of them replaced."""
+    field = F.col("doc").getField
+    return rows.select(*[replaced.get(c, field(c)).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops null texts, texts without a letter, and texts that the network holds to be in no learned language.
 
@@ -27,23 +38,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = languages.train(docs, other=True)
     if network is None:
         return docs.filter(F.rlike("text", F.lit(r"\p{L}")))
-    found = languages.identify(docs, network, into="found_lang", score="found_score")
-    kept = found.filter(F.col("found_lang") != languages.UNKNOWN)
-    return kept.select(*[F.coalesce("lang", "found_lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    found = languages.identify(nested(docs, "text", "lang"), network, into="found", score="score")
+    return flat(found.filter(F.col("found") != languages.UNKNOWN), docs, lang=F.coalesce("lang", "found"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes boilerplate lines; the number of characters follows the text.
-
-    A document of mostly such lines stays as it is only if another document has the same text.
-    """
-    cleaned = linededup.remove_lines(docs, proven=True)
-    return cleaned.select(*[
-        F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Removes boilerplate lines; the number of characters follows the text."""
+    cleaned = linededup.remove_lines(nested(docs, "text", "source"))
+    return flat(cleaned, docs, text=F.col("text"), n_chars=F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; documents without id all stay.
+    """Keeps the document with the smallest id of each group; documents without id all stay. Ids are whole numbers.
 
     Rows with equal doc_id and text are one document. Other texts of the same doc_id are documents of their own,
     known by 64 bits of hash where the id is reused.
@@ -52,7 +58,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     reused = materialise(
         texts.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high")
         .select(F.col("doc_id").alias("reused")), "reused-ids")
-    nodes = docs.join(reused, docs["doc_id"] == reused["reused"], "left").withColumn(
+    rows = nested(docs, "doc_id", "text")
+    nodes = rows.join(reused, rows["doc_id"] == reused["reused"], "left").withColumn(
         "node", F.when(F.col("reused").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
     found = materialise(neardup.near_duplicates(nodes, percent=SIMILAR, key="node").select(
         F.col("doc_id").alias("node"), "component_id"), "groups")
@@ -67,14 +74,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         .select(F.col("node").alias("dropped")).distinct(), "dropped")
     kept = nodes.join(drops, nodes["node"] == drops["dropped"], "left_anti")
     named = kept.filter("node is not null").dropDuplicates(["node"])
-    return named.unionByName(kept.filter("node is null")).select(*docs.columns)
+    return flat(named.unionByName(kept.filter("node is null")), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    found = decontamination.contained(docs, table(spark, sf_dir, "benchmark"))
+    """Drops documents that contain a benchmark item. Texts are judged, whatever their id: another text of the same id, or of
+    none, stays."""
+    unit = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    found = decontamination.contained(docs.select(unit.alias("unit"), "text"), table(spark, sf_dir, "benchmark"), key="unit")
     leaks = materialise(found.select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
+    rows = nested(docs, "text").withColumn("unit", unit)
+    return flat(rows.join(leaks, rows["unit"] == leaks["leak"], "left_anti"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
