@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from catalog.students import SQL as RAW
 from holdfast.config import (
     BINARY_COLUMNS,
@@ -115,6 +117,21 @@ features AS (
        + (1e0 - engagement_score / nullif(top, 0e0)) * 0.10e0''', 3)} AS combined_risk_score
   FROM indexed)"""
 
+def _renamed(text: str, **names: str) -> str:
+    for old, new in names.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    return text
+
+
+# New rows by what was fitted above: medians and modes of the unique rows, extremes of their features.
+NEW_FEATURES = ",\n".join([
+    TYPED_RAW,
+    _renamed(FILL[FILL.index("filled AS"):], filled="new_filled", typed="typed_raw"),
+    _renamed(CLEAN, clean="new_clean", filled="new_filled"),
+    _renamed(re.sub(r"extremes AS \(.*?FROM social\),\n", "", FEATURES, flags=re.DOTALL),
+             clean="new_clean", scores="new_scores", social="new_social", indexed="new_indexed", features="new_features"),
+])
+
 STEPS = {
     "raw": [RAW],
     "unique": [RAW, UNIQUE],

@@ -7,6 +7,7 @@ from catalog.chain import after, columns, r, target
 from holdfast.config import (
     BINARY_COLUMNS,
     CATEGORICAL_COLUMNS,
+    CLASS_NAMES,
     CORRELATION_COLUMNS,
     FEATURE_COLUMNS,
     ID,
@@ -191,12 +192,26 @@ _INSIGHT_ROWS = "\nUNION ALL ".join(
     for name, text in _INSIGHTS.items()
 )
 ORACLES["insights"] = after("features", _INSIGHT_ROWS)
-ORACLES["run_eda"] = after("features", f"""
+ORACLES["save_eda_report"] = after("features", f"""
 SELECT 'statistics' AS section, 'table' AS item, stat, value
 FROM ({table_stats_sql("features", _ALL_FEATURES)})
 UNION ALL SELECT 'numeric_summary', "column", stat, value
 FROM ({summary_sql("features", _NUMERIC)})
 UNION ALL SELECT 'insights', 'table', insight, value FROM ({_INSIGHT_ROWS})""")
+_PROFILES = {
+    "target_distribution": (("Dropped_Out", "label"), ("count",)),
+    "grade_histogram": (("grade", "status", "bin"), ("count",)),
+    "correlation_matrix": (("column_a", "column_b"), ("correlation",)),
+    "absence_box": (("status",), (
+        "q1", "median", "q3", "count", "min", "max", "low_whisker", "high_whisker", "outliers")),
+    "study_time_by_status": (("study_time", "status"), ("count",)),
+    "risk_histogram": (("status", "bin"), ("bin_start", "count")),
+}
+ORACLES["run_eda"] = (
+    "WITH " + ",\n".join(f"t_{name} AS ({ORACLES[name]})" for name in (*_PROFILES, "save_eda_report"))
+    + "\nSELECT * FROM t_save_eda_report" + "".join(
+        f"\nUNION ALL SELECT '{name}', concat_ws('|', {columns(*keys)}), '{stat}', CAST({stat} AS DOUBLE) FROM t_{name}"
+        for name, (keys, stats) in _PROFILES.items() for stat in stats))
 
 
 # Quality rules, on typed raw rows and on the encoded feature table.
@@ -400,8 +415,13 @@ _SCALED_ROWS = (
 ORACLES["save_ml_datasets"] = after(
     "features", "SELECT * FROM scaled", ENCODED, SPLIT, _SCALED_ROWS)
 ORACLES["load_ml_datasets"] = after(
-    "features", "SELECT * EXCLUDE (split) FROM scaled WHERE split = 'test'",
+    "features", "SELECT * FROM scaled",
     ENCODED, SPLIT, _SCALED_ROWS)
+ORACLES["prepare_registered"] = after(
+    "features",
+    f"SELECT student_id, {columns(*[_scaled(c, 6) if c in SCALED_COLUMNS else c for c in _MODEL_NAMES])} FROM new_encoded",
+    ENCODED, SPLIT, chain.NEW_FEATURES,
+    ENCODED.replace("encoded AS", "new_encoded AS").replace("FROM features", "FROM new_features"))
 ORACLES["build_ml_dataset"] = after(
     "features",
     "SELECT split, Dropped_Out, count(*) AS n, "
@@ -409,7 +429,6 @@ ORACLES["build_ml_dataset"] = after(
     + " FROM scaled GROUP BY split, Dropped_Out",
     ENCODED, SPLIT, _SCALED_ROWS)
 ORACLES["save_quality_report"] = after("typed_raw", _RAW_QUALITY)
-ORACLES["save_eda_report"] = ORACLES["run_eda"]
 ORACLES["run_etl"] = ORACLES["one_hot"]
 ORACLES["data_pipeline"] = after("features", f"""
 SELECT 'raw' AS stage, count(*) AS rows, {len(SOURCE_COLUMNS)} AS columns FROM raw
@@ -588,6 +607,7 @@ for _name in ("train_logreg", "train_rf_v1", "train_rf_v2", "train_gbt", "train_
 _RESPONSES = after("raw", f"SELECT CAST({ID} AS VARCHAR) AS {ID}, TRUE AS consistent, TRUE AS bounded FROM raw")
 ORACLES["score_batch_checked"] = _RESPONSES
 ORACLES["score_stream_checked"] = _RESPONSES
+ORACLES["score_registered_checked"] = _RESPONSES
 
 
 def _listed(names, row) -> str:
@@ -601,9 +621,17 @@ ORACLES["feature_importance_checked"] = (
     f"SELECT model, feature, TRUE AS bounded, TRUE AS adds_up FROM (VALUES "
     + columns(*[f"('{m}')" for m in MODELS if m != "baseline_majority"]) + ") m(model), (VALUES "
     + columns(*[f"('{c}')" for c in _MODEL_NAMES]) + ") f(feature)")
-ORACLES["validate_model_checked"] = _listed(
-    MODEL_CHECKS, lambda _, c: f"'{c}' AS \"check\", '{MODEL_CHECKS[c]}' AS test, "
-    + ("TRUE" if c != "sensitivity" else "CAST(NULL AS BOOLEAN)") + " AS passed")
+_REPORT_ROWS = [
+    *[f"SELECT 'check' AS section, '{c}' AS item, '{title}' AS stat, "
+      f"{'CAST(NULL AS BOOLEAN)' if c == 'sensitivity' else 'TRUE'} AS passed, CAST(NULL AS DOUBLE) AS support"
+      for c, title in MODEL_CHECKS.items()],
+    *[f"SELECT 'class_report', '{title}', '{stat}', NULL, "
+      + (f"(SELECT CAST(count(*) AS DOUBLE) FROM parts WHERE split = 'test' AND Dropped_Out IN ({classes}))" if stat == "support" else "NULL")
+      for title, classes in [*[(t, str(k)) for k, t in CLASS_NAMES.items()], *[(t, "0, 1") for t in ("accuracy", "macro avg", "weighted avg")]]
+      for stat in ("precision", "recall", "f1", "support")],
+    *[f"SELECT 'confusion_matrix', '{a}|{b}', 'count', NULL, NULL" for a in (0, 1) for b in (0, 1)],
+]
+ORACLES["validate_model_checked"] = after("features", "\nUNION ALL ".join(_REPORT_ROWS), ENCODED, SPLIT)
 ORACLES["save_validation_report_checked"] = ORACLES["validate_model_checked"]
 ORACLES["model_registry_checked"] = _listed(
     MODELS, lambda i, m: f"'learner_dropout_classifier' AS registry_name, {i + 1} AS version, '{m}' AS model_name, "

@@ -30,6 +30,7 @@ from holdfast.operators import (
     drift,
     encoding,
     features,
+    fitted,
     metrics,
     models,
     profiling,
@@ -255,7 +256,7 @@ def insights(spark, sf_dir):
 
 @register
 def run_eda(spark, sf_dir):
-    return profiling.eda_report(stored_features(spark, sf_dir))
+    return profiling.eda_long(stored_features(spark, sf_dir))
 
 
 def _rule(name):
@@ -385,8 +386,9 @@ def build_ml_dataset(spark, sf_dir):
 @register
 def load_ml_datasets(spark, sf_dir):
     _, path = ml_dataset(spark, sf_dir)
-    _, test = readers.load_ml_datasets(spark, path)
-    return _rounded(test)
+    train, test = readers.load_ml_datasets(spark, path)
+    parts = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return _rounded(parts)
 
 
 @register
@@ -580,7 +582,7 @@ def export_results(spark, sf_dir):
 
 _datasets: dict[tuple[str, str], str] = {}
 _runs: dict[tuple[str, str, str], models.Run] = {}
-_served: dict[tuple[str, str], str] = {}
+_served: dict[tuple[str, str], PipelineModel] = {}
 _summaries: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -604,7 +606,13 @@ def trained(spark, sf_dir, name):
 
 
 def all_trained(spark, sf_dir):
-    return [trained(spark, sf_dir, name) for name in MODELS]
+    """Those that no query has trained yet, side by side."""
+    key = _key(spark, sf_dir)
+    missing = {name: settings for name, settings in MODELS.items() if (*key, name) not in _runs}
+    if missing:
+        train, test = readers.load_ml_datasets(spark, stored_dataset(spark, sf_dir))
+        _runs.update({(*key, run.name): run for run in models.train_all(train, test, missing)})
+    return [_runs[(*key, name)] for name in MODELS]
 
 
 def test_predictions(spark, sf_dir, name):
@@ -655,14 +663,14 @@ def feature_importance(spark, sf_dir):
 @register
 def validate_model(spark, sf_dir):
     _, test = readers.load_ml_datasets(spark, stored_dataset(spark, sf_dir))
-    return validation.validate_model(trained(spark, sf_dir, "random_forest_v1").model, test)
+    return validation.validation_report(trained(spark, sf_dir, "random_forest_v1").model, test)
 
 
 @register
 def save_validation_report(spark, sf_dir):
-    checks = validate_model(spark, sf_dir)
-    return spark.read.json(
-        writers.save_validation_report(checks, new_path(spark, "validation_json")))
+    report = validate_model(spark, sf_dir)
+    return spark.read.schema(report.schema).json(
+        writers.save_validation_report(report, new_path(spark, "validation_json")))
 
 
 @register
@@ -699,8 +707,35 @@ def served_model(spark, sf_dir):
         train = served_rows(spark, sf_dir).where("split = 'train'")
         path = new_path(spark, "served_model")
         models.train_raw_balanced(train).write().save(path)
-        _served[key] = path
-    return PipelineModel.load(_served[key])
+        _served[key] = PipelineModel.load(path)
+    return _served[key]
+
+
+_prepared: dict[tuple[str, str], str] = {}
+
+
+def prepared_folder(spark, sf_dir):
+    """A run of the data pipeline, and a logistic model of its rows in production: once per application."""
+    key = _key(spark, sf_dir)
+    if key not in _prepared:
+        folder = new_path(spark, "prepared")
+        results = data_pipeline.run_data_pipeline(raw(spark, sf_dir), folder)
+        few = {name: MODELS[name] for name in ("baseline_majority", "logistic_regression")}
+        ml_pipeline.run_ml_pipeline(spark, f"{folder}/ml", folder, few, state=results["state"])
+        _prepared[key] = folder
+    return _prepared[key]
+
+
+@register
+def prepare_registered(spark, sf_dir):
+    """All raw rows, copies as well, as the inputs of the model in production."""
+    _, state = model_versions.production_state(spark, f"{prepared_folder(spark, sf_dir)}/registry")
+    return _rounded(fitted.prepare(raw(spark, sf_dir), state))
+
+
+@register
+def score_registered(spark, sf_dir):
+    return ml_pipeline.score_registered(spark, prepared_folder(spark, sf_dir), raw(spark, sf_dir))
 
 
 @register
@@ -756,6 +791,11 @@ def score_batch_checked(spark, sf_dir):
     return _responses(score_batch(spark, sf_dir))
 
 
+@register
+def score_registered_checked(spark, sf_dir):
+    return _responses(score_registered(spark, sf_dir))
+
+
 @register
 def score_stream_checked(spark, sf_dir):
     return _responses(score_stream(spark, sf_dir))
@@ -782,7 +822,9 @@ def feature_importance_checked(spark, sf_dir):
 
 def _outcomes(checks: DataFrame) -> DataFrame:
     """Whether fifty shifted rows change a prediction depends on the data; the other outcomes do not."""
-    return checks.selectExpr("check", "test", "CASE WHEN check <> 'sensitivity' THEN passed END AS passed")
+    return checks.selectExpr(
+        "section", "item", "stat", "CASE WHEN item <> 'sensitivity' THEN passed END AS passed",
+        "CASE WHEN stat = 'support' THEN value END AS support")
 
 
 @register

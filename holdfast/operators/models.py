@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -35,9 +38,11 @@ from holdfast.config import (
     TARGET,
 )
 from holdfast.functions.numbers import quoted
+from holdfast.ledger import Ledger
 from holdfast.operators.comparison import RUN_COLUMNS
 from holdfast.operators.encoding import feature_names, fit_dictionary
 from holdfast.operators.metrics import METRICS, classification_metrics
+from holdfast.workspace import materialise
 
 log = logging.getLogger(__name__)
 
@@ -49,9 +54,11 @@ BINS = 32
 # Most labelled rows a model is fitted on, about; more are thinned out by a hash of their id. Scores
 # and figures always cover all rows.
 FIT_ROWS = 1_000_000
-# Parts of the rows a model is fitted on. Sampling in training goes by part, so their number and
-# content must not depend on how the table happens to be stored.
-FIT_PARTS = 8
+# Rows per part of the rows a model is fitted on. Sampling in training goes by part, so the number and content
+# of parts follow from the number of rows and their ids, not from how the table happens to be stored.
+PART_ROWS = 15_000
+# Models trained at the same time.
+SIDE_BY_SIDE = 6
 DOT, SAFE_DOT = ".", "\u2024"
 
 
@@ -91,7 +98,10 @@ def majority_class(df: DataFrame) -> int:
 
 def baseline_majority(train: DataFrame) -> PipelineModel:
     """A model that always predicts the most frequent class."""
-    c = majority_class(train)
+    return majority_model(majority_class(train))
+
+
+def majority_model(c: int) -> PipelineModel:
     statement = f"SELECT *, {float(c)}D AS prediction, {float(c)}D AS score FROM __THIS__"
     return PipelineModel([SQLTransformer(statement=statement)])
 
@@ -135,8 +145,13 @@ def estimator(settings: Mapping, rows: int, bins: int = BINS):
     raise ValueError(f"unknown kind of model: {settings['kind']}")
 
 
-def fit_rows(df: DataFrame, rows: int, most: int = FIT_ROWS) -> DataFrame:
-    """The rows to fit on, in an order and in parts that follow from their ids alone.
+def fit_parts(rows: int, most: int = FIT_ROWS) -> int:
+    """Parts in which ``rows`` rows are fitted on, unless the caller has a number of its own."""
+    return max(1, -(-min(rows, most) // PART_ROWS))
+
+
+def fit_rows(df: DataFrame, rows: int, most: int = FIT_ROWS, parts: int | None = None) -> DataFrame:
+    """The rows to fit on, in an order and in parts that follow from their ids and their number alone.
 
     Without ids a hash of the row stands for one. ``rows`` is their number; beyond ``most`` about
     that many are kept, each class in proportion.
@@ -145,8 +160,8 @@ def fit_rows(df: DataFrame, rows: int, most: int = FIT_ROWS) -> DataFrame:
     keyed = df.withColumn("_place", F.expr(f"xxhash64({MODEL_SEED}, {own})"))
     if rows > most:
         keyed = keyed.where(f"pmod(_place, {rows}) < {most}")
-    others = [quoted(c) for c in df.columns]
-    return keyed.repartition(FIT_PARTS, "_place").sortWithinPartitions("_place", *others).drop("_place")
+    others = [quoted(c) for c, kind in df.dtypes if kind != "vector"]
+    return keyed.repartition(parts or fit_parts(rows, most), "_place").sortWithinPartitions("_place", *others).drop("_place")
 
 
 def _safe(name: str) -> str:
@@ -159,21 +174,51 @@ def _without_dots(names: Sequence[str]) -> list[SQLTransformer]:
     return [SQLTransformer(statement=f"SELECT *, {', '.join(dotted)} FROM __THIS__")] if dotted else []
 
 
+@dataclass(frozen=True)
+class Vectors:
+    """Training rows with their inputs as one vector, stored once for all models; and how to make the vector."""
+
+    rows: DataFrame
+    counts: dict[int, int]
+    stages: list
+    fingerprint: str
+
+
+def vector_table(train: DataFrame) -> Vectors:
+    """Labelled rows as ``id, target, inputs``, thinned out to about ``FIT_ROWS``, written to a table.
+
+    The fingerprint tells whether two tables hold the same rows.
+    """
+    counts = class_counts(train)
+    total = sum(counts.values())
+    inputs = feature_names(train)
+    stages = [*_without_dots(inputs), VectorAssembler(inputCols=[_safe(c) for c in inputs], outputCol=INPUTS)]
+    own = [ID] if ID in train.columns else []
+    rows = fit_rows(train.where(f"{TARGET} IS NOT NULL").select(*own, TARGET, *[quoted(c) for c in inputs]), total)
+    for stage in stages:
+        rows = stage.transform(rows)
+    stored = materialise(rows.select(*own, TARGET, INPUTS), "vectors")
+    content = F.xxhash64(*own, TARGET, vector_to_array(INPUTS)).cast("decimal(20,0)")
+    n, checksum = stored.agg(F.count(F.lit(1)), F.sum(content)).first()
+    return Vectors(stored, counts, stages, f"{n}:{checksum}:{','.join(inputs)}")
+
+
+def fit_vectors(settings: Mapping, vectors: Vectors) -> PipelineModel:
+    """Fit one entry of the model table on the stored vectors."""
+    counts, total = vectors.counts, sum(vectors.counts.values())
+    if settings["kind"] == "majority":
+        return majority_model(min(counts, key=lambda c: (-counts[c], c)))
+    rows = balanced_weights(vectors.rows, counts) if settings.get("balanced") else vectors.rows
+    # The table is thinned out already; its order and parts do not outlive storing.
+    ordered = fit_rows(rows, min(total, FIT_ROWS), parts=settings.get("parts"))
+    return PipelineModel([*vectors.stages, estimator(settings, total).fit(ordered)])
+
+
 def fit_model(settings: Mapping, train: DataFrame) -> PipelineModel:
     """Fit one entry of the model table on the training rows."""
     if settings["kind"] == "majority":
         return baseline_majority(train)
-    counts = class_counts(train)
-    inputs = feature_names(train)
-    assembler = VectorAssembler(inputCols=[_safe(c) for c in inputs], outputCol=INPUTS)
-    rows = train.where(f"{TARGET} IS NOT NULL")
-    if settings.get("balanced"):
-        rows = balanced_weights(rows, counts)
-    keys = [TARGET, WEIGHT] if settings.get("balanced") else [TARGET]
-    total = sum(counts.values())
-    pipeline = Pipeline(stages=[*_without_dots(inputs), assembler, estimator(settings, total)])
-    own = [ID] if ID in rows.columns else []
-    return pipeline.fit(fit_rows(rows.select(*own, *keys, *[quoted(c) for c in inputs]), total))
+    return fit_vectors(settings, vector_table(train))
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (ID,)) -> DataFrame:
@@ -215,12 +260,12 @@ def importance_table(spark: SparkSession, runs: Sequence[Run]) -> DataFrame:
 
 
 def train_single(
-    name: str, train: DataFrame, test: DataFrame, settings: Mapping | None = None
+    name: str, train: DataFrame, test: DataFrame, settings: Mapping | None = None, vectors: Vectors | None = None
 ) -> Run:
     """Fit one model, time it and measure it on the test rows."""
     settings = dict(settings or MODELS[name])
     started = time.time()
-    model = fit_model(settings, train)
+    model = fit_vectors(settings, vectors) if vectors else fit_model(settings, train)
     train_time = round(time.time() - started, 3)
     started = time.time()
     measured = classification_metrics(predictions(model, name, test)).first()
@@ -232,24 +277,58 @@ def train_single(
     )
 
 
+def recorded_run(
+    ledger: Ledger, name: str, train: DataFrame, test: DataFrame, settings: Mapping, vectors: Vectors
+) -> Run:
+    """The run that the ledger has for these rows and settings, or else a new one, recorded once its model is stored."""
+    wanted = json.loads(json.dumps({"settings": dict(settings), "input": vectors.fingerprint}))
+    entry = ledger.get(name)
+    if entry and {k: entry.get(k) for k in wanted} == wanted:
+        log.info("%s was trained before", name)
+        model = PipelineModel.load(entry["model_uri"])
+        return Run(name, model, entry["metrics"], entry["run_id"], entry["settings"], entry["importance"])
+    run = train_single(name, train, test, settings, vectors)
+    uri = f"{ledger.folder}/models/{run.run_id}"
+    run.model.write().save(uri)
+    total = sum(vectors.counts.values())
+    ledger.put(name, {
+        **wanted, "run_id": run.run_id, "model_uri": uri, "metrics": run.metrics, "importance": run.importance,
+        "class_counts": {str(c): n for c, n in vectors.counts.items()}, "parts": settings.get("parts") or fit_parts(total),
+        "inputs": feature_names(train), "trained_at": time.time(),
+    })
+    return run
+
+
 def train_all(
-    train: DataFrame, test: DataFrame, models: Mapping[str, Mapping] = MODELS, strict: bool = True
+    train: DataFrame, test: DataFrame, models: Mapping[str, Mapping] = MODELS, strict: bool = True,
+    folder: str | None = None, side_by_side: int = SIDE_BY_SIDE,
 ) -> list[Run]:
-    """Train every model of the table.
+    """Train every model of the table, several at a time, from one stored table of vectors.
 
-    All are tried; then a failed one is an error, as the ranking would otherwise choose from an
+    With a ``folder`` each finished model is recorded there, so that a run that broke off goes on with the models
+    that are missing. All are tried; then a failed one is an error, as the ranking would otherwise choose from an
     incomplete list. Without ``strict`` it is logged and left out, which :func:`run_states` shows.
     """
-    runs, failed = [], {}
-    for name, settings in models.items():
+    spark = train.sparkSession
+    vectors = vector_table(train)
+    ledger = Ledger(spark, folder) if folder else None
+
+    def one(item: tuple[str, Mapping]) -> Run | Exception:
+        name, settings = item
         try:
-            runs.append(train_single(name, train, test, settings))
+            if ledger:
+                return recorded_run(ledger, name, train, test, settings, vectors)
+            return train_single(name, train, test, settings, vectors)
         except Exception as error:
             log.exception("training of %s failed", name)
-            failed[name] = error
+            return error
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        results = list(pool.map(inheritable_thread_target(spark)(one), models.items()))
+    failed = {name: error for name, error in zip(models, results) if isinstance(error, Exception)}
     if failed and strict:
         raise RuntimeError(f"training failed: {', '.join(failed)}") from next(iter(failed.values()))
-    return runs
+    return [run for run in results if isinstance(run, Run)]
 
 
 def run_states(

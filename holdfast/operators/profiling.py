@@ -290,6 +290,30 @@ def run_eda(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+#: Columns that name a row of the tables which are not long already.
+_ROW_NAMES = {
+    "target_distribution": (TARGET, "label"),
+    "grade_histogram": ("grade", "status", "bin"),
+    "correlation_matrix": ("column_a", "column_b"),
+    "absence_box": ("status",),
+    "study_time_by_status": ("study_time", "status"),
+    "risk_histogram": ("status", "bin"),
+}
+
+
+def eda_long(df: DataFrame) -> DataFrame:
+    """``section, item, stat, value``: all nine profile tables in one; an item is named by its keys, joined by ``|``."""
+    tables, whole = run_eda(df), eda_report(df)
+    for section, names in _ROW_NAMES.items():
+        table = tables[section]
+        stats = [c for c in table.columns if c not in names]
+        cells = ", ".join(f"'{c}', double({quoted(c)})" for c in stats)
+        whole = whole.unionByName(table.selectExpr(
+            f"'{section}' AS section", f"concat_ws('|', {', '.join(map(quoted, names))}) AS item",
+            f"stack({len(stats)}, {cells}) AS (stat, value)"))
+    return whole
+
+
 def eda_report(df: DataFrame) -> DataFrame:
     """``section, item, stat, value``: table statistics, numeric summary and insights in one."""
     return (

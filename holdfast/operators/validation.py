@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from holdfast.config import ID, MODEL_CHECKS, SENSITIVITY_ROWS, TARGET
 from holdfast.operators.encoding import feature_names
+from holdfast.operators.metrics import class_report, confusion_matrix
+from holdfast.operators.models import predictions
+from holdfast.workspace import materialise
 
 
 def _scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -62,6 +65,21 @@ def validate_model(model: PipelineModel, test: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "check string, test string, passed boolean, details string")
 
 
+def validation_report(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """``section, item, stat, value, passed, details``: the checks, the figures per class, and the confusion matrix."""
+    checks = validate_model(model, test).selectExpr(
+        "'check' AS section", "check AS item", "test AS stat", "CAST(NULL AS DOUBLE) AS value", "passed", "details")
+    scored = materialise(predictions(model, "model", test), "validated")
+    figures = ", ".join(f"'{c}', double({c})" for c in ("precision", "recall", "f1", "support"))
+    unjudged = ("CAST(NULL AS BOOLEAN) AS passed", "CAST(NULL AS STRING) AS details")
+    classes = class_report(scored).selectExpr(
+        "'class_report' AS section", "class AS item", f"stack(4, {figures}) AS (stat, value)").selectExpr("*", *unjudged)
+    cells = confusion_matrix(scored).selectExpr(
+        "'confusion_matrix' AS section", "concat_ws('|', label, prediction) AS item", "'count' AS stat",
+        "double(count) AS value", *unjudged)
+    return checks.unionByName(classes).unionByName(cells)
+
+
 def _attempt(check: Callable[[], tuple[bool, str]]) -> tuple[bool, str]:
     try:
         return check()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.config import ID, SPLIT_SEED, TARGET, TEST_SHARE
-from holdfast.operators import cleaning, encoding, features, profiling, quality, splitting
+from holdfast.ledger import Ledger
+from holdfast.operators import cleaning, encoding, features, fitted, profiling, quality, splitting
 from holdfast.sources import writers
 
 
@@ -22,6 +23,7 @@ class MlDataset:
     rows: DataFrame
     split: splitting.SplitRule
     scaling: encoding.Scaling
+    inputs: tuple[str, ...]
 
 
 def run_etl(raw: DataFrame, path: str) -> DataFrame:
@@ -40,21 +42,28 @@ def build_ml_dataset(
     scaling = encoding.fit_scaling(parts.where("split = 'train'"))
     scaled = encoding.standard_scale(parts, scaling)
     path = writers.save_ml_datasets(scaled, path)
-    return MlDataset(encoded.sparkSession.read.parquet(path), rule, scaling)
+    return MlDataset(encoded.sparkSession.read.parquet(path), rule, scaling, tuple(encoding.feature_names(table)))
 
 
 def run_data_pipeline(raw: DataFrame, folder: str, strict: bool = False) -> dict[str, object]:
     """All six stages. Each stage reads the table the one before has stored.
 
-    A failed quality rule is only reported, unless ``strict``.
+    A failed quality rule is only reported, unless ``strict``. What was fitted on the way is stored below
+    ``folder``, for rows that come later: :func:`stored_state` reads it.
     """
     spark = raw.sparkSession
-    table = features.build_feature_set(cleaning.clean(raw))
+    rows = cleaning.unique_typed_rows(raw)
+    # All columns, as rows to come may lack values where these do not.
+    fill = cleaning.fit_cleaning(rows, every_column=True)
+    clean = cleaning.apply_cleaning(rows, fill)
+    extremes = features.fit_features(clean)
+    table = features.apply_features(clean, extremes)
     stored = spark.read.parquet(writers.save_features(table, f"{folder}/features"))
     writers.save_eda_report(profiling.eda_report(stored), f"{folder}/eda_report")
 
+    dictionary = encoding.fit_dictionary(stored)
     encoded = spark.read.parquet(
-        writers.save_processed(encoding.one_hot(stored), f"{folder}/encoded")
+        writers.save_processed(encoding.one_hot(stored, dictionary), f"{folder}/encoded")
     )
     report = spark.read.json(
         writers.save_quality_report(quality.quality_report(encoded), f"{folder}/quality_report")
@@ -63,12 +72,22 @@ def run_data_pipeline(raw: DataFrame, folder: str, strict: bool = False) -> dict
     if strict and not verdict["overall_passed"]:
         raise QualityError(f"{verdict['failed']} quality rules failed, see {folder}/quality_report")
     dataset = build_ml_dataset(encoded, f"{folder}/ml")
+    state = fitted.Prepared(fill, extremes, dictionary, dataset.split, dataset.scaling, dataset.inputs)
+    Ledger(spark, f"{folder}/fitted").put("state", state.to_entry())
     return {
         "features": stored, "encoded": encoded, "quality": report, "ml": dataset,
-        "verdict": verdict,
+        "verdict": verdict, "state": state,
     }
 
 
+def stored_state(spark: SparkSession, folder: str) -> fitted.Prepared:
+    """What the data pipeline fitted when it wrote ``folder``."""
+    entry = Ledger(spark, f"{folder}/fitted").get("state")
+    if entry is None:
+        raise LookupError(f"no fitted state in {folder}")
+    return fitted.Prepared.from_entry(entry)
+
+
 def pipeline_summary(raw: DataFrame, results: dict[str, object]) -> DataFrame:
     """``stage, rows, columns``: what each stage read or stored (the id not counted)."""
     parts = {

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.config import MODELS
-from holdfast.operators import comparison, models, registry, validation
+from holdfast.operators import comparison, fitted, models, registry, scoring, validation
+from holdfast.operators.fitted import Prepared
 from holdfast.sources import readers, writers
 
 
@@ -23,14 +24,17 @@ def run_ml_pipeline(
     model_table: Mapping[str, Mapping] = MODELS,
     strict: bool = False,
     runs: Sequence[models.Run] | None = None,
+    state: Prepared | None = None,
 ) -> dict[str, object]:
     """Train, compare, validate and register. Failed checks only show, unless ``strict``.
 
-    ``runs`` already trained on this data set are taken instead of training again.
+    Finished models are recorded below ``folder``: a run that broke off goes on from there. ``runs`` already trained
+    on this data set are taken instead of training again. ``state``, what the data set was prepared by, is
+    registered with the model, so that later rows can be scored. The summary is stored as well.
     """
     train, test = readers.load_ml_datasets(spark, dataset)
     if runs is None:
-        runs = models.train_all(train, test, model_table)
+        runs = models.train_all(train, test, model_table, folder=f"{folder}/runs")
     if not runs:
         raise RuntimeError("no model could be trained")
     table = comparison.composite_score(
@@ -46,17 +50,28 @@ def run_ml_pipeline(
         f"{folder}/comparison",
     )
     checks = validation.validate_model(chosen.model, test)
-    writers.save_validation_report(checks, f"{folder}/validation")
+    writers.save_validation_report(validation.validation_report(chosen.model, test), f"{folder}/validation")
     verdict = validation.validation_summary(checks).first()
     if strict and not verdict["all_passed"]:
         raise ValidationError(f"{chosen.name} failed checks, see {folder}/validation")
     entry = registry.register_model(
-        spark, f"{folder}/registry", chosen, best["justification"]
+        spark, f"{folder}/registry", chosen, best["justification"], state=state
     )
-    return {
+    results = {
         "runs": runs, "comparison": table, "best": chosen, "checks": checks,
         "verdict": verdict, "registered": entry,
     }
+    writers.save_report(pipeline_summary(spark, results), f"{folder}/summary")
+    return results
+
+
+def score_registered(spark: SparkSession, folder: str, raw: DataFrame) -> DataFrame:
+    """Raw rows to one response each, by the model in production below ``folder`` and by what it was prepared with.
+
+    Nothing but the folder is needed, so a later session scores alike.
+    """
+    model, state = registry.production_state(spark, f"{folder}/registry")
+    return scoring.decide(models.predict(model, fitted.prepare(raw, state)))
 
 
 def pipeline_summary(spark: SparkSession, results: dict[str, object]) -> DataFrame:

@@ -152,3 +152,49 @@ def test_ml_pipeline(spark, parts):
     with pytest.raises(ml_pipeline.ValidationError):
         ml_pipeline.run_ml_pipeline(
             spark, dataset, folder, {"baseline_majority": {"kind": "majority"}}, strict=True)
+
+
+def test_broken_run_goes_on(spark, parts, monkeypatch):
+    """After two models the run breaks off; the next one trains only the others."""
+    folder = new_path(spark, "runs")
+    trained = []
+    train_single = models.train_single
+
+    def counted(name, *args):
+        if len(trained) == 2:
+            raise OSError("lost")
+        trained.append(name)
+        return train_single(name, *args)
+
+    monkeypatch.setattr(models, "train_single", counted)
+    with pytest.raises(RuntimeError, match="training failed"):
+        models.train_all(*parts, SMALL_MODELS, folder=folder, side_by_side=1)
+    first = list(trained)
+    assert len(first) == 2
+
+    monkeypatch.setattr(models, "train_single", lambda name, *args: trained.append(name) or train_single(name, *args))
+    runs = models.train_all(*parts, SMALL_MODELS, folder=folder)
+    assert [run.name for run in runs] == list(SMALL_MODELS)
+    assert sorted(trained) == sorted(SMALL_MODELS)
+    assert all(models.predict(run.model, parts[1]).count() == parts[1].count() for run in runs)
+
+    # Other rows or other settings are trained anew.
+    again = {**SMALL_MODELS, "forest": {**SMALL_MODELS["forest"], "trees": 6}}
+    models.train_all(*parts, again, folder=folder)
+    assert sorted(trained) == sorted([*SMALL_MODELS, "forest"])
+    models.train_all(parts[0].where("student_id > 20"), parts[1], {"forest": again["forest"]}, folder=folder)
+    assert trained.count("forest") == 3
+
+
+def test_models_side_by_side_are_those_trained_alone(parts):
+    train, test = parts
+    for run in models.train_all(train, test, SMALL_MODELS):
+        alone = models.predict(models.fit_model(SMALL_MODELS[run.name], train), test)
+        assert alone.exceptAll(models.predict(run.model, test)).count() == 0
+
+
+def test_number_of_parts(parts):
+    assert [models.fit_parts(n) for n in (0, 1, models.PART_ROWS, models.PART_ROWS + 1)] == [1, 1, 1, 2]
+    assert models.fit_parts(10**9) == models.fit_parts(models.FIT_ROWS)
+    ordered = models.fit_rows(parts[0], 320, parts=3)
+    assert ordered.rdd.getNumPartitions() == 3
