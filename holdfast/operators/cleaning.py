@@ -21,7 +21,8 @@ from holdfast.config import (
     TRUE_TEXTS,
     VALUE_RANGES,
 )
-from holdfast.functions.distributions import most_frequent, quantiles, text_counts, value_counts
+from holdfast.functions import selection
+from holdfast.functions.distributions import most_frequent, text_counts
 from holdfast.functions.numbers import clamp, to_number
 from holdfast.workspace import materialise
 
@@ -125,8 +126,8 @@ def fit_cleaning(df: DataFrame, every_column: bool = False) -> CleaningStats:
         texts = [c for c in texts if c in gaps]
     medians, modes = {}, {}
     if numeric:
-        middle = quantiles(value_counts(df, numeric), ["column"], {"median": 0.5})
-        medians = {row["column"]: row["median"] for row in middle.collect()}
+        middle = selection.quantiles(df, selection.named(numeric), {"median": 0.5})
+        medians = {c: found["median"] for c, found in middle.items() if found["median"] is not None}
     if texts:
         modes = {
             row["column"]: row["value"]

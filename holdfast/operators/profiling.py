@@ -19,7 +19,7 @@ from holdfast.config import (
     STUDY_TIME_LABELS,
     TARGET,
 )
-from holdfast.functions.distributions import quantiles, value_counts
+from holdfast.functions import selection
 from holdfast.functions.numbers import half_even, labelled, quoted, ratio, sql_text, without_nan
 
 STATUS = f"{labelled(TARGET, STATUS_LABELS)} AS status"
@@ -69,34 +69,23 @@ def numeric_summary(
 ) -> DataFrame:
     """``column, stat, value``: count, mean, std (n−1), extremes and quartiles, two decimals.
 
-    Everything follows from one table of value counts, so the rows are read once. For columns
-    with nearly as many values as rows that table is as large as the data; ``accuracy`` then
-    asks for quartiles with a rank error of at most 1/accuracy, from a single aggregation.
+    Quartiles are selected by counting, see :mod:`~holdfast.functions.selection`: one pass over the rows for each seven
+    bits in which values differ, and no table of values. ``accuracy`` asks for quartiles with a rank error of at
+    most 1/accuracy instead, from a single aggregation.
     """
     columns = list(columns or numeric_columns(df))
     if accuracy is not None:
         return _approximate_summary(df, columns, accuracy)
-    counts = value_counts(df, columns)
-    quartiles = quantiles(
-        counts, ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    )
-    means = counts.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        F.expr("sum(value * n) / sum(n)").alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    # One row per column of the frame: small enough to broadcast whatever the data size.
-    spread = (
-        counts.join(F.broadcast(means.select("column", "mean")), "column")
-        .groupBy("column")
-        .agg(F.expr(
-            "sqrt(sum(n * (value - mean) * (value - mean)) / nullif(double(sum(n) - 1), 0D))"
-        ).alias("std"))
-    )
-    wide = means.join(F.broadcast(spread), "column").join(F.broadcast(quartiles), "column")
-    sources = ("double(count)", "mean", "std", "min", "q25", "q50", "q75", "max")
-    return _long_summary(wide, sources)
+    moments, quartiles = selection.order_statistics(
+        df, selection.named(columns), {"25%": 0.25, "50%": 0.5, "75%": 0.75})
+    rows = [
+        (c, stat, value)
+        for c in columns if moments[c].count
+        for stat, value in zip(SUMMARY_STATS, (
+            float(moments[c].count), moments[c].mean, moments[c].std, moments[c].low, *quartiles[c].values(), moments[c].high))
+    ]
+    table = df.sparkSession.createDataFrame(rows, "column string, stat string, value double")
+    return table.withColumn("value", F.expr(half_even("value", 2)))
 
 
 def _long_summary(wide: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -191,24 +180,25 @@ def correlation_matrix(
 
 def absence_box(df: DataFrame, method: str = "linear") -> DataFrame:
     """Box summary of absences per outcome: quartiles, 1.5·IQR whiskers, outliers beyond them."""
-    labelled_rows = df.selectExpr(STATUS, "Number_of_Absences").where("status IS NOT NULL")
-    counts = value_counts(labelled_rows, ["Number_of_Absences"], ["status"])
-    quartiles = quantiles(
-        counts, ["status"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, method=method
-    )
-    # One row per outcome label.
-    fenced = counts.join(F.broadcast(quartiles), "status").withColumns({
-        "low_fence": F.expr("q1 - 1.5D * (q3 - q1)"),
-        "high_fence": F.expr("q3 + 1.5D * (q3 - q1)"),
-    })
-    inside = "value BETWEEN low_fence AND high_fence"
+    labelled_rows = df.selectExpr(STATUS, f"{without_nan('Number_of_Absences')} AS value").where(
+        "status IS NOT NULL AND value IS NOT NULL")
+    wanted = {label: f"CASE WHEN status = {sql_text(label)} THEN value END" for label in STATUS_LABELS.values()}
+    quartiles = selection.quantiles(labelled_rows, wanted, {"q1": 0.25, "median": 0.5, "q3": 0.75}, method)
+    cells = {label: q for label, q in quartiles.items() if q["median"] is not None}
+
+    def of_status(part: str) -> str:
+        cases = " ".join(f"WHEN status = {sql_text(label)} THEN double('{q[part]!r}')" for label, q in cells.items())
+        return f"CASE {cases} END AS {part}" if cells else f"CAST(NULL AS DOUBLE) AS {part}"
+
+    fenced = labelled_rows.selectExpr("*", *[of_status(part) for part in ("q1", "median", "q3")]).selectExpr(
+        "*", "value BETWEEN q1 - 1.5D * (q3 - q1) AND q3 + 1.5D * (q3 - q1) AS inside")
     return fenced.groupBy("status", "q1", "median", "q3").agg(
-        F.sum("n").alias("count"),
+        F.count(F.lit(1)).alias("count"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        F.expr(f"min(CASE WHEN {inside} THEN value END)").alias("low_whisker"),
-        F.expr(f"max(CASE WHEN {inside} THEN value END)").alias("high_whisker"),
-        F.expr(f"coalesce(sum(CASE WHEN NOT ({inside}) THEN n END), 0L)").alias("outliers"),
+        F.expr("min(CASE WHEN inside THEN value END)").alias("low_whisker"),
+        F.expr("max(CASE WHEN inside THEN value END)").alias("high_whisker"),
+        F.expr("count_if(NOT inside)").alias("outliers"),
     )
 
 
