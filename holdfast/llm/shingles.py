@@ -10,8 +10,7 @@ import numpy as np
 
 #: Texts longer than this are hashed in blocks that end at white space.
 BLOCK = 1 << 18
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STEP, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,29 +28,27 @@ class Shingler:
         value = _table()
         self.space = np.zeros(256, bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
-        lower = np.arange(256)
-        lower[65:91] += 32
-        self.value = value[:256][lower]
+        self.lower = np.arange(256, dtype=np.uint64)
+        self.lower[65:91] += np.uint64(32)
         self.weight = value[256 : 256 + width] | np.uint64(1)
         self.short = value[300 : 300 + width] | np.uint64(1)
-        self._powers(BLOCK)
-
-    def _powers(self, size: int) -> None:
-        steps = np.full(size, _BASE, np.uint64)
-        steps[0] = 1
-        self.power = np.multiply.accumulate(steps)
-        steps[1:] = _INVERSE
-        self.inverse = np.multiply.accumulate(steps)
 
     def _block(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and start of every word of a run of bytes."""
-        if len(block) > len(self.power):
-            self._powers(len(block))
+        """Hash and start of every word of a run of bytes.
+
+        Each byte is mixed with its place in the word before the sum, so no two words have equal sums by their
+        pattern, as they can have in a polynomial modulo a power of two.
+        """
         word = ~self.space[block]
         edges = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(self.value[block] * self.power[: len(block)], dtype=np.uint64)))
-        return mix((sums[ends] - sums[starts]) * self.inverse[starts]), starts
+        if not len(starts):
+            return np.empty(0, np.uint64), starts
+        lengths = ends - starts
+        heads = lengths.cumsum() - lengths
+        place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(heads, lengths)
+        mixed = mix((place.astype(np.uint64) << np.uint64(8) | self.lower[block[word]]) * _STEP + _START)
+        return mix(np.add.reduceat(mixed, heads) + lengths.astype(np.uint64)), starts
 
     def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         block, hashes, starts, at = np.frombuffer(text, np.uint8), [], [], 0

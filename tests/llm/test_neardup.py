@@ -113,3 +113,14 @@ def test_query_against_brute_force(spark):
     want = brute(list(zip(docs.doc_id, docs.text)), 85)
     got = {r.doc_id: r.component_id for r in op6_neardup(spark, "/root/testdata/sf0.01").collect()}
     assert got == want
+
+
+def test_words_of_one_pattern_differ():
+    """The word of 1,024 letters that a polynomial modulo 2**64 takes for its complement."""
+    from holdfast.llm.shingles import Shingler
+
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    sets = Shingler().sets([one.encode(), two.encode(), one.upper().encode(), b"ab", b"ba", b"a b", b""])
+    assert sets[0].tolist() == sets[2].tolist() != sets[1].tolist()
+    assert len({s.tobytes() for s in sets[3:]}) == 4

@@ -58,3 +58,29 @@ def test_written_shards_hold_whole_rows(spark):
     back = spark.read.parquet(folder)
     assert back.count() == 500 and back.select("shard").distinct().count() == 4
     assert {(r.doc_id, r.text, r.other) for r in back.collect()} == {(i, f"text {i}", "k") for i in range(500)}
+
+
+def divided(rows, text):
+    shards = {}
+    for r in rows:
+        shards.setdefault(text[r.doc_id] or "", set()).add(r.shard)
+    return sorted((t for t, held in shards.items() if len(held) > 1), key=len)
+
+
+def test_equal_texts_stay_together(spark):
+    """No group of the given documents is divided."""
+    folder = "/root/testdata/sf0.1"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    rows = op8_sharding(spark, folder).collect()
+    assert divided(rows, text) == []
+    total = sum(r.size for r in rows)
+    laws(rows, 16, sharding.GROUP_TOLERANCE * total / 16 + max(r.size for r in rows))
+
+
+def test_only_a_text_that_fills_shards_is_divided(spark):
+    """A third of all rows has one text; other groups are small."""
+    text = {i: "hot text" if i % 3 == 0 else f"group {i % 400}" for i in range(9000)}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(5)
+    rows = sharding.assign(df, 16).collect()
+    assert divided(rows, text) == ["hot text"]
+    laws(rows, 16, 2 * sharding.GROUP_TOLERANCE * sum(r.size for r in rows) / 16 + 10)
