@@ -65,10 +65,10 @@ def remove_lines(docs: DataFrame, text: str = "text", site: str = "source", site
     """
     lines = lines_of(docs, text, site)
     drops = spread_lines(lines, sites)
-    found = (
+    # Written first, so that the join below has exchanges of its own, whose large partitions Spark divides.
+    found = materialise(
         lines.select("t1", "t2", "h1", "h2").join(drops, ["h1", "h2"])
-        .groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
-    )
+        .groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("found")), "found-lines")
     held = docs.select(F.struct("*").alias("doc"), F.col(text).alias("given"))
     marked = held.select("doc", "given", *_text_hashes(F.col("given"))).join(found, ["t1", "t2"], "left")
     split = F.split("given", "\n")

@@ -289,8 +289,9 @@ def remove_repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, k
     pieces = materialise(pieces_of(texts, table, length), "pieces")
     runs = materialise(repeated_runs(pieces, length, shard_bytes), "repeated-runs")
     # Equal texts lose the same bytes, so places are gathered per text, copies of it collapsing on the way.
-    places = pieces.select("t1", "t2", "first", "piece").join(runs, "piece").groupBy("t1", "t2").agg(
-        F.collect_set(F.struct("first", "starts", "ends")).alias("_places"))
+    # Written first, so that the join below has exchanges of its own, whose large partitions Spark divides.
+    places = materialise(pieces.select("t1", "t2", "first", "piece").join(runs, "piece").groupBy("t1", "t2").agg(
+        F.collect_set(F.struct("first", "starts", "ends")).alias("_places")), "repeated-places")
     held = docs.drop(kept, n_bytes, n_removed, removed)
     names = held.columns
     row = held.select(F.struct(*names).alias("doc"), F.coalesce(own, F.lit(b"")).alias("text"))
