@@ -898,9 +898,10 @@ def activity_windows(spark, sf_dir):
 
 @register
 def activity_stream(spark, sf_dir):
-    schema = events(spark, sf_dir).schema
-    arriving = spark.readStream.schema(schema).option(
-        "pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events in files that each reach over the whole time, so that all but the first are full of late ones."""
+    table, source = events(spark, sf_dir), new_path(spark, "event_files")
+    table.repartition(3, "event_id").write.parquet(source)
+    arriving = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
     sink = new_path(spark, "activity")
     activity_streamed.activity_stream(
         arriving, sink, new_path(spark, "activity_checkpoint")).awaitTermination()

@@ -59,6 +59,15 @@ def windowed(events: DataFrame, width: str = "1 hour") -> DataFrame:
     )
 
 
+def window_bounds(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """``at, start, end, event_type`` of each event that has a time, in microseconds since 1970."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts IS NOT NULL")
+    window = F.window("ts", width)
+    return timed.select(
+        F.unix_micros("ts").alias("at"), F.unix_micros(window["start"]).alias("start"),
+        F.unix_micros(window["end"]).alias("end"), "event_type")
+
+
 def activity_windows(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """Events per type in tumbling windows."""
     return windowed(events, width).groupBy("window_start", "event_type").agg(
