@@ -640,6 +640,13 @@ ORACLES["ml_pipeline_checked"] = (
     f"SELECT {len(MODELS)} AS models_trained, TRUE AS beats_majority, TRUE AS above_floor, "
     f"CAST({len(MODEL_CHECKS)} AS BIGINT) AS checks_total, 'learner_dropout_classifier' AS registry_name, "
     "1 AS version, 'Production' AS stage")
+ORACLES["learner_segments_checked"] = after(
+    "features",
+    "SELECT CAST(4 AS BIGINT) AS n_segments, count(*) AS n_students, CAST(sum(Dropped_Out) AS BIGINT) AS n_dropped_out, "
+    + columns(*[f"{r(f'avg({c})', 4)} AS avg_{c}" for c in FEATURE_COLUMNS]) + " FROM scaled",
+    ENCODED, SPLIT, _SCALED_ROWS)
+ORACLES["segment_quality_checked"] = _listed(
+    (2, 3, 4, 5, 6), lambda _, k: f"{k} AS k, {k} AS n_segments, TRUE AS bounded, TRUE AS no_worse_than_two")
 #: Checks that need the training of every model; left to ``tools/check.py``, as they take minutes.
 LONG = tuple(n for n in ORACLES if n.endswith("_checked"))
 

@@ -856,11 +856,38 @@ def ml_pipeline_checked(spark, sf_dir):
 # Segments, drift, activity and cohort comparison.
 
 
+def segmented(spark, sf_dir):
+    rows = spark.read.parquet(stored_dataset(spark, sf_dir))
+    return segments.assign_segments(segments.fit_segments(rows.where("split = 'train'")), rows)
+
+
 @register
 def learner_segments(spark, sf_dir):
-    rows = spark.read.parquet(stored_dataset(spark, sf_dir))
-    model = segments.fit_segments(rows.where("split = 'train'"))
-    return segments.segment_profile(segments.assign_segments(model, rows))
+    return segments.segment_profile(segmented(spark, sf_dir))
+
+
+@register
+def segment_quality(spark, sf_dir):
+    return segments.segment_quality(spark.read.parquet(stored_dataset(spark, sf_dir)))
+
+
+@register
+def learner_segments_checked(spark, sf_dir):
+    """What does not depend on the segments: every learner is in one of them, and their means add up to those of all rows."""
+    whole = segmented(spark, sf_dir)
+    parts = whole.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("left"), *[F.avg(c).alias(c) for c in FEATURE_COLUMNS])
+    return parts.agg(
+        F.count(F.lit(1)).alias("n_segments"), F.sum("n").alias("n_students"), F.sum("left").alias("n_dropped_out"),
+        *[F.expr(half_even(f"sum({c} * n) / sum(n)", 4)).alias(f"avg_{c}") for c in FEATURE_COLUMNS])
+
+
+@register
+def segment_quality_checked(spark, sf_dir):
+    """More segments lie closer to their rows; a silhouette has bounds."""
+    return segment_quality(spark, sf_dir).selectExpr(
+        "k", "n_segments", "silhouette BETWEEN -1 AND 1 AS bounded",
+        "inertia <= first(inertia) OVER (ORDER BY k) AS no_worse_than_two")
 
 
 @register

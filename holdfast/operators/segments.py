@@ -1,32 +1,92 @@
-"""Groups of similar learners."""
+"""Groups of similar learners.
+
+Fitting sees rows in an order and in parts that follow from their ids, and about ``FIT_ROWS`` of them at most, drawn by id;
+segments are numbered by their centres. So neither the layout of a table nor the order of its rows changes the result,
+and the cost of fitting does not grow with the table. Assigning and judging cover all rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.config import MODEL_SEED, SCALED_COLUMNS, TARGET
-from holdfast.functions.numbers import half_even
+from holdfast.config import ID, MODEL_SEED, SCALED_COLUMNS, TARGET
+from holdfast.functions.numbers import half_even, quoted
+from holdfast.operators.models import FIT_ROWS, fit_rows
 
 SEGMENTS = 4
+TRIED = (2, 3, 4, 5, 6)
+#: Digits of the centres that are kept: sums in another order differ behind them.
+DIGITS = 9
+
+
+@dataclass(frozen=True)
+class Segments:
+    """Centres of the segments, in their order, over scaled columns."""
+
+    columns: tuple[str, ...]
+    centres: tuple[tuple[float, ...], ...]
+
+    def distances(self) -> str:
+        """SQL text of an array: the squared distance of a row to each centre; null counts as 0, the mean."""
+        each = [
+            " + ".join(f"pow(coalesce({quoted(c)}, 0D) - double('{x!r}'), 2)" for c, x in zip(self.columns, centre))
+            for centre in self.centres
+        ]
+        return f"array({', '.join(each)})"
 
 
 def fit_segments(
-    scaled: DataFrame, k: int = SEGMENTS, columns: Sequence[str] = SCALED_COLUMNS
-) -> PipelineModel:
-    """K-means on scaled columns."""
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="inputs")
-    means = KMeans(k=k, seed=MODEL_SEED, featuresCol="inputs", predictionCol="segment")
-    return Pipeline(stages=[assembler, means]).fit(scaled.select(*columns))
+    scaled: DataFrame, k: int = SEGMENTS, columns: Sequence[str] = SCALED_COLUMNS, most: int = FIT_ROWS
+) -> Segments:
+    """K-means on scaled columns of rows with ids; ``k`` centres at most reach the driver."""
+    filled = scaled.select(ID, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    ordered = fit_rows(filled, filled.count(), most)
+    rows = VectorAssembler(inputCols=list(columns), outputCol="inputs").transform(ordered)
+    model = KMeans(k=k, seed=MODEL_SEED, featuresCol="inputs").fit(rows)
+    centres = sorted(tuple(np.round(c, DIGITS).tolist()) for c in model.clusterCenters())
+    return Segments(tuple(columns), tuple(centres))
+
+
+def assign_segments(segments: Segments, scaled: DataFrame) -> DataFrame:
+    """Adds ``segment``, the number of the nearest centre, the first one on a tie; a projection, also for streams."""
+    near = segments.distances()
+    return scaled.withColumn("_near", F.expr(near)).withColumn(
+        "segment", F.expr("int(array_position(_near, array_min(_near))) - 1")).drop("_near")
+
+
+def segment_quality(
+    scaled: DataFrame, tried: Sequence[int] = TRIED, columns: Sequence[str] = SCALED_COLUMNS, most: int = FIT_ROWS
+) -> DataFrame:
+    """``k, n_segments, inertia, silhouette`` for each number of segments, over all rows.
+
+    ``inertia`` is the mean squared distance to the own centre; ``silhouette`` compares it with that to the nearest
+    other centre, from -1 to 1. Centres stand for the rows of their segments, so one pass does, and no pair of rows is formed.
+    """
+    tables = []
+    for k in tried:
+        found = fit_segments(scaled, k, columns, most)
+        near = scaled.select(F.expr(f"array_sort({found.distances()})").alias("near"))
+        tables.append(near.selectExpr(
+            f"{k} AS k", f"{len(found.centres)} AS n_segments", "near[0] AS own", "get(near, 1) AS other"
+        ).groupBy("k", "n_segments").agg(
+            F.expr(half_even("avg(own)", 4)).alias("inertia"),
+            F.expr(half_even("avg(CASE WHEN other > 0 THEN (sqrt(other) - sqrt(own)) / sqrt(other) ELSE 0 END)", 4)).alias("silhouette")))
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
 
 
-def assign_segments(model: PipelineModel, scaled: DataFrame) -> DataFrame:
-    return model.transform(scaled).drop("inputs")
+def best_number(quality: DataFrame) -> int:
+    """The number of segments with the best silhouette, the smaller one on a tie."""
+    return quality.orderBy(F.desc("silhouette"), "k").first()["k"]
 
 
 def segment_profile(
