@@ -50,6 +50,10 @@ HEADLINE = (
     "train_logreg",
     "train_raw_balanced",
     "score_batch",
+    "score_registered",
+    "score_stream",
+    "activity_stream",
+    "ml_pipeline",
 )
 
 
