@@ -53,7 +53,6 @@ HEADLINE = (
     "score_registered",
     "score_stream",
     "activity_stream",
-    "ml_pipeline",
 )
 
 
