@@ -33,7 +33,7 @@ def test_planted_passages(spark):
     draw = random.Random(11)
     vocabulary = [f"v{i}" for i in range(3000)]
     say = lambda n: [draw.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(say(n))) for i, n in enumerate([5, 6, 12, 20, 21, 40, 59, 200, 3, 1])]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([5, 6, 12, 20, 21, 40, 59, 200, 3, 1, 400])]
     items += [(50, None), (51, " \n"), (52, "Mixed CASE item of words é É with more of them in here"), (0, items[0][1])]
     docs = [(1000 + i, " ".join(say(draw.choice([0, 2, 50, 4000])))) for i in range(20)] + [(900, None), (901, "")]
     d = 0
