@@ -350,6 +350,25 @@ ORACLES["label_encode_apply"] = after(
     "young AS (SELECT * FROM raw WHERE Age < '20')", *codes_cte("young"),
 )
 
+_ORDER_TEXTS = """texts AS (
+  SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer,
+    CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS price,
+    o_orderstatus AS status, o_orderpriority AS priority FROM orders)"""
+_ORDER_COLUMNS = ("customer", "price", "status", "priority")
+_ORDER_CODES = [
+    f"codes_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS code "
+    f"FROM (SELECT DISTINCT {c} FROM texts WHERE {c} IS NOT NULL AND priority <> '1-URGENT'))"
+    for c in _ORDER_COLUMNS
+]
+_ORDER_JOINS = " ".join(f"LEFT JOIN codes_{c} c_{c} ON c_{c}.v = t.{c}" for c in _ORDER_COLUMNS)
+ORACLES["label_encode_orders"] = f"WITH {', '.join([_ORDER_TEXTS, *_ORDER_CODES])} SELECT o_orderkey, " + columns(*[
+    f"coalesce(c_{c}.code, (SELECT count(*) FROM codes_{c})) AS {c}" for c in _ORDER_COLUMNS
+]) + f" FROM texts t {_ORDER_JOINS}"
+ORACLES["one_hot_sparse"] = f"WITH {', '.join([_ORDER_TEXTS, *_ORDER_CODES])} " + " UNION ALL ".join(
+    f"SELECT o_orderkey, CAST(code" + "".join(f" + (SELECT count(*) FROM codes_{b})" for b in _ORDER_COLUMNS[:i])
+    + f" AS BIGINT) AS place FROM texts t JOIN codes_{c} ON v = t.{c}"
+    for i, c in enumerate(_ORDER_COLUMNS))
+
 _MODEL_NAMES = list(dict.fromkeys([*MODEL_NUMERIC_COLUMNS, *BINARY_COLUMNS, *_HOT_NAMES]))
 ORACLES["select_features"] = after(
     "features", f"SELECT {columns(ID, TARGET, *_MODEL_NAMES)} FROM encoded", ENCODED)

@@ -27,6 +27,7 @@ from holdfast.operators import (
     cleaning,
     cohorts,
     comparison,
+    dictionary,
     drift,
     encoding,
     features,
@@ -289,18 +290,49 @@ def one_hot(spark, sf_dir):
     return encoding.one_hot(cleaned(spark, sf_dir))
 
 
+def _coded(df, values):
+    return dictionary.label_encode(df, values).withColumns({c: F.col(c).cast("int") for c in values.sizes})
+
+
 @register
 def label_encode(spark, sf_dir):
-    table = cleaning.drop_duplicates(raw(spark, sf_dir)).drop(TARGET)
-    return encoding.label_encode(table.select(ID, *CATEGORICAL_COLUMNS, *BINARY_COLUMNS))
+    unique = cleaning.drop_duplicates(raw(spark, sf_dir))
+    table = materialise(unique.select(ID, *CATEGORICAL_COLUMNS, *BINARY_COLUMNS), "unique-texts")
+    return _coded(table, dictionary.fit_values(table))
 
 
 @register
 def label_encode_apply(spark, sf_dir):
     """Codes fitted on learners younger than 20, applied to all of them."""
     table = raw(spark, sf_dir).select(ID, "Age", *CATEGORICAL_COLUMNS, *BINARY_COLUMNS)
-    young = encoding.fit_dictionary(table.where("Age < '20'").drop("Age"))
-    return encoding.label_encode(table, young)
+    return _coded(table, dictionary.fit_values(table.where("Age < '20'").drop("Age")))
+
+
+def order_texts(spark, sf_dir):
+    """Two columns of all orders with nearly as many values as rows, and two with a few."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey", "CAST(o_custkey AS STRING) AS customer",
+        "CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) AS price",
+        "o_orderstatus AS status", "o_orderpriority AS priority")
+
+
+def order_values(table):
+    return dictionary.fit_values(table.where("priority <> '1-URGENT'").drop("o_orderkey"))
+
+
+@register
+def label_encode_orders(spark, sf_dir):
+    """Codes fitted on the orders that are not urgent, applied to all of them."""
+    table = order_texts(spark, sf_dir)
+    return dictionary.label_encode(table, order_values(table))
+
+
+@register
+def one_hot_sparse(spark, sf_dir):
+    """A row for each order and one-hot place that it holds."""
+    table = order_texts(spark, sf_dir)
+    places = dictionary.one_hot_places(table, order_values(table))
+    return places.select("o_orderkey", F.explode("places").alias("place"))
 
 
 @register
