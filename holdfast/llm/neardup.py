@@ -112,27 +112,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def between_parts(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs ``u, v`` of different parts among ``node, shingles``, without a miss.
-
-    With the shingles of every set in one order, rarest first, two similar sets share one among the
-    first ``n - ceil(n * percent / 100) + 1`` of each, and the rest behind their first shared one
-    is long enough for the overlap that they need.
+def prefix_tokens(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """``node, part, n, rest, shingle, inner, home`` of the shingles on which sets of different parts may meet.
+
+    With the shingles of every set in one order, rarest first, two similar sets share one among the first
+    ``n - ceil(n * percent / 100) + 1`` of each, and the rest behind their first shared one is long enough for the
+    overlap that they need. In the smaller set that one lies further ahead still, as half of the union is at least
+    its size: there the token is ``inner``. Shingles of one part only are left out. ``home`` is whether the part holds
+    the shingle most often.
     """
     tokens = sets.select("node", F.explode("shingles").alias("shingle"))
-    rarity = tokens.groupBy("shingle").agg(F.count("*").alias("df"))
-    ordered = tokens.join(rarity, "shingle").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    rarity = tokens.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = tokens.join(rarity, "shingle", "left").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("all"))
     first = F.expr(f"size(all) - cast(ceil(size(all) * {percent} / 100.0D) as int) + 1")
-    prefixes = ordered.join(parts, "node").select(
+    found = ordered.join(parts, "node").select(
         "node", "part", F.size("all").alias("n"), F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "token")
-    ).select("node", "part", (F.col("n") - F.col("at")).alias("rest"), "n", F.col("token.shingle").alias("shingle"))
-    prefixes = materialise(prefixes, "prefixes")
-    one = prefixes.toDF("u", "part_u", "rest_u", "n_u", "shingle")
-    two = prefixes.toDF("v", "part_v", "rest_v", "n_v", "shingle")
+    ).filter("token.df > 1").select(
+        "node", "part", "n", (F.col("n") - F.col("at")).alias("rest"), F.col("token.shingle").alias("shingle"))
+    found = materialise(found.withColumn("inner", (100 + percent) * F.col("rest") >= 2 * percent * F.col("n")), "prefixes")
+    held = found.groupBy("shingle", "part").agg(F.count("*").alias("m"))
+    homes = held.groupBy("shingle").agg(
+        F.max(F.struct("m", F.col("part").alias("most"))).alias("top"), F.count("*").alias("parts")
+    ).filter("parts > 1").select("shingle", F.col("top.most").alias("most"))
+    return materialise(found.join(homes, "shingle").withColumn("home", F.col("part") == F.col("most")).drop("most"), "meeting-prefixes")
+
+
+def meetings(tokens: DataFrame) -> list[DataFrame]:
+    """The joins, on the shingle alone, that compare an inner token ``u`` with a token ``v``; together they hold every
+    pair of different parts and no pair within a shingle's home part."""
+    names = ("node", "part", "n", "rest")
+    inner = tokens.filter("inner").select("shingle", "home", *[F.col(c).alias(f"{c}_u") for c in names])
+    every = tokens.select("shingle", "home", *[F.col(c).alias(f"{c}_v") for c in names])
+    return [
+        inner.filter("NOT home").drop("home").join(every.drop("home"), "shingle"),
+        inner.filter("home").drop("home").join(every.filter("NOT home").drop("home"), "shingle"),
+    ]
+
+
+def between_parts(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs ``u, v`` of different parts among ``node, shingles``, without a miss."""
+    one, two = meetings(prefix_tokens(sets, parts, percent))
     enough = (100 + percent) * F.least("rest_u", "rest_v") >= percent * (F.col("n_u") + F.col("n_v"))
-    return one.join(two, "shingle").filter((F.col("u") > F.col("v")) & (F.col("part_u") != F.col("part_v")) & enough
-                                           ).select("u", "v").distinct()
+    smaller = F.struct("n_u", "node_u") < F.struct("n_v", "node_v")
+    return one.unionByName(two).filter(smaller & (F.col("part_u") != F.col("part_v")) & enough).select(
+        F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text",

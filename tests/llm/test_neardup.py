@@ -124,3 +124,50 @@ def test_words_of_one_pattern_differ():
     sets = Shingler().sets([one.encode(), two.encode(), one.upper().encode(), b"ab", b"ba", b"a b", b""])
     assert sets[0].tolist() == sets[2].tolist() != sets[1].tolist()
     assert len({s.tobytes() for s in sets[3:]}) == 4
+
+
+def _open(spark, texts, parts):
+    """Sets and parts of the second round; text k is node k."""
+    nodes = spark.createDataFrame([(i, bytearray((t or "").encode())) for i, t in enumerate(texts)], "node bigint, text binary")
+    return (neardup.shingle_sets(nodes), spark.createDataFrame(list(enumerate(parts)), "node bigint, part bigint"))
+
+
+def _compared(sets, parts, percent):
+    return sum(j.count() for j in neardup.meetings(neardup.prefix_tokens(sets, parts, percent)))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_second_round_misses_no_pair(spark, percent):
+    texts = [t for _, t in made()]
+    draw = random.Random(percent)
+    parts = [draw.randrange(9) for _ in texts]
+    own = [shingles(t) for t in texts]
+    want = {(v, u) for u, v in combinations(range(len(texts)), 2) if parts[u] != parts[v] and own[u]
+            and 100 * len(own[u] & own[v]) >= percent * len(own[u] | own[v])}
+    sets, placed = _open(spark, texts, parts)
+    got = {tuple(r) for r in neardup.between_parts(sets, placed, percent).collect()}
+    assert want <= got
+    assert {tuple(r) for r in neardup.confirmed(neardup.between_parts(sets, placed, percent), sets, percent).collect()} == want
+
+
+def _template(copies, own):
+    """Texts that share 200 words and end with words of their own."""
+    shared = [f"t{i}" for i in range(200)]
+    return [" ".join(shared + [f"o{c}x{i}" for i in range(own)]) for c in range(copies)]
+
+
+def test_texts_of_one_template_are_not_compared(spark):
+    """No two are similar, and each is a part of its own."""
+    for copies in (40, 160):
+        sets, parts = _open(spark, _template(copies, 60), range(copies))
+        assert _compared(sets, parts, 80) == 0
+
+
+def test_outsiders_of_a_large_part_cost_a_row_per_member(spark):
+    """Similar texts, all but one in one part: comparisons grow with the members, not with their square."""
+    counts = []
+    for copies in (40, 160):
+        sets, parts = _open(spark, _template(copies, 10), [0] * (copies - 1) + [copies])
+        counts.append(_compared(sets, parts, 80))
+        assert neardup.between_parts(sets, parts, 80).count() == copies - 1
+    assert 0 < counts[1] <= 5 * counts[0]
