@@ -247,7 +247,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     A hash of the id draws about ``per_language`` documents of each language, and a few windows of each go
     to the driver. None if there is nothing to learn from. ``other`` adds the label for other text, which
-    needs ``LEAST`` documents; its slack is fitted on the documents drawn and held-out ones drawn alike.
+    needs ``LEAST`` documents; its slack is fitted on the documents drawn, none of them held out.
     """
     labelled = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).alias("lang")).filter(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("t").isNotNull())
@@ -273,7 +273,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     network = fit(np.concatenate([windows, made]), np.concatenate([labels, np.full(len(made), len(languages))]),
                   [*languages, UNKNOWN])
     network.languages = languages
-    network.slack = MARGIN * fitted_slack(labelled.filter(chosen).select("t"), network)
+    network.slack = MARGIN * fitted_slack(drawn.select("t"), network)
     return network
 
 

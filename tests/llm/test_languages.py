@@ -99,3 +99,13 @@ def test_few_documents_teach_no_other(spark):
     rows = [(i, f"plain words number {i}", "xx") for i in range(1, 40)]
     network = languages.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), other=True)
     assert network.slack is None and len(network.b) == 1
+
+
+def test_held_out_documents_stay(spark):
+    """The bound is fitted without them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.rlike("text", F.lit(r"\p{L}")))
+    network = languages.train(docs, other=True)
+    apart = docs.filter(languages.held_out("doc_id"))
+    changed = docs.withColumn("text", F.when(languages.held_out("doc_id"), F.lit("zq xvk jjw " * 80)).otherwise(F.col("text")))
+    assert languages.train(changed, other=True).slack == network.slack
+    assert apart.count() > 100 and languages.identify(apart, network).filter("lang_pred = 'und'").count() == 0
