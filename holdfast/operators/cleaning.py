@@ -23,7 +23,7 @@ from holdfast.config import (
 )
 from holdfast.functions import selection
 from holdfast.functions.distributions import most_frequent, text_counts
-from holdfast.functions.numbers import clamp, to_number
+from holdfast.functions.numbers import clamp, quoted, to_number
 from holdfast.workspace import materialise
 
 
@@ -45,15 +45,50 @@ def trim_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+#: Bits of the filter for hashes that occur more than once. It is broadcast as at most ``FILTER_BITS / 64`` rows of two
+#: numbers, whatever the table holds.
+FILTER_BITS = 1 << 26
+
+
+def with_repeat_mark(df: DataFrame, columns: list[str], mark: str) -> DataFrame:
+    """The rows, and whether another row may have the same values in ``columns``: true for every row that has copies,
+    and for others only where the filter does not tell them apart.
+
+    Hashes of 128 bits are grouped, and those that occur more than once set a bit each; rows look up theirs.
+    """
+    values = ", ".join(map(quoted, columns))
+    repeated = (
+        df.selectExpr(f"xxhash64({values}) AS h1", f"xxhash64(17, {values}) AS h2")
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    )
+    slot, word = f"xxhash64({values}) & {FILTER_BITS - 1}L", f"{mark}_word"
+    filled = (
+        repeated.selectExpr(f"h1 & {FILTER_BITS - 1}L AS slot")
+        .groupBy(F.expr("slot div 64").alias(word))
+        .agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias(f"{mark}_bits"))
+    )
+    looked_up = df.selectExpr("*", f"({slot}) div 64 AS {word}", f"int(({slot}) % 64) AS {mark}_bit").join(
+        F.broadcast(filled), word, "left")
+    return looked_up.selectExpr(
+        *map(quoted, df.columns), f"coalesce(getbit({mark}_bits, {mark}_bit) = 1, false) AS {mark}")
+
+
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """One row per distinct source row, with the smallest id of its copies.
 
-    The group-by collapses copies before the shuffle, so a row with very many copies stays cheap.
+    Two phases: hashes move for all rows, whole rows only where a hash occurs more than once. Those are
+    compared in full, so equal hashes of different rows do no harm. The group-bys collapse copies before
+    their shuffles, so a row with very many copies stays cheap.
     """
+    source = [c for c in df.columns if c != ID]
     if ID not in df.columns:
         return df.distinct()
-    source = [c for c in df.columns if c != ID]
-    return df.groupBy(*source).agg(F.min(ID).alias(ID)).select(*df.columns)
+    if not source:
+        return df.agg(F.min(ID).alias(ID)).where(F.col(ID).isNotNull())
+    marked = with_repeat_mark(df, source, "_repeated")
+    single = marked.where("NOT _repeated").select(*map(quoted, df.columns))
+    copied = marked.where("_repeated").groupBy(*map(quoted, source)).agg(F.min(ID).alias(ID))
+    return single.unionByName(copied.select(*map(quoted, df.columns)))
 
 
 def _target() -> str:
@@ -92,8 +127,8 @@ def typed(df: DataFrame) -> DataFrame:
 def unique_typed_rows(raw: DataFrame) -> DataFrame:
     """De-duplicated, typed rows as a written table.
 
-    This is the one wide shuffle of cleaning, done once; every later pass scans the written
-    columns it needs.
+    Only copies move as whole rows here, and nothing later does; every later pass scans the
+    written columns it needs.
     """
     return materialise(
         raw.transform(trim_columns).transform(drop_duplicates).transform(typed), "unique_rows"
@@ -175,7 +210,7 @@ def apply_cleaning(df: DataFrame, stats: CleaningStats) -> DataFrame:
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    """Raw text table to clean table: one shuffle, then narrow passes over the written rows."""
+    """Raw text table to clean table: copies removed, then narrow passes over the written rows."""
     rows = unique_typed_rows(raw)
     return apply_cleaning(rows, fit_cleaning(rows))
 
