@@ -697,6 +697,7 @@ ORACLES["drift_report"] = after(
     f"{r(f'sum(({_A} - {_B}) * ln({_A} / {_B}))', 6)} AS psi "
     "FROM before_shares FULL JOIN after_shares USING (col, bin) GROUP BY col)",
     _shares("before", "GP"), _shares("after", "MS"))
+ORACLES["drift_periods"] = ORACLES["drift_report"]
 _ACTIVITY = (
     "SELECT user_id, count(*) AS n_events, count(DISTINCT date_trunc('minute', ts)) "
     "AS active_minutes, count(DISTINCT CAST(ts AS DATE)) AS active_days "

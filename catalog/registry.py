@@ -930,6 +930,19 @@ def drift_report(spark, sf_dir):
         [*NUMERIC_COLUMNS, *FEATURE_COLUMNS])
 
 
+@register
+def drift_periods(spark, sf_dir):
+    """The same from stored counts: a period for each school and age, in batches by gender, one of them added twice."""
+    table = stored_features(spark, sf_dir)
+    counts = drift.DriftCounts(spark, new_path(spark, "drift")).create(
+        table.where("School = 'GP'"), [*NUMERIC_COLUMNS, *FEATURE_COLUMNS])
+    for gender in ("F", "M", "F"):
+        counts.add(table.where(f"Gender = '{gender}'"), "concat(School, ' ', Age)", gender)
+    counts.add(table.where("Gender IS NULL OR Gender NOT IN ('F', 'M')"), "concat(School, ' ', Age)", "other")
+    periods = [r["period"] for r in counts.periods().collect()]
+    return counts.report(*[[p for p in periods if p.startswith(school)] for school in ("GP", "MS")])
+
+
 def events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
