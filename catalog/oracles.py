@@ -626,6 +626,7 @@ for _name in ("train_logreg", "train_rf_v1", "train_rf_v2", "train_gbt", "train_
 _RESPONSES = after("raw", f"SELECT CAST({ID} AS VARCHAR) AS {ID}, TRUE AS consistent, TRUE AS bounded FROM raw")
 ORACLES["score_batch_checked"] = _RESPONSES
 ORACLES["score_stream_checked"] = _RESPONSES
+ORACLES["score_uploads_checked"] = _RESPONSES
 ORACLES["score_registered_checked"] = _RESPONSES
 
 

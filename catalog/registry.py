@@ -793,6 +793,20 @@ def score_stream(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+def uploads_scored(spark, sf_dir):
+    """Uploads of two kinds in one stream: columns in their order, and in reverse."""
+    table, path, folder = raw(spark, sf_dir).select(*readers.RAW_SCHEMA.names), new_path(spark, "uploads"), new_path(spark, "uploads_scored")
+    writers.save_csv(table.where(f"{ID} % 2 = 0"), f"{path}/forward")
+    writers.save_csv(table.where(f"{ID} % 2 = 1").select(*reversed(table.columns)), f"{path}/reverse")
+    streamed.score_uploads(served_model(spark, sf_dir), spark, f"{path}/*", folder).awaitTermination()
+    return folder
+
+
+@register
+def score_uploads(spark, sf_dir):
+    return streamed.scored_uploads(spark, uploads_scored(spark, sf_dir))
+
+
 # What can be said of trained results beforehand, for a comparison with SQL.
 
 
@@ -833,6 +847,11 @@ def score_stream_checked(spark, sf_dir):
     return _responses(score_stream(spark, sf_dir))
 
 
+@register
+def score_uploads_checked(spark, sf_dir):
+    return _responses(score_uploads(spark, sf_dir))
+
+
 @register
 def train_single_checked(spark, sf_dir):
     return train_single(spark, sf_dir).selectExpr("model", f"roc_auc > {FLOOR}D AS above_floor")

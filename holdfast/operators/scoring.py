@@ -33,6 +33,11 @@ def rename_for_scoring(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({_BY_FIELD[f][0]: f for f in UPLOAD_FIELDS})
 
 
+def upload_spellings() -> list[tuple[str, str]]:
+    """The two names of each column that an uploaded file must have."""
+    return [(f, _BY_FIELD[f][0]) for f in UPLOAD_FIELDS]
+
+
 def require_columns(df: DataFrame, needed: Sequence[str] = UPLOAD_FIELDS) -> list[str]:
     """The needed columns ``df`` lacks; looks at the schema only."""
     return [c for c in needed if c not in df.columns]

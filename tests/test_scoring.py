@@ -3,9 +3,9 @@ import pytest
 from holdfast.config import REQUEST_FIELDS
 from holdfast.operators import cleaning, models, scoring
 from holdfast.sources import readers, writers
-from holdfast.streaming.scoring import score_stream
+from holdfast.streaming.scoring import rejected_uploads, score_stream, score_uploads, scored_uploads
 from holdfast.workspace import new_path
-from tests.conftest import as_set, by_id
+from tests.conftest import LEARNER, as_set, by_id
 
 FOREST = {"kind": "forest", "trees": 5, "depth": 4, "min_split": 5, "balanced": True}
 
@@ -110,6 +110,54 @@ def test_stream_equals_batch_and_resumes(spark, learners, served):
         scoring.score_batch(served, first.union(second)))
 
 
+def save(table, folder):
+    table.coalesce(1).write.mode("append").option("header", True).csv(folder)
+
+
+def test_uploads_with_other_headers_equal_the_batch_and_resume(spark, learners, served):
+    uploads, folder = new_path(spark, "in"), new_path(spark, "out")
+    first = learners({}, {"Grade_1": "n/a", "student_id": 2})
+    second = learners({"student_id": 3, "Final_Grade": "0", "Mother_Job": "a, b"}).select(*reversed(first.columns))
+    for batch in (first, second):
+        save(batch, uploads)
+        score_uploads(served, spark, uploads, folder, files_per_batch=1).awaitTermination()
+    got = scored_uploads(spark, folder)
+    assert as_set(got) == as_set(scoring.score_batch(served, readers.load_upload(spark, uploads)))
+    assert as_set(got) == as_set(scoring.score_batch(served, first.unionByName(second)))
+    assert rejected_uploads(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_defaults_hold_for_files_without_a_column(spark, learners, served, files_per_batch):
+    uploads, folder = new_path(spark, "in"), new_path(spark, "out")
+    whole, bare = learners({}), learners({"student_id": 2}).drop("Mother_Job")
+    named = scoring.rename_for_scoring(learners({"student_id": 3}))
+    for table in (whole, bare, named):
+        save(table, uploads)
+    score_uploads(served, spark, uploads, folder, files_per_batch).awaitTermination()
+    want = [as_set(scoring.score_batch(served, t)) for t in (whole, bare, learners({"student_id": 3}))]
+    assert as_set(scored_uploads(spark, folder)) == sorted(sum(want, []))
+
+
+def test_unreadable_files_and_rows_go_to_a_side_table(spark, learners, served, tmp_path):
+    uploads, folder = tmp_path / "in", new_path(spark, "out")
+    uploads.mkdir()
+    names = readers.RAW_SCHEMA.names
+    good = ["7", *[LEARNER[c] for c in names[1:]]]
+    lines = [good, ["n/a", *good[1:]], ["seven", *good[1:]], good[:-1], [*good, "more"]]
+    (uploads / "rows [1] 50%+{a}.csv").write_text("\n".join(",".join(x) for x in [names, *lines]) + "\n")
+    (uploads / "empty.csv").write_text("\n")
+    (uploads / "twice.csv").write_text("Age,age\n1,2\n")
+    (uploads / "short.csv").write_text(",".join(c for c in names if c != "Age") + "\n")
+    score_uploads(served, spark, str(uploads), folder).awaitTermination()
+    assert {r.student_id for r in scored_uploads(spark, folder).collect()} == {"7", None}
+    found = sorted((r.file.rsplit("/", 1)[1], r.reason) for r in rejected_uploads(spark, folder).collect())
+    assert found == [
+        ("empty.csv", "no header"), ("rows [1] 50%+{a}.csv", "cells do not fit the header"),
+        ("rows [1] 50%+{a}.csv", "cells do not fit the header"), ("rows [1] 50%+{a}.csv", "the id is no number"),
+        ("short.csv", "no column Age"), ("twice.csv", "a column name is used twice")]
+
+
 def test_export(spark):
     report = scoring.at_risk_filter(scored_rows(spark))
     path = writers.export_results(report, new_path(spark, "export"))
