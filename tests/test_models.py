@@ -198,3 +198,11 @@ def test_number_of_parts(parts):
     assert models.fit_parts(10**9) == models.fit_parts(models.FIT_ROWS)
     ordered = models.fit_rows(parts[0], 320, parts=3)
     assert ordered.rdd.getNumPartitions() == 3
+
+
+def test_forests_keep_the_node_of_each_row(spark):
+    """Without it every level of a deep forest walks all rows from the roots."""
+    from holdfast.config import MODELS
+
+    for name in ("random_forest_v1", "random_forest_v2"):
+        assert models.estimator(MODELS[name], 1000).getCacheNodeIds()
