@@ -206,3 +206,14 @@ def test_forests_keep_the_node_of_each_row(spark):
 
     for name in ("random_forest_v1", "random_forest_v2"):
         assert models.estimator(MODELS[name], 1000).getCacheNodeIds()
+
+
+def test_test_rows_are_scored_once(parts, monkeypatch):
+    seen, predictions = [], models.predictions
+    monkeypatch.setattr(models, "predictions", lambda *args: seen.append(args[1]) or predictions(*args))
+    run = models.train_single("logistic_regression", *parts, SMALL_MODELS["logistic_regression"])
+    assert seen == ["logistic_regression"]
+    assert run.scored.inputFiles()
+    assert sorted(run.scored.collect()) == sorted(predictions(run.model, run.name, parts[1]).collect())
+    plan = run.scored._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan
