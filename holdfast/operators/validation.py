@@ -65,9 +65,14 @@ def validate_model(model: PipelineModel, test: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "check string, test string, passed boolean, details string")
 
 
-def validation_report(model: PipelineModel, test: DataFrame) -> DataFrame:
-    """``section, item, stat, value, passed, details``: the checks, the figures per class, and the confusion matrix."""
-    checks = validate_model(model, test).selectExpr(
+def validation_report(model: PipelineModel, test: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """``section, item, stat, value, passed, details``: the checks, the figures per class, and the confusion matrix.
+
+    ``checks`` already made of this model on these rows are taken instead of making them again.
+    """
+    if checks is None:
+        checks = validate_model(model, test)
+    checks = checks.selectExpr(
         "'check' AS section", "check AS item", "test AS stat", "CAST(NULL AS DOUBLE) AS value", "passed", "details")
     scored = materialise(predictions(model, "model", test), "validated")
     figures = ", ".join(f"'{c}', double({c})" for c in ("precision", "recall", "f1", "support"))

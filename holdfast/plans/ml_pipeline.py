@@ -50,7 +50,7 @@ def run_ml_pipeline(
         f"{folder}/comparison",
     )
     checks = validation.validate_model(chosen.model, test)
-    writers.save_validation_report(validation.validation_report(chosen.model, test), f"{folder}/validation")
+    writers.save_validation_report(validation.validation_report(chosen.model, test, checks), f"{folder}/validation")
     verdict = validation.validation_summary(checks).first()
     if strict and not verdict["all_passed"]:
         raise ValidationError(f"{chosen.name} failed checks, see {folder}/validation")

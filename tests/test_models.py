@@ -217,3 +217,17 @@ def test_test_rows_are_scored_once(parts, monkeypatch):
     assert sorted(run.scored.collect()) == sorted(predictions(run.model, run.name, parts[1]).collect())
     plan = run.scored._jdf.queryExecution().executedPlan().toString()
     assert "UDF" not in plan
+
+
+def test_pipeline_validates_once(spark, parts, monkeypatch):
+    train, test = parts
+    rows = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    dataset = writers.save_ml_datasets(rows, new_path(spark, "validated_once"))
+    made, validate = [], validation.validate_model
+    monkeypatch.setattr(validation, "validate_model", lambda *args: made.append(1) or validate(*args))
+    few = {name: SMALL_MODELS[name] for name in ("baseline_majority", "logistic_regression")}
+    folder = new_path(spark, "validated_once_run")
+    results = ml_pipeline.run_ml_pipeline(spark, dataset, folder, few)
+    assert made == [1]
+    stored = spark.read.json(f"{folder}/validation").where("section = 'check'")
+    assert sorted(stored.select("item", "passed").collect()) == sorted(results["checks"].select("check", "passed").collect())
