@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from holdfast.config import ID, MODEL_SEED, SCALED_COLUMNS, TARGET
 from holdfast.functions.numbers import half_even, quoted
 from holdfast.operators.models import FIT_ROWS, fit_rows
+from holdfast.workspace import materialise
 
 SEGMENTS = 4
 TRIED = (2, 3, 4, 5, 6)
@@ -46,8 +47,15 @@ def fit_segments(
     scaled: DataFrame, k: int = SEGMENTS, columns: Sequence[str] = SCALED_COLUMNS, most: int = FIT_ROWS
 ) -> Segments:
     """K-means on scaled columns of rows with ids; ``k`` centres at most reach the driver."""
-    filled = scaled.select(ID, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    ordered = fit_rows(filled, filled.count(), most)
+    filled = _filled(scaled, columns)
+    return _fit(fit_rows(filled, filled.count(), most), k, columns)
+
+
+def _filled(scaled: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return scaled.select(ID, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+
+
+def _fit(ordered: DataFrame, k: int, columns: Sequence[str]) -> Segments:
     rows = VectorAssembler(inputCols=list(columns), outputCol="inputs").transform(ordered)
     model = KMeans(k=k, seed=MODEL_SEED, featuresCol="inputs").fit(rows)
     centres = sorted(tuple(np.round(c, DIGITS).tolist()) for c in model.clusterCenters())
@@ -67,21 +75,23 @@ def segment_quality(
     """``k, n_segments, inertia, silhouette`` for each number of segments, over all rows.
 
     ``inertia`` is the mean squared distance to the own centre; ``silhouette`` compares it with that to the nearest
-    other centre, from -1 to 1. Centres stand for the rows of their segments, so one pass does, and no pair of rows is formed.
+    other centre, from -1 to 1. Centres stand for the rows of their segments, so one pass does for all numbers, and no pair
+    of rows is formed.
     """
-    tables = []
-    for k in tried:
-        found = fit_segments(scaled, k, columns, most)
-        near = scaled.select(F.expr(f"array_sort({found.distances()})").alias("near"))
-        tables.append(near.selectExpr(
-            f"{k} AS k", f"{len(found.centres)} AS n_segments", "near[0] AS own", "get(near, 1) AS other"
-        ).groupBy("k", "n_segments").agg(
-            F.expr(half_even("avg(own)", 4)).alias("inertia"),
-            F.expr(half_even("avg(CASE WHEN other > 0 THEN (sqrt(other) - sqrt(own)) / sqrt(other) ELSE 0 END)", 4)).alias("silhouette")))
-    whole = tables[0]
-    for table in tables[1:]:
-        whole = whole.unionByName(table)
-    return whole
+    filled = _filled(scaled, columns)
+    total = filled.count()
+    # Drawn and stored once for all numbers; order and parts do not outlive storing.
+    drawn = materialise(fit_rows(filled, total, most), "segment_rows")
+    found = {k: _fit(fit_rows(drawn, min(total, most), most), k, columns) for k in tried}
+    near = scaled.select(*[F.expr(f"array_sort({s.distances()})").alias(f"near_{k}") for k, s in found.items()])
+    pairs = near.selectExpr(*[text for k in found for text in (f"near_{k}[0] AS own_{k}", f"get(near_{k}, 1) AS other_{k}")])
+    judged = pairs.agg(F.count(F.lit(1)).alias("n"), *[expr for k in found for expr in (
+        F.expr(half_even(f"avg(own_{k})", 4)).alias(f"inertia_{k}"),
+        F.expr(half_even(
+            f"avg(CASE WHEN other_{k} > 0 THEN (sqrt(other_{k}) - sqrt(own_{k})) / sqrt(other_{k}) ELSE 0 END)", 4
+        )).alias(f"silhouette_{k}"))])
+    cells = ", ".join(f"{k}, {len(s.centres)}, inertia_{k}, silhouette_{k}" for k, s in found.items())
+    return judged.where("n > 0").selectExpr(f"stack({len(found)}, {cells}) AS (k, n_segments, inertia, silhouette)")
 
 
 def best_number(quality: DataFrame) -> int:

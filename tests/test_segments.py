@@ -61,3 +61,16 @@ def test_quality(rows):
         own, other = sorted((r.x - a) ** 2 + ((r.y or 0.0) - b) ** 2 for a, b in found.centres)[:2]
         want += 1 - math.sqrt(own) / math.sqrt(other)
     assert by[3]["silhouette"] == pytest.approx(want / 600, abs=1e-4)
+
+
+def test_rows_to_fit_on_are_drawn_once(rows, monkeypatch):
+    """They were counted and drawn from the whole table again for every number of segments."""
+    stored, materialise = [], segments.materialise
+    monkeypatch.setattr(segments, "materialise", lambda *args: stored.append(materialise(*args)) or stored[-1])
+    table = {r["k"]: r for r in segments.segment_quality(rows, (2, 4), COLUMNS, 100).collect()}
+    assert len(stored) == 1 and 50 < stored[0].count() < 160
+    for k, row in table.items():
+        alone = segments.fit_segments(rows, k, COLUMNS, 100)
+        assert row["n_segments"] == len(alone.centres)
+        mean = rows.select(F.expr(f"array_min({alone.distances()})").alias("d")).agg(F.avg("d")).first()[0]
+        assert row["inertia"] == pytest.approx(mean, abs=1e-4)
