@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.functions import selection
 
@@ -83,3 +84,16 @@ def test_values_are_not_shuffled(spark, monkeypatch):
 def test_unknown_method(frame):
     with pytest.raises(ValueError):
         selection.quantiles(frame[1], {"few": "few"}, SHARES, "nearest")
+
+
+def test_a_step_works_on_few_columns(spark, monkeypatch):
+    """The JVM does not compile the method of a step for many columns, and interprets it for every row."""
+    seen, frame_class = [], type(spark.range(1))
+    select = frame_class.selectExpr
+    monkeypatch.setattr(frame_class, "selectExpr", lambda self, *texts: seen.append(texts) or select(self, *texts))
+    many = spark.range(101).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(3 * selection.TOGETHER + 1)])
+    moments, found = selection.order_statistics(many, selection.named(many.columns), {"m": 0.5})
+    assert all(found[f"c{i}"]["m"] == 50.0 * (i + 1) and moments[f"c{i}"].count == 101 for i in range(len(many.columns)))
+    stacks = [int(text.split("(")[1].split(",")[0]) for texts in seen for text in texts if text.startswith("stack(")]
+    assert stacks and max(stacks) <= selection.TOGETHER
+    assert max(sum(text.startswith("avg(") for text in texts) for texts in seen) == selection.TOGETHER

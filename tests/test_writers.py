@@ -27,3 +27,7 @@ def test_a_chosen_limit_stays(spark):
         assert spark.conf.get(LIMIT) == "9000"
     finally:
         spark.conf.unset(LIMIT)
+
+
+def test_encoded_tables_are_written_by_compiled_methods(spark, monkeypatch):
+    test_wide_tables_are_written_by_compiled_methods(spark, writers.save_processed, monkeypatch)
