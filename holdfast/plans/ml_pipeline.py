@@ -11,6 +11,7 @@ from holdfast.config import MODELS
 from holdfast.operators import comparison, fitted, models, registry, scoring, validation
 from holdfast.operators.fitted import Prepared
 from holdfast.sources import readers, writers
+from holdfast.workspace import materialise
 
 
 class ValidationError(RuntimeError):
@@ -68,10 +69,15 @@ def run_ml_pipeline(
 def score_registered(spark: SparkSession, folder: str, raw: DataFrame) -> DataFrame:
     """Raw rows to one response each, by the model in production below ``folder`` and by what it was prepared with.
 
-    Nothing but the folder is needed, so a later session scores alike.
+    Nothing but the folder is needed, so a later session scores alike. The responses of a table are stored, as preparing
+    and scoring in one step make a method too long for the JVM to compile; those of a stream are not.
     """
     model, state = registry.production_state(spark, f"{folder}/registry")
-    return scoring.decide(models.predict(model, fitted.prepare(raw, state)))
+    scored = scoring.decide(models.predict(model, fitted.prepare(raw, state)))
+    if raw.isStreaming:
+        return scored
+    with writers.wide_steps_compiled(scored.sparkSession):
+        return materialise(scored, "registered_scores")
 
 
 def pipeline_summary(spark: SparkSession, results: dict[str, object]) -> DataFrame:

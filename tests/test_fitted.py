@@ -5,6 +5,7 @@ from catalog.students import student_table
 from holdfast.config import ID, MODELS, TARGET
 from holdfast.operators import fitted
 from holdfast.plans import data_pipeline, ml_pipeline
+from holdfast.sources import writers
 from holdfast.workspace import new_path
 from tests.conftest import SMALL
 
@@ -69,3 +70,14 @@ def test_summary_and_report_are_stored(spark, folder):
         "check": 7, "class_report": 20, "confusion_matrix": 4}
     cells = report.where("section = 'confusion_matrix'").agg(F.sum("value")).first()[0]
     assert cells == spark.read.parquet(f"{folder}/ml").where("split = 'test'").count()
+
+
+def test_responses_are_stored_by_compiled_methods(spark, folder, learners, monkeypatch):
+    """Preparing and scoring in one step make a method that the JVM would interpret for every row."""
+    seen, writer = [], type(spark.range(1).write)
+    parquet = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, *args, **named: seen.append(
+        int(spark.conf.get(writers.METHOD_LIMIT))) or parquet(self, *args, **named))
+    scored = ml_pipeline.score_registered(spark, folder, learners({}, {}))
+    assert seen == [writers.COMPILED_METHOD]
+    assert sorted(r[ID] for r in scored.collect()) == ["1", "2"]
