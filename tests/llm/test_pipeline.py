@@ -3,6 +3,7 @@
 import corpus_pipeline as pipeline
 from sentencepiece import SentencePieceProcessor
 
+from holdfast.llm import batches
 from holdfast.llm.queries import tokenizer_path
 from tests.llm.test_decontamination import brute as leaks_of
 from tests.llm.test_linededup import brute as lines_of
@@ -105,3 +106,19 @@ def test_extra_columns_stay(spark, tmp_path):
         out = stage(spark, docs, DIR)
         assert out.columns == docs.columns, name
         assert {tuple(r) for r in out.select(names).distinct().collect()} == {tuple(range(len(names)))}
+
+
+def test_encoding_and_decoding_do_not_share_a_task(spark):
+    """A task that did both would hold two Python processes, each with a model and its batches."""
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    out = pipeline.encode(spark, docs, DIR)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert all(r.round_trip for r in out.collect())
+
+
+def test_batches_are_short_while_ids_are_written(spark, monkeypatch):
+    seen, write = [], pipeline.materialise
+    monkeypatch.setattr(pipeline, "materialise", lambda df, name: seen.append(int(spark.conf.get(batches.ROWS_SETTING))) or write(df, name))
+    before = spark.conf.get(batches.ROWS_SETTING)
+    pipeline.encode(spark, spark.createDataFrame([(1, "some words")], "doc_id long, text string"), DIR)
+    assert seen == [batches.ROWS] and spark.conf.get(batches.ROWS_SETTING) == before
