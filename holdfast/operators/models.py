@@ -10,11 +10,12 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
@@ -60,6 +61,14 @@ FIT_ROWS = 1_000_000
 PART_ROWS = 62_500
 # Models trained at the same time.
 SIDE_BY_SIDE = 6
+# Beyond one part, a forest is fitted in groups of about so many trees, so many groups at the same time, each on fewer
+# and larger parts. Trees do not depend on each other, but every level of a fit sends the counts of all its nodes from
+# every part and ends on the driver; groups keep the cores busy meanwhile and send less in all.
+TREES_TOGETHER = 25
+GROUPS_SIDE_BY_SIDE = 8
+GROUP_PART_ROWS = 250_000
+# Seeds of groups lie apart, as every part adds its number to the seed.
+GROUP_SEEDS = 1000
 DOT, SAFE_DOT = ".", "\u2024"
 
 
@@ -169,6 +178,49 @@ def fit_rows(df: DataFrame, rows: int, most: int = FIT_ROWS, parts: int | None =
     return keyed.repartition(parts or fit_parts(rows, most), "_place").sortWithinPartitions("_place", *others).drop("_place")
 
 
+def tree_groups(settings: Mapping, rows: int) -> list[int]:
+    """Trees of each group a forest is fitted in; one group where one part holds all rows, or parts are set."""
+    trees = settings["trees"]
+    groups = 1 if settings.get("parts") or fit_parts(rows) == 1 else -(-trees // TREES_TOGETHER)
+    return [trees // groups + (i < trees % groups) for i in range(groups)]
+
+
+def group_parts(rows: int) -> int:
+    """Parts in which a group of trees is fitted on ``rows`` rows; never all rows in one."""
+    return max(2, -(-min(rows, FIT_ROWS) // GROUP_PART_ROWS))
+
+
+def fit_grouped(settings: Mapping, rows: DataFrame, total: int, bins: int = BINS) -> RandomForestClassificationModel:
+    """Fit a forest on stored vectors in several groups of trees side by side, each on all rows."""
+    kept = min(total, FIT_ROWS)
+    groups = tree_groups(settings, total)
+
+    def one(i: int) -> RandomForestClassificationModel:
+        forest = estimator({**settings, "trees": groups[i]}, total, bins).setSeed(MODEL_SEED + GROUP_SEEDS * i)
+        return forest.fit(fit_rows(rows, kept, parts=group_parts(total)))
+
+    with ThreadPoolExecutor(GROUPS_SIDE_BY_SIDE) as pool:
+        forests = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), range(len(groups))))
+    return joined_forest(estimator(settings, total, bins), forests)
+
+
+def joined_forest(
+    whole: RandomForestClassifier, forests: Sequence[RandomForestClassificationModel]
+) -> RandomForestClassificationModel:
+    """One forest of the trees of all, in their order, with the settings of ``whole``."""
+    context = SparkContext.getOrCreate()
+    package = context._jvm.org.apache.spark.ml.classification
+    trees = [tree for forest in forests for tree in forest._java_obj.trees()]
+    array = context._gateway.new_array(package.DecisionTreeClassificationModel, len(trees))
+    for i, tree in enumerate(trees):
+        array[i] = tree
+    first = forests[0]
+    model = package.RandomForestClassificationModel(whole.uid, array, first.numFeatures, first.numClasses)
+    joined = whole._copyValues(RandomForestClassificationModel(model))
+    joined._transfer_params_to_java()
+    return joined
+
+
 def _safe(name: str) -> str:
     """MLlib reads a dot in a name as a field of a structure."""
     return name.replace(DOT, SAFE_DOT)
@@ -214,6 +266,8 @@ def fit_vectors(settings: Mapping, vectors: Vectors) -> PipelineModel:
     if settings["kind"] == "majority":
         return majority_model(min(counts, key=lambda c: (-counts[c], c)))
     rows = balanced_weights(vectors.rows, counts) if settings.get("balanced") else vectors.rows
+    if settings["kind"] == "forest" and len(tree_groups(settings, total)) > 1:
+        return PipelineModel([*vectors.stages, fit_grouped(settings, rows, total)])
     # The table is thinned out already; its order and parts do not outlive storing.
     ordered = fit_rows(rows, min(total, FIT_ROWS), parts=settings.get("parts"))
     return PipelineModel([*vectors.stages, estimator(settings, total).fit(ordered)])
@@ -385,12 +439,27 @@ def train_raw_balanced(train: DataFrame, settings: Mapping = SERVED) -> Pipeline
             [list(labels.values[c]) for c in texts], texts, codes, "keep"
         ),
         VectorAssembler(inputCols=[*filled, *codes], outputCol=INPUTS),
-        # A code for each known value, and one for all others.
-        estimator(settings, total, max([BINS, *[len(v) + 1 for v in labels.values.values()]])),
     ]
+    # A code for each known value, and one for all others.
+    bins = max([BINS, *[len(v) + 1 for v in labels.values.values()]])
     rows = balanced_weights(train.where(f"{TARGET} IS NOT NULL"), counts)
     own = [ID] if ID in train.columns else []
-    return Pipeline(stages=stages).fit(fit_rows(rows.select(*own, TARGET, WEIGHT, *numbers, *texts), total))
+    ordered = fit_rows(rows.select(*own, TARGET, WEIGHT, *numbers, *texts), total)
+    if len(tree_groups(settings, total)) == 1:
+        return Pipeline(stages=[*stages, estimator(settings, total, bins)]).fit(ordered)
+    prepared = Pipeline(stages=stages).fit(ordered)
+    vectors = prepared.transform(ordered).select(*own, TARGET, WEIGHT, INPUTS)
+    stored = materialise(vectors.withMetadata(INPUTS, _named_values(vectors.schema[INPUTS].metadata)), "served_vectors")
+    return PipelineModel([*prepared.stages, fit_grouped(settings, stored, total, bins)])
+
+
+def _named_values(metadata: dict) -> dict:
+    """PySpark fills up lists of labels to one length with nulls, and no table with these in its schema can be written."""
+    for column in metadata["ml_attr"]["attrs"].get("nominal", []):
+        # Longer than any label, so none is named twice.
+        filler = "_" * max(len(value or "") for value in column["vals"])
+        column["vals"] = [f"{filler}_{i}" if value is None else value for i, value in enumerate(column["vals"])]
+    return metadata
 
 
 def served_inputs(model: PipelineModel) -> dict[str, str]:

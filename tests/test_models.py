@@ -237,3 +237,50 @@ def test_parts_are_few_and_large():
     """Every part sends counts for every node of a level: 49 parts for 720,000 rows took twice the time of 12."""
     assert models.fit_parts(720_000) == 12
     assert models.fit_parts(10**9) == 16
+
+
+def test_large_forests_are_fitted_in_groups(parts, monkeypatch, tmp_path):
+    """Groups of trees side by side, each on all rows; the forest has all their trees."""
+    train, test = parts
+    monkeypatch.setattr(models, "PART_ROWS", 100)
+    monkeypatch.setattr(models, "TREES_TOGETHER", 2)
+    settings = {**SMALL_MODELS["forest"], "trees": 5}
+    assert models.tree_groups(settings, 320) == [2, 2, 1]
+    fitted, rows_of = [], models.fit_rows
+    monkeypatch.setattr(models, "fit_rows", lambda df, *a, **k: fitted.append(rows_of(df, *a, **k)) or fitted[-1])
+    run = models.train_single("forest", train, test, settings)
+    assert [df.count() for df in fitted[1:]] == [320] * 3  # the first is the table of vectors
+    assert all(df.rdd.getNumPartitions() == 2 for df in fitted[1:])
+    forest = run.model.stages[-1]
+    assert forest.getNumTrees == forest.getOrDefault("numTrees") == len({t.toDebugString for t in forest.trees}) == 5
+    assert run.metrics["roc_auc"] > 0.8
+    assert sum(run.importance.values()) == pytest.approx(1, abs=1e-4)
+    run.model.write().save(f"{tmp_path}/forest")
+    before, again = models.predict(run.model, test), models.fit_model(settings, train)
+    for other in (models.PipelineModel.load(f"{tmp_path}/forest"), again):
+        assert sorted(models.predict(other, test).collect()) == sorted(before.collect())
+
+
+def test_served_forest_in_groups(spark, monkeypatch, tmp_path):
+    """Columns with different numbers of texts, of which PySpark makes lists of one length."""
+    rows = [(i, f"job{i % 40}", "FM"[i % 2], None if i % 7 == 0 else float(i % 9), int(i % 40 < 8)) for i in range(800)]
+    train = spark.createDataFrame(rows, f"{ID} long, Mother_Job string, Gender string, Age double, {TARGET} int")
+    monkeypatch.setattr(models, "PART_ROWS", 200)
+    monkeypatch.setattr(models, "TREES_TOGETHER", 3)
+    model = models.train_raw_balanced(train, {**models.SERVED, "trees": 7})
+    assert model.stages[-1].getNumTrees == 7
+    assert model.transform(train).where(f"prediction = {TARGET}").count() > 700
+    assert set(models.served_inputs(model)) == {"Age", "Mother_Job", "Gender"}
+    model.write().save(f"{tmp_path}/served")
+    loaded = models.PipelineModel.load(f"{tmp_path}/served")
+    assert sorted(models.predict(loaded, train).collect()) == sorted(models.predict(model, train).collect())
+
+
+def test_groups_hold_every_tree_and_no_part_all_rows():
+    from holdfast.config import MODELS
+
+    forest = MODELS["random_forest_v2"]
+    assert models.tree_groups(forest, models.PART_ROWS) == [200]
+    assert models.tree_groups(forest, models.PART_ROWS + 1) == [25] * 8
+    assert sum(models.tree_groups({**forest, "trees": 83}, 10**7)) == 83
+    assert [models.group_parts(n) for n in (models.PART_ROWS + 1, 720_000, 10**9)] == [2, 3, 4]
