@@ -725,11 +725,17 @@ def ml_pipeline_summary(spark, sf_dir):
 QUERIES["ml_pipeline"] = QUERIES.pop("ml_pipeline_summary")
 
 
+_served_rows: dict[tuple[str, str], DataFrame] = {}
+
+
 def served_rows(spark, sf_dir):
-    """Training input of the served model: unique rows, numbers and target read, text kept."""
-    unique = cleaning.drop_duplicates(cleaning.trim_columns(raw(spark, sf_dir)))
-    rows = unique.transform(cleaning.normalise_target).transform(cleaning.coerce_numeric)
-    return splitting.stratified_split(materialise(rows, "served_rows"))
+    """Training input of the served model: unique rows, numbers and target read, text kept; stored once per application."""
+    key = _key(spark, sf_dir)
+    if key not in _served_rows:
+        unique = cleaning.drop_duplicates(cleaning.trim_columns(raw(spark, sf_dir)))
+        rows = unique.transform(cleaning.normalise_target).transform(cleaning.coerce_numeric)
+        _served_rows[key] = splitting.stratified_split(materialise(rows, "served_rows"))
+    return _served_rows[key]
 
 
 def served_model(spark, sf_dir):

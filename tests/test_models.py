@@ -284,3 +284,11 @@ def test_groups_hold_every_tree_and_no_part_all_rows():
     assert models.tree_groups(forest, models.PART_ROWS + 1) == [25] * 8
     assert sum(models.tree_groups({**forest, "trees": 83}, 10**7)) == 83
     assert [models.group_parts(n) for n in (models.PART_ROWS + 1, 720_000, 10**9)] == [2, 3, 4]
+
+
+def test_served_rows_are_stored_once(spark):
+    from catalog import registry as queries
+    from tests.conftest import SMALL
+
+    first, again = (queries.served_rows(spark, SMALL) for _ in range(2))
+    assert set(first.inputFiles()) == set(again.inputFiles())
