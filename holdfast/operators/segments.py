@@ -1,8 +1,7 @@
 """Groups of similar learners.
 
-Fitting sees rows in an order and in parts that follow from their ids, and about ``FIT_ROWS`` of them at most, drawn by id;
-segments are numbered by their centres. So neither the layout of a table nor the order of its rows changes the result,
-and the cost of fitting does not grow with the table. Assigning and judging cover all rows.
+Fitting sees all rows, in an order and in parts that follow from their ids; segments are numbered by their centres. So
+neither the layout of a table nor the order of its rows changes the result. Assigning and judging cover all rows as well.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from holdfast.config import ID, MODEL_SEED, SCALED_COLUMNS, TARGET
 from holdfast.functions.numbers import half_even, quoted
-from holdfast.operators.models import FIT_ROWS, fit_rows
+from holdfast.operators.models import fit_rows
 from holdfast.workspace import materialise
 
 SEGMENTS = 4
@@ -44,7 +43,7 @@ class Segments:
 
 
 def fit_segments(
-    scaled: DataFrame, k: int = SEGMENTS, columns: Sequence[str] = SCALED_COLUMNS, most: int = FIT_ROWS
+    scaled: DataFrame, k: int = SEGMENTS, columns: Sequence[str] = SCALED_COLUMNS, most: int | None = None
 ) -> Segments:
     """K-means on scaled columns of rows with ids; ``k`` centres at most reach the driver."""
     filled = _filled(scaled, columns)
@@ -70,7 +69,7 @@ def assign_segments(segments: Segments, scaled: DataFrame) -> DataFrame:
 
 
 def segment_quality(
-    scaled: DataFrame, tried: Sequence[int] = TRIED, columns: Sequence[str] = SCALED_COLUMNS, most: int = FIT_ROWS
+    scaled: DataFrame, tried: Sequence[int] = TRIED, columns: Sequence[str] = SCALED_COLUMNS, most: int | None = None
 ) -> DataFrame:
     """``k, n_segments, inertia, silhouette`` for each number of segments, over all rows.
 
@@ -80,9 +79,10 @@ def segment_quality(
     """
     filled = _filled(scaled, columns)
     total = filled.count()
-    # Drawn and stored once for all numbers; order and parts do not outlive storing.
+    # Stored once for all numbers; order and parts do not outlive storing.
     drawn = materialise(fit_rows(filled, total, most), "segment_rows")
-    found = {k: _fit(fit_rows(drawn, min(total, most), most), k, columns) for k in tried}
+    kept = total if most is None else min(total, most)
+    found = {k: _fit(fit_rows(drawn, kept, most), k, columns) for k in tried}
     near = scaled.select(*[F.expr(f"array_sort({s.distances()})").alias(f"near_{k}") for k, s in found.items()])
     pairs = near.selectExpr(*[text for k in found for text in (f"near_{k}[0] AS own_{k}", f"get(near_{k}, 1) AS other_{k}")])
     judged = pairs.agg(F.count(F.lit(1)).alias("n"), *[expr for k in found for expr in (
