@@ -40,10 +40,12 @@ from holdfast.config import (
 )
 from holdfast.functions.numbers import quoted
 from holdfast.ledger import Ledger
+from holdfast.operators import forests
 from holdfast.operators.comparison import RUN_COLUMNS
 from holdfast.operators.encoding import feature_names, fit_dictionary
+from holdfast.operators.forests import ForestModel
 from holdfast.operators.metrics import METRICS, classification_metrics
-from holdfast.workspace import materialise
+from holdfast.workspace import materialise, new_path
 
 log = logging.getLogger(__name__)
 
@@ -67,6 +69,10 @@ SIDE_BY_SIDE = 6
 TREES_TOGETHER = 25
 GROUPS_SIDE_BY_SIDE = 8
 GROUP_PART_ROWS = 250_000
+# Tasks that the trees of a group are grown in.
+GROUP_SHARES = 3
+# Bytes of the codes of all rows that a task may hold while it grows trees.
+TASK_CELLS = 256_000_000
 # Seeds of groups lie apart, as every part adds its number to the seed.
 GROUP_SEEDS = 1000
 DOT, SAFE_DOT = ".", "\u2024"
@@ -201,8 +207,16 @@ def group_parts(rows: int) -> int:
     return max(2, -(-min(rows, FIT_ROWS) // GROUP_PART_ROWS))
 
 
-def fit_grouped(settings: Mapping, rows: DataFrame, total: int, bins: int = BINS) -> RandomForestClassificationModel:
-    """Fit a forest on stored vectors in several groups of trees side by side, each on all rows."""
+def fit_grouped(settings: Mapping, rows: DataFrame, total: int, bins: int = BINS) -> ForestModel | RandomForestClassificationModel:
+    """Fit a forest on stored vectors in several groups of trees side by side, each on all rows.
+
+    Where the codes of all rows fit into a task, its groups of trees are grown there. Beyond, MLlib fits each group.
+    """
+    metadata = rows.schema[INPUTS].metadata
+    first = rows.select(F.size(vector_to_array(INPUTS))).first()
+    category = forests.categories(metadata, first[0])
+    if total * len(category) * (1 if bins <= 256 else 2) <= TASK_CELLS:
+        return grown_forest(settings, rows, total, category, bins)
     groups = tree_groups(settings, total)
     parts = group_parts(total) + _more_parts(total)
 
@@ -211,8 +225,42 @@ def fit_grouped(settings: Mapping, rows: DataFrame, total: int, bins: int = BINS
         return forest.fit(fit_rows(rows, total, parts=parts))
 
     with ThreadPoolExecutor(GROUPS_SIDE_BY_SIDE) as pool:
-        forests = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), range(len(groups))))
-    return joined_forest(estimator(settings, total, bins), forests)
+        fitted = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), range(len(groups))))
+    return joined_forest(estimator(settings, total, bins), fitted)
+
+
+def grown_forest(settings: Mapping, rows: DataFrame, total: int, category: Sequence[bool], bins: int) -> ForestModel:
+    """A forest whose groups of trees are each grown in one task, which holds the codes of all rows."""
+    spark = rows.sparkSession
+    own = [ID] if ID in rows.columns else []
+    limits = forests.bounds(rows, INPUTS, category, total, bins)
+    weights = [F.max(F.when(F.col(TARGET) == c, F.col(WEIGHT) if WEIGHT in rows.columns else F.lit(1.0))) for c in (0, 1)]
+    by_class = tuple(w if w is not None else 1.0 for w in rows.agg(*weights).first())
+    codes = materialise(forests.coded(rows, INPUTS, own, TARGET, limits, category, bins), "codes")
+    groups, folder = tree_groups(settings, total), new_path(spark, "forest")
+    parts = group_parts(total) + _more_parts(total)
+
+    shares = []
+    for i, n in enumerate(groups):
+        # In shares, as a few long tasks would leave cores idle at the end.
+        ordered, cut = fit_rows(codes, total, parts=parts), [n * k // GROUP_SHARES for k in range(GROUP_SHARES + 1)]
+        shares += [(ordered, range(sum(groups[:i]) + a, sum(groups[:i]) + b)) for a, b in zip(cut, cut[1:]) if a < b]
+
+    def one(share: tuple[DataFrame, range]) -> str:
+        ordered, numbers = share
+        path = f"{folder}/trees={numbers.start}"
+        forests.grown(
+            ordered, TARGET, total, numbers, by_class, category, bins, settings["depth"],
+            max(settings.get("min_split", 2) // 2, 1), forests.inputs_drawn(len(category)), MODEL_SEED,
+        ).write.parquet(path)
+        return path
+
+    with ThreadPoolExecutor(GROUPS_SIDE_BY_SIDE) as pool:
+        paths = list(pool.map(inheritable_thread_target(spark)(one), shares))
+    table = spark.read.schema(forests.TREES).parquet(*paths)
+    return ForestModel(
+        numTrees=settings["trees"], featuresCol=INPUTS, bins=bins, limits=limits, category=list(category)
+    ).over(table)
 
 
 def joined_forest(
@@ -459,7 +507,7 @@ def train_raw_balanced(train: DataFrame, settings: Mapping = SERVED) -> Pipeline
     if len(tree_groups(settings, total)) == 1:
         return Pipeline(stages=[*stages, estimator(settings, total, bins)]).fit(ordered)
     prepared = Pipeline(stages=stages).fit(ordered)
-    vectors = prepared.transform(ordered).select(*own, TARGET, WEIGHT, INPUTS)
+    vectors = prepared.transform(rows.select(*own, TARGET, WEIGHT, *numbers, *texts)).select(*own, TARGET, WEIGHT, INPUTS)
     stored = materialise(vectors.withMetadata(INPUTS, _named_values(vectors.schema[INPUTS].metadata)), "served_vectors")
     return PipelineModel([*prepared.stages, fit_grouped(settings, stored, total, bins)])
 
